@@ -5,8 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import near_dup
+from . import bpe, crf_langid, maxscore, near_dup, quality_mil, url_filter, warc
+
+#: The rules of op1: fixed by its contract.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+#: The threshold of op5: fixed by its contract.
+QUALITY_THRESHOLD = 0.3
+QUERY_EVERY, TOP_K = 100, 10
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
@@ -14,13 +21,103 @@ def _read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFr
     return df.select(*columns) if columns else df
 
 
+def _fold(column: str, folds: int):
+    """crc32 of an id as text, modulo the number of folds; null for a null id."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % folds
+
+
+def _rank_file() -> tuple[str, str]:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    urls = _read(spark, sf_dir, "pages", "page_id", "url")
+    return url_filter.judge_urls(urls, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages", "page_id", "url", "html")
+    return warc.archived(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def quality_model(docs: DataFrame, labels: DataFrame) -> dict:
+    """Weights from the labelled rows outside the held-out fold."""
+    return quality_mil.train(docs, labels.filter(_fold("doc_id", 5) != 0).select("doc_id", "quality"))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents", "doc_id", "text")
+    weights = quality_model(docs, _read(spark, sf_dir, "labels", "doc_id", "quality"))
+    return quality_mil.score_only(docs, weights).select(
+        "doc_id", F.coalesce(_fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted")
+    )
+
+
+def op7_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = maxscore.quantised(_read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+    queries = vectors.filter(F.col("id") % QUERY_EVERY == 0)
+    return maxscore.top_k(vectors, queries, TOP_K).withColumnRenamed("id", "vec_id")
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(_read(spark, sf_dir, "documents", "doc_id", "text"), *_rank_file())
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_read(spark, sf_dir, "documents", "doc_id", "text"), percent=85)
 
 
+def language_model(docs: DataFrame) -> dict | None:
+    """Weights from the rows outside the held-out fold."""
+    return crf_langid.train(docs.filter(_fold("doc_id", 4) != 2))
+
+
+def op10_crf_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    return crf_langid.languages(docs.select("doc_id", "text"), language_model(docs)).select("doc_id", F.coalesce(_fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_url_filter, op2_warc, op5_quality_classifier, op7_maxscore, op8_byte_bpe, op9_minhash_near_dedup, op10_crf_language_id)
+}
+
+ORACLES: dict[str, str] = {
+    "op1_url_filter": r"""
+WITH parts AS (
+  SELECT page_id, CASE WHEN url IS NULL OR strpos(url, '://') = 0 THEN '' ELSE substr(url, strpos(url, '://') + 3) END AS rest FROM pages
+), urls AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM parts
+), rules(rule, verdict, rule_host, rule_path) AS (
+  VALUES ('com/', 'allow', 'com', '/'), ('example.com/en/', 'block', 'example.com', '/en/'), ('www.example.com/en/', 'allow', 'www.example.com', '/en/'),
+         ('net/es/', 'block', 'net', '/es/'), ('net/fr/', 'block', 'net', '/fr/')
+), hits AS (
+  SELECT page_id, host, path, rule, verdict, row_number() OVER (PARTITION BY page_id, host, path ORDER BY length(rule) DESC NULLS LAST) AS n
+  FROM urls LEFT JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM hits WHERE n = 1""",
+    "op2_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS keep FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> keep THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> keep THEN keep END AS refers_to FROM m""",
+    "op7_maxscore": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_minhash_near_dedup": op9_minhash_near_dedup}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
