@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, crf_langid, maxscore, near_dup, quality_mil, url_filter, warc
+from . import bpe, crf_langid, decontaminate, maxscore, near_dup, quality_mil, sharding, toxicity, url_filter, warc
 
 #: The rules of op1: fixed by its contract.
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 #: The threshold of op5: fixed by its contract.
 QUALITY_THRESHOLD = 0.3
 QUERY_EVERY, TOP_K = 100, 10
+TOXIC_THRESHOLD = 0.5
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
@@ -42,6 +43,18 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the chain calls toxic, with each category's probability; the operator itself scores every document."""
+    docs = _read(spark, sf_dir, "documents", "doc_id", "text")
+    chain = toxicity.train(docs, _read(spark, sf_dir, "labels", "doc_id", "toxic"))
+    scored = toxicity.probabilities(docs, chain)
+    return scored.filter(F.col("toxic") >= TOXIC_THRESHOLD).select("doc_id", F.lit(True).alias("flagged"), *[F.col(c).alias(f"p_{c}") for c in toxicity.CATEGORIES])
+
+
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(_read(spark, sf_dir, "documents", "doc_id", "text"), _read(spark, sf_dir, "benchmark"))
+
+
 def quality_model(docs: DataFrame, labels: DataFrame) -> dict:
     """Weights from the labelled rows outside the held-out fold."""
     return quality_mil.train(docs, labels.filter(_fold("doc_id", 5) != 0).select("doc_id", "quality"))
@@ -55,6 +68,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_balanced_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.balanced_shards(_read(spark, sf_dir, "documents", "doc_id", "text"), shards=16)
+
+
 def op7_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = maxscore.quantised(_read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
     queries = vectors.filter(F.col("id") % QUERY_EVERY == 0)
@@ -80,7 +97,7 @@ def op10_crf_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op2_warc, op5_quality_classifier, op7_maxscore, op8_byte_bpe, op9_minhash_near_dedup, op10_crf_language_id)
+    f.__name__: f for f in (op1_url_filter, op2_warc, op3_toxicity_chain, op4_benchmark_decontamination, op5_quality_classifier, op6_balanced_sharding, op7_maxscore, op8_byte_bpe, op9_minhash_near_dedup, op10_crf_language_id)
 }
 
 ORACLES: dict[str, str] = {
