@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import small_batches
+from .common import schema_with, small_batches
 
 MAX_RANK_BYTES = 64 << 20
 PIECE_CHARS = 1 << 16
@@ -86,7 +86,7 @@ def with_ids(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "tex
             ids = pa.array([encode(enc, t or "") for t in batch.column(where).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, ids_col])
 
-    return docs.mapInArrow(run, docs.schema.add(ids_col, "array<int>"))
+    return docs.mapInArrow(run, schema_with(docs, **{ids_col: "array<int>"}))
 
 
 def with_bytes(docs: DataFrame, rank_path: str, pattern: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
@@ -101,7 +101,7 @@ def with_bytes(docs: DataFrame, rank_path: str, pattern: str, ids_col: str = "id
             raw = pa.array([None if x is None else enc.decode_bytes(x) for x in batch.column(where).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, raw], [*batch.schema.names, bytes_col])
 
-    return docs.mapInArrow(run, docs.schema.add(bytes_col, "binary"))
+    return docs.mapInArrow(run, schema_with(docs, **{bytes_col: "binary"}))
 
 
 def round_trip(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows up to which a side of long ids may be broadcast (about 50 MB as a hash table); beyond, joins shuffle.
 BROADCAST_ROWS = 500_000
@@ -59,6 +60,12 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, TEXT_BATCH)
 
 
+def schema_with(df: DataFrame, **more: str) -> StructType:
+    """The schema of ``df`` and further columns; a copy, as StructType.add changes the original."""
+    added = StructType.fromDDL(", ".join(f"`{k}` {v}" for k, v in more.items()))
+    return StructType([*df.schema.fields, *added.fields])
+
+
 def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     """A broadcast hint if the counted rows of ids are within the bound; else the join shuffles."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

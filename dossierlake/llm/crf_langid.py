@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .common import scratch, small_batches
+from .common import schema_with, scratch, small_batches
 
 CHAIN = 256
 GRAM_BITS, AFFIX_BITS, LEXICON = 15, 14, 20_000
@@ -266,4 +266,4 @@ def with_language(docs: DataFrame, weights: dict | None, text_col: str = "text")
                 names, scores = predict(sent.value, batch.column(where))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores)], [*batch.schema.names, "lang_pred", "lang_score"])
 
-    return docs.mapInArrow(run, docs.schema.add("lang_pred", "string").add("lang_score", "double"))
+    return docs.mapInArrow(run, schema_with(docs, lang_pred="string", lang_score="double"))

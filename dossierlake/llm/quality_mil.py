@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .common import scratch, small_batches
+from .common import schema_with, scratch, small_batches
 
 PASSAGE = 128
 WORD_BUCKETS = 256
@@ -165,7 +165,7 @@ def with_score(docs: DataFrame, weights: dict, text_col: str = "text", score_col
                 out = [score(sent.value, *passages(data, off)) for _, _, data, off in tn.slices(batch.column(where))]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out) if out else np.zeros(0))], [*batch.schema.names, score_col])
 
-    return docs.mapInArrow(run, docs.schema.add(score_col, "double"))
+    return docs.mapInArrow(run, schema_with(docs, **{score_col: "double"}))
 
 
 def score_only(docs: DataFrame, weights: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
