@@ -7,6 +7,7 @@ for them every bound below is exact.
 1. Documents with equal sets (128-bit signature and size) become one node, whose id is the smallest doc_id.
 2. Inverted lists: (retained value, node). Each node enters the lists of its rarest retained values only, as many
    as any partner within the threshold must share one of (prefix filtering). Values that one node retains need no list.
+   For two whole sets the overlap that their sizes ask for bounds the ranks that a shared value can have in both.
 3. Lists of up to ``pair_up_to`` nodes give their pairs. A longer list gives each node with the list's most central
    node; after these links are known, whatever pairs of the list are still in different components follow, all of them.
 4. The union sketch (the k smallest of both) estimates a pair's similarity; pairs more than five standard deviations
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textnum as tn
@@ -137,7 +138,7 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
 
 
-def similarity_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, k: int = 128, whole: int = 256, pair_up_to: int = 16) -> tuple[DataFrame, DataFrame, DataFrame]:
+def similarity_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, k: int = 128, whole: int = 512, pair_up_to: int = 16) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(profiles of the rows, nodes, links between nodes); see the module's text."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -156,15 +157,25 @@ def similarity_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     by_node = Window.partitionBy("id", F.signum("p"))
     entries = scratch(
         held.withColumn("shared", F.count(F.lit(1)).over(by_node)).withColumn("weight", F.sum("df").over(by_node)).withColumn("rank", F.row_number().over(by_node.orderBy("df", "v")))
-        .filter("rank <= abs(p) - (m - shared)").select("v", "id", "n", (F.col("weight") / F.col("m")).alias("weight")),
+        .withColumn("rank", F.col("rank") + F.col("m") - F.col("shared")).filter("rank <= abs(p)")
+        .select("v", "id", "n", F.when(F.col("p") > 0, F.col("rank")).alias("rank"), (F.col("weight") / F.col("m")).alias("weight")),
         "entries",
     )
     lists = scratch(entries.groupBy("v").agg(F.count(F.lit(1)).alias("size"), F.max_by("id", F.struct("weight", -F.col("id"))).alias("hub"), F.max_by("n", F.struct("weight", -F.col("id"))).alias("hub_n")).filter("size > 1"), "lists")
     fits = lambda x, y: (F.greatest(x, y) * percent <= F.least(x, y) * 100)
 
+    def side(df: DataFrame, s: str, *more: str) -> DataFrame:
+        return df.select("v", F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "rank", *more)])
+
+    def may_link() -> Column:
+        """Sizes within the threshold, and in whole sets (rank is null for sketches) ranks that leave room for the overlap."""
+        n_a, n_b = F.col("n_a"), F.col("n_b")
+        overlap = F.floor(((n_a + n_b) * percent + 99 + percent) / (100 + percent))
+        room = (F.col("rank_a") + overlap <= n_a + 1) & (F.col("rank_b") + overlap <= n_b + 1)
+        return (F.col("a") < F.col("b")) & fits(n_a, n_b) & F.coalesce(room, F.lit(True))
+
     mine = entries.join(lists.filter(F.col("size") <= pair_up_to).select("v"), "v")
-    x, y = mine.select("v", F.col("id").alias("a"), F.col("n").alias("n_a")), mine.select("v", F.col("id").alias("b"), F.col("n").alias("n_b"))
-    short = x.join(y, "v").filter((F.col("a") < F.col("b")) & fits(F.col("n_a"), F.col("n_b"))).select("a", "b")
+    short = side(mine, "a").join(side(mine, "b"), "v").filter(may_link()).select("a", "b")
     long_lists = lists.filter(F.col("size") > pair_up_to)
     spokes = entries.join(long_lists, "v").filter((F.col("id") != F.col("hub")) & fits(F.col("n"), F.col("hub_n"))).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
     pairs = scratch(short.union(spokes).distinct(), "pairs")
@@ -184,11 +195,11 @@ def similarity_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     links = linked(pairs)
     if long_lists.limit(1).count():
         groups = components(links)
-        at = scratch(entries.join(long_lists.select("v"), "v").select("v", "id", "n").join(groups.withColumnRenamed("node", "id"), "id", "left").select("v", "id", "n", F.coalesce("component", "id").alias("c")), "members")
+        at = scratch(entries.join(long_lists.select("v"), "v").join(groups.withColumnRenamed("node", "id"), "id", "left").select("v", "id", "n", "rank", F.coalesce("component", "id").alias("c")), "members")
         split = at.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("v")
         at = scratch(at.join(split, "v"), "members")
-        x, y = at.select("v", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a")), at.select("v", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"))
-        rest = scratch(x.join(y, "v").filter((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & fits(F.col("n_a"), F.col("n_b"))).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+        rest = side(at, "a", "c").join(side(at, "b", "c"), "v").filter(may_link() & (F.col("c_a") != F.col("c_b"))).select("a", "b").distinct()
+        rest = scratch(rest.join(pairs, ["a", "b"], "left_anti"), "pairs")
         if rest.limit(1).count():
             links = scratch(links.union(linked(rest)), "links")
     return base, nodes, links
