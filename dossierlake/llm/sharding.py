@@ -2,8 +2,8 @@
 
 Documents are linked when their texts are equal (hash, CRC and size agree). A text's documents start in shards by a hash of the row;
 then, for some rounds, each text's documents vote, and joins move the pieces of a text (its documents in one shard)
-towards the shard that holds most of it, which saves the most cut links. A shard takes in only what its quota has room
-for, those with the largest gain first. A text with more than a quarter of a shard's rows is dealt into chunks that move
+towards the shard that holds most of it, which saves the most cut links. Two shards exchange what both send each other,
+and beyond that a shard takes in only what its quota has room for; those with the largest gain go first. A text with more than a quarter of a shard's rows is dealt into chunks that move
 on their own, so it fills several shards instead of one.
 
 At last the documents in the order (label, text, id) are cut into ranges of equal counts, which is the law ``rows``:
@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import scratch
 
-ROUNDS, SLACK, GAIN_STEPS, CELLS, BIN_ROWS = 6, 0.05, 24, 64, 50_000
+#: The quota may exceed an even share by SLACK while labels move; the last step makes the counts even in any case.
+ROUNDS, SLACK, GAIN_STEPS, CELLS, BIN_ROWS = 6, 0.25, 24, 64, 50_000
 TEXT = ["g", "crc", "size", "chunk"]
 
 
@@ -41,12 +42,18 @@ def propagate(pieces: DataFrame, fixed: dict[int, int], shards: int, rows: int,
         best = votes.withColumn("r", F.row_number().over(first)).filter("r = 1").select(*TEXT, F.col("label").alias("target"), F.col("votes").alias("most"))
         asked = pieces.join(votes, [*TEXT, "label"]).join(best, TEXT).filter("label <> target").withColumn("step", F.least(F.lit(GAIN_STEPS), F.ceil(F.log2(F.col("most") - F.col("votes") + 1))).cast("int"))
         asked = scratch(asked.withColumn("cell", _hash_mod(CELLS, *TEXT, "start").cast("int")), "asked")
-        cells = asked.groupBy("target", "step", "cell").agg(F.sum("n").alias("n"))  # at most shards * steps * cells rows
-        upto = F.sum("n").over(Window.partitionBy("target").orderBy(F.desc("step"), "cell"))
-        taken = scratch(cells.withColumn("upto", upto).join(F.broadcast(room), "target").filter("upto <= room").select("target", "step", "cell", F.lit(True).alias("taken"), F.col("n").alias("rows")), "taken")
+        # At most shards * shards * steps * cells rows, so these windows are bounded.
+        cells = asked.groupBy("label", "target", "step", "cell").agg(F.sum("n").alias("n"))
+        flow = cells.groupBy("label", "target").agg(F.sum("n").alias("out"))
+        back = flow.select(F.col("target").alias("label"), F.col("label").alias("target"), F.col("out").alias("back"))
+        even = flow.join(back, ["label", "target"], "left").select("label", "target", F.least("out", F.coalesce("back", F.lit(0))).alias("even"))
+        upto = lambda *keys: F.sum("n").over(Window.partitionBy(*keys).orderBy(F.desc("step"), "cell", "label"))
+        cells = cells.join(F.broadcast(even), ["label", "target"]).withColumn("swapped", upto("label", "target") <= F.col("even"))
+        cells = cells.withColumn("upto", upto("target", "swapped")).join(F.broadcast(room), "target").filter("swapped or upto <= room")
+        taken = scratch(cells.select("label", "target", "step", "cell", F.lit(True).alias("taken"), F.col("n").alias("rows")), "taken")
         if not taken.agg(F.sum("rows")).first()[0]:
             break
-        moves = asked.join(F.broadcast(taken), ["target", "step", "cell"]).select(*TEXT, "start", "target")
+        moves = asked.join(F.broadcast(taken), ["label", "target", "step", "cell"]).select(*TEXT, "start", "target")
         pieces = scratch(pieces.join(moves, [*TEXT, "start"], "left").select(*TEXT, "start", F.coalesce("target", "label").alias("label"), "n"), "pieces")
     return pieces
 
