@@ -39,6 +39,8 @@ def _hash(x: np.ndarray, bits: int) -> np.ndarray:
 def word_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Feature numbers of all words, their values, and each word's first; n-grams share a weight of one, affixes too."""
     n = len(starts)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(1, np.int64)
     length = ends - starts
     size = length + 2
     begin = np.zeros(n + 1, np.int64)
@@ -114,13 +116,15 @@ def chains(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def forward_backward(e: np.ndarray, start: np.ndarray, length: np.ndarray, trans: np.ndarray, pairs: bool = False):
     """Label probabilities of all words and, if asked for, the expected number of label pairs, and the log likelihood's normaliser."""
     labels = e.shape[1]
-    top = e.max(1, keepdims=True) if len(e) else e
+    if not len(start):
+        return np.zeros_like(e), np.zeros((labels, labels)), 0.0
+    top = e.max(1, keepdims=True)
     x = np.exp(e - top)
     a, scale = np.zeros_like(x), np.ones(len(x), np.float32)
     t = np.exp(trans).astype(np.float32)
     order = np.argsort(-length, kind="stable")
     start, length = start[order], length[order]
-    live = np.searchsorted(-length, -np.arange(1, (length[0] if len(length) else 0) + 1), side="right")
+    live = np.searchsorted(-length, -np.arange(1, length[0] + 1), side="right")
     prev = None
     for i, m in enumerate(live):
         at = start[:m] + i

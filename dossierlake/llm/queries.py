@@ -14,7 +14,7 @@ URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.exa
 #: The threshold of op5: fixed by its contract.
 QUALITY_THRESHOLD = 0.3
 QUERY_EVERY, TOP_K = 100, 10
-TOXIC_THRESHOLD = 0.5
+TOXIC_THRESHOLD = 0.2
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:

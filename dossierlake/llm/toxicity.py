@@ -1,11 +1,12 @@
 """Toxicity by a classifier chain.
 
-Categories are predicted one after the other by linear models over a document's distinct words (hashed); each model
-also sees the probabilities that the chain gave the categories before. While fitting, those are out-of-fold: models of
+Categories are predicted one after the other by linear models over a document's distinct words and word beginnings
+(hashed); each model also sees the probabilities that the chain gave the categories before. While fitting, those are out-of-fold: models of
 the other folds predict them, so that a later model learns how far to trust an earlier one. The last category is the
 label itself; the earlier ones are parts of it that a word list names (labelled toxic, and a word of the list occurs).
 
-A word takes part if at least ``LEAST_DOCS`` of the fitted documents have it. Fitting takes a bounded sample of the
+A word takes part if at least ``LEAST_DOCS`` of the fitted documents have it and its share of positive ones stands out.
+Fitting takes a bounded sample of the
 labelled rows (``fit_rows``, those with the smallest hash of the id) on the driver; scoring takes every whole text.
 
 Defined results: null and empty texts have no words and get the models' base rates; without labelled rows, or with one
@@ -26,6 +27,10 @@ from . import textnum as tn
 from .common import scratch, small_batches
 
 BITS, FOLDS, LEAST_DOCS = 20, 4, 5
+#: Standard deviations by which a word's share of positive documents must differ from the share of all.
+APART = 5.0
+#: Bytes of the beginnings of longer words that count as words too, for families with many endings.
+BEGINNINGS = (4, 5)
 # The word lists of the earlier categories.
 INSULT = ["idiot", "moron", "loser", "clown", "stupid"]
 CONTEMPT = ["worthless", "pathetic", "trash", "scum", "disgusting"]
@@ -34,10 +39,14 @@ CATEGORIES = [*LEXICONS, "toxic"]
 
 
 def distinct_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of each text's distinct words, and borders. Marks around a word don't count."""
+    """Buckets of each text's distinct words and word beginnings, and borders. Marks around a word don't count."""
     data = np.where(_MARK[data], np.uint8(32), tn.LOWER[data])
     starts, ends, first = tn.word_bounds(data, off)
-    h, begin = tn.distinct(tn.word_hashes(data, starts, ends), first)
+    parts = [tn.word_hashes(data, starts, ends)]
+    for n in BEGINNINGS:
+        parts.append(np.where(ends - starts > n, tn.mix(tn.word_hashes(data, starts, np.minimum(ends, starts + n)) + np.uint64(n)), parts[0]))
+    k = len(parts)
+    h, begin = tn.distinct(np.stack(parts, 1).ravel() if len(starts) else np.zeros(0, np.uint64), first * k)
     return (h >> np.uint64(64 - BITS)).astype(np.int64), begin
 
 
@@ -51,28 +60,28 @@ def _linear(w: np.ndarray, dense: np.ndarray, bias: np.ndarray, ids: np.ndarray,
     return 1 / (1 + np.exp(-np.clip(s, -30, 30)))
 
 
-def _fit_one(ids: np.ndarray, begin: np.ndarray, extra: np.ndarray, y: np.ndarray, steps: int = 300, l1: float = 2e-4, rate: float = 0.05) -> dict:
-    """Logistic regression by Adam over all rows, with soft thresholds for sparse word weights."""
+def _fit_one(ids: np.ndarray, begin: np.ndarray, extra: np.ndarray, y: np.ndarray, steps: int = 300, decay: float = 1e-4, rate: float = 0.1) -> dict:
+    """Logistic regression by Adam over all rows, on the words whose share of positive rows stands out; rarer classes weigh more."""
     share = float(y.mean()) if len(y) else 0.0
     if share in (0.0, 1.0):
         return {"constant": share}
-    docs = np.bincount(ids, minlength=1 << BITS)
-    used = docs >= LEAST_DOCS
-    known = np.flatnonzero(used)
-    to = np.cumsum(used) - 1
-    keep = used[ids]
-    row = np.repeat(np.arange(len(y)), np.diff(begin))[keep]
-    col = to[ids[keep]]
+    row = np.repeat(np.arange(len(y)), np.diff(begin))
+    docs, hits = np.bincount(ids, minlength=1 << BITS), np.bincount(ids, y[row], 1 << BITS)
+    apart = np.abs(hits - docs * share) / np.sqrt(np.maximum(docs, 1) * share * (1 - share))
+    used = (docs >= LEAST_DOCS) & (apart >= APART)
+    known, to, keep = np.flatnonzero(used), np.cumsum(used) - 1, used[ids]
+    row, col = row[keep], to[ids[keep]]
     w, d, b = np.zeros(len(known)), np.zeros(extra.shape[1]), np.log(share / (1 - share))
     m, v = np.zeros(len(w) + len(d) + 1), np.zeros(len(w) + len(d) + 1)
+    weight = np.where(y > 0, np.sqrt((1 - share) / share), 1.0)
+    weight /= weight.sum()
     for step in range(1, steps + 1):
         s = np.bincount(row, w[col], len(y)) + extra @ d + b
-        g = (1 / (1 + np.exp(-np.clip(s, -30, 30))) - y) / len(y)
-        grad = np.concatenate([np.bincount(col, g[row], len(w)), extra.T @ g, [g.sum()]])
+        g = (1 / (1 + np.exp(-np.clip(s, -30, 30))) - y) * weight
+        grad = np.concatenate([np.bincount(col, g[row], len(w)) + decay * w, extra.T @ g + decay * d, [g.sum()]])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
         w, d, b = w - move[: len(w)], d - move[len(w) : -1], b - move[-1]
-        w = np.sign(w) * np.maximum(np.abs(w) - rate * l1 * 50, 0)
     full = np.zeros(1 << BITS, np.float32)
     full[known] = w
     return {"w": full, "dense": d, "bias": b}
