@@ -22,7 +22,7 @@ def rate_limiter(requests: DataFrame, key: str, at: str, tie: str, window: float
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         live = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values([at, tie])
+        rows = pd.concat(list(batches)).sort_values(list(dict.fromkeys((at, tie))))
         out = []
         for t, i in zip(rows[at], rows[tie], strict=True):
             live = [x for x in live if x > t - window]
@@ -43,7 +43,7 @@ def status_machine(moves: DataFrame, key: str, at: str, tie: str, state_col: str
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values([at, tie])
+        rows = pd.concat(list(batches)).sort_values(list(dict.fromkeys((at, tie))))
         out = []
         for i, to in zip(rows[tie], rows[state_col], strict=True):
             legal = now is None or to in allowed.get(now, [])
@@ -53,7 +53,7 @@ def status_machine(moves: DataFrame, key: str, at: str, tie: str, state_col: str
         yield pd.DataFrame(out, columns=[key, tie, "from_state", "to_state", "legal"])
 
     kinds = {c: moves.schema[c].dataType.simpleString() for c in (key, tie)}
-    return moves.select(key, at, tie, state_col).groupBy(key).applyInPandasWithState(run, f"`{key}` {kinds[key]}, `{tie}` {kinds[tie]}, from_state string, to_state string, legal boolean", "now string", "append", GroupStateTimeout.NoTimeout)
+    return moves.select(*dict.fromkeys((key, at, tie, state_col))).groupBy(key).applyInPandasWithState(run, f"`{key}` {kinds[key]}, `{tie}` {kinds[tie]}, from_state string, to_state string, legal boolean", "now string", "append", GroupStateTimeout.NoTimeout)
 
 
 def windowed_counts(events: DataFrame, at: str, kind: str, size: str, slide: str | None = None, delay: str = "10 minutes") -> DataFrame:
