@@ -143,3 +143,74 @@ def sla_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fifteen minutes from an order's date, as of a fixed time."""
     left = 900 - F.timestamp_diff("SECOND", F.col("o_orderdate").cast("timestamp"), F.to_timestamp(F.lit("1996-06-01 00:10:00")))
     return table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "P", "not_started").when(left <= 0, "breached").otherwise("running").alias("sla"))
+
+
+@query("search_customers", "SELECT c_custkey FROM customer WHERE contains(lower(concat_ws(' ', c_custkey, c_name, c_mktsegment)), 'mach')")
+def search_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of which id, name or state holds a text."""
+    return table(spark, sf_dir, "customer").filter(F.lower(F.concat_ws(" ", "c_custkey", "c_name", "c_mktsegment")).contains("mach")).select("c_custkey")
+
+
+@query("confidence_bands", "SELECT CASE WHEN c >= 0.75 THEN 'high' WHEN c >= 0.50 THEN 'medium' WHEN c IS NULL THEN 'heuristic' ELSE 'low' END AS band, count(*) AS n FROM (SELECT CASE WHEN event_id % 11 = 0 THEN NULL ELSE event_id % 100 / 100.0 END AS c FROM events) GROUP BY 1")
+def confidence_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.when(F.col("event_id") % 11 != 0, F.col("event_id") % 100 / 100.0)
+    band = F.when(c >= 0.75, "high").when(c >= 0.50, "medium").when(c.isNull(), "heuristic").otherwise("low")
+    return table(spark, sf_dir, "events").groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("status_pivot", "SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'O') AS o, count(*) FILTER (o_orderstatus = 'P') AS p FROM orders GROUP BY 1")
+def status_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by state, a column each."""
+    wide = table(spark, sf_dir, "orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count(F.lit(1)))
+    return wide.na.fill(0).select("o_orderpriority", *[F.col(c).alias(c.lower()) for c in "FOP"])
+
+
+@query("dispatch_stats", "SELECT count(*) AS claimed, count(*) FILTER (event_id % 2 = 0) AS published, count(*) FILTER (event_id % 2 = 1 AND event_id % 4 + 1 < 3) AS retried, count(*) FILTER (event_id % 2 = 1 AND event_id % 4 + 1 >= 3) AS failed FROM events")
+def dispatch_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What one round of publishing did."""
+    done = outbox_publish(spark, sf_dir)
+    return done.agg(F.count(F.lit(1)).alias("claimed"), *[F.count_if(F.col("status") == s).alias(n) for s, n in (("PUBLISHED", "published"), ("PENDING", "retried"), ("FAILED", "failed"))])
+
+
+@query("top_probabilities", "SELECT p_partkey, list_extract(k, 1) AS first, list_extract(k, 2) AS second, list_extract(k, 3) AS third FROM (SELECT p_partkey, list_transform(list_sort([{'p': -(p_partkey * 7 % 101), 'k': 'a'}, {'p': -(p_partkey * 11 % 101), 'k': 'b'}, {'p': -(p_partkey * 13 % 101), 'k': 'c'}, {'p': -(p_partkey * 17 % 101), 'k': 'd'}]), lambda x: x.k) AS k FROM part)")
+def top_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three likeliest of four classes of each part."""
+    k = F.col("p_partkey")
+    classes = F.array(*[F.struct((-(k * m % 101)).alias("p"), F.lit(c).alias("k")) for m, c in ((7, "a"), (11, "b"), (13, "c"), (17, "d"))])
+    best = F.slice(F.array_sort(classes), 1, 3)
+    return table(spark, sf_dir, "part").select("p_partkey", *[F.get(best, F.lit(i))["k"].alias(n) for i, n in enumerate(("first", "second", "third"))])
+
+
+@query("offline_answers", r"""WITH q AS (SELECT item_id, list_distinct(list_filter(string_split(lower(text), ' '), lambda w: length(w) > 12)) AS ws FROM benchmark), w AS (SELECT item_id, unnest(ws) AS w FROM q), d AS (SELECT DISTINCT doc_id, unnest(string_split(lower(text), ' ')) AS w FROM documents)
+ SELECT item_id, count(DISTINCT doc_id) AS passages, min(doc_id) AS first FROM w JOIN d USING (w) GROUP BY 1""")
+def offline_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each question, the documents that hold one of its long words."""
+    long = F.array_distinct(F.filter(F.split(F.lower("text"), " "), lambda w: F.length(w) > 12))
+    asked = table(spark, sf_dir, "benchmark").select("item_id", F.explode(long).alias("w"))
+    held = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("w")).filter(F.length("w") > 12)
+    return held.join(asked, "w").groupBy("item_id").agg(F.count_distinct("doc_id").alias("passages"), F.min("doc_id").alias("first"))
+
+
+@query("label_union", "SELECT DISTINCT lang AS label FROM documents UNION SELECT DISTINCT source FROM documents")
+def label_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "lang", "source")
+    return docs.select(F.col("lang").alias("label")).union(docs.select("source")).distinct()
+
+
+@query("heartbeat_gaps", "SELECT user_id, count(*) AS gaps FROM (SELECT user_id, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS d FROM events) WHERE d > INTERVAL 1 DAY GROUP BY 1")
+def heartbeat_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often a user was silent for more than a day."""
+    moves = W.transitions(table(spark, sf_dir, "events", "event_id", "user_id", "ts"), "user_id", "ts", "event_id", "ts")
+    return moves.filter(F.col("ts") - F.col("from_state") > F.expr("INTERVAL 1 DAY")).groupBy("user_id").agg(F.count(F.lit(1)).alias("gaps"))
+
+
+@query("event_before_order", """SELECT o_orderkey, event_id FROM (SELECT o_orderkey, event_id, row_number() OVER (PARTITION BY o_orderkey ORDER BY d DESC, event_id DESC) AS n FROM (SELECT o_orderkey, o_custkey % 100 AS u, CAST(o_orderkey % 30 AS INTEGER) AS day FROM orders) JOIN (SELECT event_id, user_id, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INTEGER) AS d FROM events) ON u = user_id AND d <= day) WHERE n = 1""")
+def event_before_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extension, an as-of join: the last event of a user up to the day of an order. Both sides meet in one sorted window, without a join."""
+    from pyspark.sql import Window
+
+    day = F.date_diff(F.col("ts").cast("date"), F.to_date(F.lit("2024-01-01")))
+    right = table(spark, sf_dir, "events").select(F.col("user_id").alias("u"), day.alias("day"), F.lit(0).alias("side"), "event_id", F.lit(None).cast("long").alias("o_orderkey"))
+    left = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 100).alias("u"), (F.col("o_orderkey") % 30).cast("int").alias("day"), F.lit(1).alias("side"), F.lit(None).cast("long").alias("event_id"), "o_orderkey")
+    w = Window.partitionBy("u").orderBy("day", "side", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return left.unionByName(right).withColumn("last", F.last("event_id", ignorenulls=True).over(w)).filter("side = 1 and last is not null").select("o_orderkey", F.col("last").alias("event_id"))
