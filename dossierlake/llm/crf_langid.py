@@ -27,6 +27,8 @@ from . import textnum as tn
 from .common import schema_with, scratch, small_batches
 
 CHAIN = 256
+#: Forms of words whose features are worked out at once.
+FORMS = 1 << 15
 GRAM_BITS, AFFIX_BITS, LEXICON = 15, 14, 20_000
 UNDETERMINED = "und"
 _U = np.uint64
@@ -40,7 +42,7 @@ def word_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tup
     """Feature numbers of all words, their values, and each word's first; n-grams share a weight of one, affixes too."""
     n = len(starts)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(1, np.int64)
+        return np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(1, np.int64)
     length = ends - starts
     size = length + 2
     begin = np.zeros(n + 1, np.int64)
@@ -71,7 +73,7 @@ def word_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tup
     ids = np.concatenate([two[has_two], three[has_three], *[i for _, i in affixes]])
     value = np.concatenate([(1 / grams[word[has_two]]), (1 / grams[word[has_three]]), *[np.full(len(w), 0.25) for w, _ in affixes]]).astype(np.float32)
     order = np.argsort(words, kind="stable")
-    return ids[order], value[order], np.searchsorted(words[order], np.arange(n + 1))
+    return ids[order].astype(np.int32), value[order], np.searchsorted(words[order], np.arange(n + 1))
 
 
 class Words:
@@ -82,7 +84,9 @@ class Words:
         self.starts, self.ends, self.first = tn.word_bounds(data, off)
         hashes = tn.word_hashes(data, self.starts, self.ends)
         self.unique, at, self.form = np.unique(hashes, return_index=True, return_inverse=True)
-        self.ids, self.value, self.begin = word_features(data, self.starts[at], self.ends[at])
+        parts = [word_features(data, self.starts[a], self.ends[a]) for a in (at[i : i + FORMS] for i in range(0, max(1, len(at)), FORMS))]
+        self.ids, self.value = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        self.begin = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[2]) for p in parts]))])
         letters = np.zeros(len(data) + 1, np.int64)
         np.cumsum((data >= 128) | ((data >= 97) & (data <= 122)), out=letters[1:])
         self.lettered = letters[self.ends] > letters[self.starts]
@@ -154,21 +158,36 @@ def fit(texts: list[str], langs: list[str], epochs: int = 4, rate: float = 0.5,
         return None
     rng = np.random.default_rng(5)
     label_of = {x: i for i, x in enumerate(names)}
-    (_, _, data, off), *rest = tn.slices(pa.array(texts, pa.string()), 1 << 62) or [None]
-    words = Words(data, off)
-    y = np.repeat([label_of[x] for x in langs], np.diff(words.first))
+    forms, first, ids, value, size, unique = [], [0], [], [], [], []
+    for _, _, data, off in tn.slices(pa.array(texts, pa.string())):
+        w = Words(data, off)
+        forms.append(w.form + sum(map(len, unique)))
+        first += (w.first[1:] + first[-1]).tolist()
+        for to, x in ((ids, w.ids), (value, w.value), (size, np.diff(w.begin)), (unique, w.unique)):
+            to.append(x)
+    # one entry a form over all slices
+    hashes, at, merged = np.unique(np.concatenate(unique), return_index=True, return_inverse=True)
+    form = merged[np.concatenate(forms)]
+    all_ids, all_values, sizes = np.concatenate(ids), np.concatenate(value), np.concatenate(size)
+    ends = np.cumsum(sizes)
+    lens = sizes[at]
+    begin = np.concatenate([[0], np.cumsum(lens)])
+    rows = np.arange(begin[-1]) + np.repeat(ends[at] - lens - begin[:-1], lens)
+    feat_ids, feat_values = all_ids[rows], all_values[rows]
+    del ids, value, all_ids, all_values, rows, forms, merged
+    y = np.repeat([label_of[x] for x in langs], np.diff(first))
     n, k = len(y), len(names)
     # lexicon: words seen at least three times of which one language has nine in ten, the most frequent first
-    counts = np.zeros((len(words.unique), k))
-    np.add.at(counts, (words.form, y), 1)
+    counts = np.stack([np.bincount(form[y == c], minlength=len(hashes)) for c in range(k)], 1).astype(float)
     freq = counts / np.maximum(counts.sum(0), 1)
     good = np.flatnonzero((counts.sum(1) >= 3) & (freq.max(1) >= 0.9 * freq.sum(1)))
     good = good[np.argsort(-counts.sum(1)[good], kind="stable")[:LEXICON]]
-    known = np.sort(words.unique[good])
+    known = np.sort(hashes[good])
     w = {"feat": np.zeros(((1 << GRAM_BITS) + (1 << AFFIX_BITS), k), np.float32), "lex": np.zeros((len(known) + 1, k), np.float32), "trans": np.zeros((k, k), np.float32), "known": known, "names": names}
     if not n:
         return w
-    lex = words.lexicon(known)
+    place = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
+    lex = np.where(known[place] == hashes, place, len(known)) if len(known) else np.zeros(len(hashes), np.int64)
     # splice: runs of 4 to 60 words of one text each, in random order
     cuts, i = [], 0
     while i < n:
@@ -182,12 +201,11 @@ def fit(texts: list[str], langs: list[str], epochs: int = 4, rate: float = 0.5,
         for i in range(0, n, CHAIN * chains_a_step):
             pick = spliced[i : i + CHAIN * chains_a_step]
             start, length = chains(np.array([0, len(pick)]))
-            form = words.form[pick]
-            some, inv = np.unique(form, return_inverse=True)
-            lens = words.begin[some + 1] - words.begin[some]
+            some, inv = np.unique(form[pick], return_inverse=True)
+            lens = begin[some + 1] - begin[some]
             b = np.concatenate([[0], np.cumsum(lens)])
-            rows = np.arange(b[-1]) + np.repeat(words.begin[some] - b[:-1], lens)
-            ids, value = words.ids[rows], words.value[rows]
+            rows = np.arange(b[-1]) + np.repeat(begin[some] - b[:-1], lens)
+            ids, value = feat_ids[rows], feat_values[rows]
             e = (np.add.reduceat(w["feat"][ids] * value[:, None], b[:-1]) + w["lex"][lex[some]])[inv]
             post, expected, _ = forward_backward(e.astype(np.float32), start, length, w["trans"], True)
             post[np.arange(len(pick)), y[pick]] -= 1
@@ -233,7 +251,7 @@ def predict(w: dict | None, texts: pa.Array) -> tuple[list[str], np.ndarray]:
     return names, np.concatenate(scores) if scores else np.zeros(0)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = 1200) -> dict | None:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = 800) -> dict | None:
     """Weights from the ``fit_rows`` rows with a lang whose id's hash is smallest."""
     ids = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang")).filter("id is not null and lang is not null").select("id").distinct()
     ids = ids.orderBy(F.xxhash64("id"), "id").limit(fit_rows)

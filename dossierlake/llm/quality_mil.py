@@ -95,7 +95,12 @@ def fit(x: np.ndarray, begin: np.ndarray, y: np.ndarray, epochs: int = 40, rate:
         return {"constant": 0.5 if not len(y) else 0.99 if y[0] else 0.01}
     rng = np.random.default_rng(7)
     draw = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
-    mean, spread = x.mean(0), x.std(0)
+    mean, square = np.zeros(WIDTH, np.float64), np.zeros(WIDTH, np.float64)
+    for i in range(0, len(x), 1024):  # x may be of half precision, to halve the driver's memory
+        part = x[i : i + 1024].astype(np.float64)
+        mean, square = mean + part.sum(0), square + (part * part).sum(0)
+    mean = (mean / len(x)).astype(np.float32)
+    spread = np.sqrt(np.maximum(square / len(x) - mean.astype(np.float64) ** 2, 0))
     w = {"W": draw(WIDTH, HIDDEN), "b": np.zeros(HIDDEN, np.float32), "V": draw(HIDDEN, GATE), "U": draw(HIDDEN, GATE), "a": draw(GATE), "c": draw(HIDDEN), "d": np.float32(0)}
     fixed = {"mean": mean, "scale": (1 / (spread + 0.01)).astype(np.float32)}
     m, v, step = {k: 0 * p for k, p in w.items()}, {k: 0 * p for k, p in w.items()}, 0
@@ -107,7 +112,7 @@ def fit(x: np.ndarray, begin: np.ndarray, y: np.ndarray, epochs: int = 40, rate:
             n = begin[pick + 1] - begin[pick]
             b = np.concatenate([[0], np.cumsum(n)])
             rows = np.arange(b[-1]) + np.repeat(begin[pick] - b[:-1], n)
-            xs = x[rows]
+            xs = x[rows].astype(np.float32)
             q, (h, t, s, p, z, bag) = _forward(w | fixed, xs, b)
             g = ((q - y[pick]) / len(pick)).astype(np.float32)
             gz = g[:, None] * w["c"]
@@ -128,7 +133,7 @@ def fit(x: np.ndarray, begin: np.ndarray, y: np.ndarray, epochs: int = 40, rate:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, label, text) to (id, label, n, x): the passages' rows as float32 bytes."""
+    """(id, label, text) to (id, label, n, x): the passages' rows in half precision."""
     with np.errstate(over="ignore"):
         for batch in batches:
             for a, b, data, off in tn.slices(batch.column(2)):
@@ -137,7 +142,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(raw, pa.binary())], ["id", "label", "x"])
 
 
-def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = 4000) -> dict:
+def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = 3000) -> dict:
     """Weights from the ``fit_rows`` rows of ``labelled`` (id, label 0 or 1) with the smallest hash of their id."""
     small_batches(docs.sparkSession)
     some = labelled.select(F.col(id_col).cast("long").alias("id"), F.col(labelled.columns[1]).cast("int").alias("label")).filter("id is not null and label in (0, 1)")
@@ -145,10 +150,11 @@ def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col
     texts = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
     rows = texts.join(F.broadcast(some), F.col("key") == F.col("id")).select("id", "label", "text")  # fit_rows bounds it
     got = scratch(rows.mapInArrow(_features, "id long, label int, x binary"), "fit").orderBy("id", "label", F.xxhash64("x")).limit(2 * fit_rows).toArrow()
-    xs = [np.frombuffer(b, np.float16).reshape(-1, WIDTH).astype(np.float32) for b in got["x"].to_pylist()]
+    xs = [np.frombuffer(b, np.float16).reshape(-1, WIDTH) for b in got["x"].to_pylist()]
     begin = np.zeros(len(xs) + 1, np.int64)
     np.cumsum([len(b) for b in xs], out=begin[1:])
-    x = np.concatenate(xs) if xs else np.zeros((0, WIDTH), np.float32)
+    x = np.concatenate(xs) if xs else np.zeros((0, WIDTH), np.float16)
+    del xs
     return fit(x, begin, got["label"].to_numpy().astype(np.float32))
 
 

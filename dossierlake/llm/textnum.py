@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 _U = np.uint64
 _P = 0x9E3779B97F4A7C15 * 4 + 5 & (1 << 64) - 1
 
