@@ -53,6 +53,12 @@ def forget(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application, once no result that was made from them is read any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of few rows unless the session already asks for fewer."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

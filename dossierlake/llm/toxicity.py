@@ -65,7 +65,7 @@ def _fit_one(ids: np.ndarray, begin: np.ndarray, extra: np.ndarray, y: np.ndarra
     share = float(y.mean()) if len(y) else 0.0
     if share in (0.0, 1.0):
         return {"constant": share}
-    row = np.repeat(np.arange(len(y)), np.diff(begin))
+    row = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(begin))
     docs, hits = np.bincount(ids, minlength=1 << BITS), np.bincount(ids, y[row], 1 << BITS)
     apart = np.abs(hits - docs * share) / np.sqrt(np.maximum(docs, 1) * share * (1 - share))
     used = (docs >= LEAST_DOCS) & (apart >= APART)
@@ -122,7 +122,7 @@ def chain_probabilities(chain: list[dict], ids: np.ndarray, begin: np.ndarray) -
     return extra
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = 6000) -> list[dict]:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = 4000) -> list[dict]:
     some = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label in (0, 1)").orderBy(F.xxhash64("id"), "id", "label").limit(fit_rows)
     texts = docs.select(F.col(id_col).cast("long").alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # fit_rows bounds this side and the rows that reach the driver
@@ -132,7 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     with np.errstate(over="ignore"):
         for _, _, data, off in tn.slices(pa.array(texts, pa.string())):
             ids, b = distinct_words(data, off)
-            parts.append(ids)
+            parts.append(ids.astype(np.int32))
             begin += (b[1:] + begin[-1]).tolist()
     ids = np.concatenate(parts) if parts else np.zeros(0, np.int64)
     named = [[bool(x and re.search(rf"\b({'|'.join(words)})\b", t, re.I)) for t, x in zip(texts, label, strict=True)] for words in LEXICONS.values()]
