@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .common import components, maybe_broadcast, scratch, small_batches
+from .common import components, forget, maybe_broadcast, scratch, small_batches
 
 SIGMAS = 5
 #: Keeps the lists of sketches apart from those of whole sets.
@@ -143,9 +143,11 @@ def similarity_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    base = scratch(texts.mapInArrow(_profile(k, whole), "id long, n long, sig_a long, sig_b long, vals array<long>").withColumn("row", F.monotonically_increasing_id()), "profiles")
+    kept = scratch(texts.mapInArrow(_profile(k, whole), "id long, n long, sig_a long, sig_b long, vals array<long>").withColumn("row", F.monotonically_increasing_id()), "retained")
+    base = scratch(kept.drop("vals"), "profiles")
     nodes = scratch(base.filter("n > 0 and id is not null").groupBy("n", "sig_a", "sig_b").agg(F.min("id").alias("node"), F.min_by("row", "id").alias("row"), F.count(F.lit(1)).alias("copies")), "nodes")
-    reps = scratch(nodes.select("node", "n", "row").join(base.select("row", "vals"), "row").select(F.col("node").alias("id"), "n", "vals"), "sketches")
+    reps = scratch(nodes.select("node", "n", "row").join(kept.select("row", "vals"), "row").select(F.col("node").alias("id"), "n", "vals"), "sketches")
+    forget(spark, kept)  # nothing later reads the retained values of copies
 
     tau = percent / 100
     p_sketch = k - max(1, math.floor(k * tau - SIGMAS * math.sqrt(k * tau * (1 - tau)))) + 1
