@@ -36,11 +36,11 @@ def bm25(passages: DataFrame, queries: DataFrame, key: str, text: str, query_key
 
     The passages' words meet the queries' words by an equi-join, and partial sums go before the ranking.
     """
-    posted = postings(passages, key, text)
-    stats = passages.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(T.words(text))).alias("mean")).first()
-    weights = term_weights(posted, key, stats["n"])
+    posted = postings(passages, key, text).persist()  # read for the weights, their mean and the scores
+    n, total = passages.count(), posted.agg(F.sum("tf")).first()[0] or 0
+    weights = term_weights(posted, key, n)
     asked = query_terms(queries, query_key, query_text).join(weights, "term")
-    norm = K1 * (1 - B + B * F.col("length") / (stats["mean"] or 1.0))
+    norm = K1 * (1 - B + B * F.col("length") / (total / n if total else 1.0))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
     scored = posted.join(asked, "term").groupBy(query_key, key).agg(F.round(F.sum(part), 6).alias("score"))
     return top(scored, query_key, key, k)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import classify, metrics, retrieval
 from ..sources import synth
-from ..sources.readers import table
+from ..sources.readers import spread, table
 from .catalog import query
 
 K = 5
@@ -21,7 +21,7 @@ _BM25 = f"""{_POSTINGS}, s AS (SELECT item_id, doc_id, round(sum(qtf * idf * tf
 
 
 def _corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents", "doc_id", "text"))
     return docs, table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import chunking, extraction, grounding
 from ..sources import synth
-from ..sources.readers import table
+from ..sources.readers import spread, table
 from .catalog import query
 
 _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+')"
@@ -17,13 +17,13 @@ _TOKENS = r"regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]'
 
 @query("token_stats", f"SELECT doc_id, CAST(coalesce(len({_TOKENS}), 0) AS INTEGER) AS n_tokens, CAST(coalesce(len({_WORDS}), 0) AS INTEGER) AS n_words FROM documents")
 def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", T.token_count("text").alias("n_tokens"), F.size(T.words("text")).alias("n_words"))
+    return spread(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", T.token_count("text").alias("n_tokens"), F.size(T.words("text")).alias("n_words"))
 
 
 @query("term_df", f"SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({_WORDS}) AS term FROM documents) GROUP BY term HAVING count(*) > 1")
 def term_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In how many documents each word occurs, of those in more than one."""
-    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(T.words("text"))).alias("term"))
+    words = spread(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", F.explode(F.array_distinct(T.words("text"))).alias("term"))
     return words.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
 
 
@@ -46,7 +46,7 @@ for _p, _to in T.PII_STEPS:
 
 @query("pii_scrub_documents", f"SELECT doc_id, md5({_SCRUB}) AS scrubbed, {_SCRUB} <> text AS changed FROM documents")
 def pii_scrub_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents", "doc_id", "text").withColumn("s", T.scrub_pii("text"))
+    docs = spread(table(spark, sf_dir, "documents", "doc_id", "text")).withColumn("s", T.scrub_pii("text"))
     return docs.select("doc_id", F.md5("s").alias("scrubbed"), (F.col("s") != F.col("text")).alias("changed"))
 
 
@@ -67,7 +67,7 @@ for _p in grounding.INJECTIONS:
 def injection_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a planted command each: how many distinct ones are found, and the text after defusing."""
     planted = F.concat("text", F.lit(" "), F.element_at(F.array(*map(F.lit, _ATTACKS)), (F.col("doc_id") % 5 + 1).cast("int")))
-    docs = table(spark, sf_dir, "documents").select("doc_id", planted.alias("t"))
+    docs = spread(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", planted.alias("t"))
     return docs.select("doc_id", F.size(grounding.injections("t")).alias("n"), F.md5(grounding.defused("t")).alias("defused"))
 
 
@@ -125,7 +125,7 @@ def keyword_doctype(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("chunk_documents")
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as passages of 250 to 400 tokens."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("page"), "text")
+    docs = spread(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", F.lit(1).alias("page"), "text")
     return chunking.chunk_pages(docs, "doc_id", "page", "text").select("chunk_id", "doc_id", "pos", "token_count", F.md5("text").alias("text_md5"))
 
 

@@ -28,6 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores where a scan gives fewer parts than there are; inputs of many files stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def manifests(spark: SparkSession, path: str) -> DataFrame:
     """Dossier manifests, one JSON object a file; keys that older ones lack are null."""
     return spark.read.schema(MANIFEST).option("multiLine", True).option("recursiveFileLookup", True).json(path)
