@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as T
 
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
+#: Different words whose hits a task remembers.
+REMEMBERED = 300_000
 
 
 def postings(passages: DataFrame, key: str, text: str) -> DataFrame:
@@ -53,6 +60,81 @@ def overlap(passages: DataFrame, queries: DataFrame, key: str, text: str, query_
     return top(scored, query_key, key, k)
 
 
+def holding(passages: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, query_text: str, longer: int = 3) -> DataFrame:
+    """(query_key, passages, first): how many passages hold a query's word of more than ``longer`` characters as a part of their text, and the smallest key.
+
+    Words lie between white space, in lower case, so a passage holds a query's word if one of its own words does; each different word
+    is looked up once a task. The queries' words go to every task. Pairs of passage and query are only counted. Rows that share a key
+    are one passage; those without a key are none.
+    """
+    words: dict[str, int] = {}
+    of: dict = {}
+    for q, question in queries.select(query_key, query_text).toLocalIterator():
+        of.setdefault(q, set()).update(words.setdefault(w, len(words)) for w in (question or "").lower().split() if len(w) > longer)
+    asked = list(of)
+    lists: list[list[int]] = [[] for _ in words]
+    for i, q in enumerate(asked):
+        for w in of[q]:
+            lists[w].append(i)
+    sent = passages.sparkSession.sparkContext.broadcast((words, sorted({len(w) for w in words}), [np.array(x, np.int64) for x in lists]))
+    kind = passages.schema[key].dataType.simpleString()
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, lengths, _ = sent.value
+        known: dict[str, list[int]] = {}
+        keyless: set[int] = set()
+        for batch in batches:
+            keys, hits = [], []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                mine: set[int] = set()
+                for w in set((t.as_py() or "").lower().split()):
+                    if (found := known.get(w)) is None:
+                        found = list({words[x] for n in lengths if n <= len(w) for i in range(len(w) - n + 1) if (x := w[i : i + n]) in words})
+                        if len(known) >= REMEMBERED:
+                            known.clear()
+                        known[w] = found
+                    mine.update(found)
+                if k is None:
+                    keyless |= mine
+                elif mine:
+                    keys.append(k)
+                    hits.append(list(mine))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(hits, pa.list_(pa.int32()))], ["key", "words"])
+        if keyless:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, batch.schema.field(0).type), pa.array([list(keyless)], pa.list_(pa.int32()))], ["key", "words"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = sent.value[2]
+        n, met, first, now = np.zeros(len(asked), np.int64), np.zeros(len(asked), bool), [None] * len(asked), np.zeros(len(asked), bool)
+        last = None
+
+        def done() -> None:
+            nonlocal n, met
+            met |= now
+            if last is not None:
+                n += now
+                for i in np.flatnonzero(now & (n == 1)):  # keys are sorted, so the first is the smallest
+                    first[i] = last
+            now[:] = False
+
+        for batch in batches:
+            for k, hits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if k != last:
+                    done()
+                    last = k
+                now[np.concatenate([lists[w] for w in hits])] = True
+        done()
+        some = np.flatnonzero(met)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(n[some]), pa.array([first[i] for i in some], key_type)], ["i", "n", "first"])
+
+    hits = passages.select(key, text).mapInArrow(look_up, f"key {kind}, words array<int>")
+    key_type = to_arrow_type(passages.schema[key].dataType)
+    part = hits.repartition("key").sortWithinPartitions("key").mapInArrow(count, f"i int, n long, first {kind}")
+    total = part.groupBy("i").agg(F.sum("n").alias("passages"), F.min("first").alias("first"))
+    names = passages.sparkSession.createDataFrame(list(enumerate(asked)), f"i int, {query_key} {queries.schema[query_key].dataType.simpleString()}")
+    return total.join(F.broadcast(names), "i").select(query_key, "passages", "first")  # one row a query
+
+
 def top(scored: DataFrame, query_key: str, key: str, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), key))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)

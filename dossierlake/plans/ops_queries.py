@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import retrieval
 from ..operators import workqueue as W
 from ..sources import readers
 from ..sources.readers import table
@@ -184,11 +185,10 @@ def top_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("offline_answers", r"""WITH q AS (SELECT item_id, list_distinct(list_filter(string_split(lower(text), ' '), lambda w: length(w) > 12)) AS ws FROM benchmark), w AS (SELECT item_id, unnest(ws) AS w FROM q), d AS (SELECT DISTINCT doc_id, unnest(string_split(lower(text), ' ')) AS w FROM documents)
  SELECT item_id, count(DISTINCT doc_id) AS passages, min(doc_id) AS first FROM w JOIN d USING (w) GROUP BY 1""")
 def offline_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each question, the documents that hold one of its long words."""
-    long = F.array_distinct(F.filter(F.split(F.lower("text"), " "), lambda w: F.length(w) > 12))
-    asked = table(spark, sf_dir, "benchmark").select("item_id", F.explode(long).alias("w"))
-    held = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("w")).filter(F.length("w") > 12)
-    return held.join(asked, "w").groupBy("item_id").agg(F.count_distinct("doc_id").alias("passages"), F.min("doc_id").alias("first"))
+    """For each question, how many documents hold one of its words of more than three characters, also within a longer word, and the first of them."""
+    asked = table(spark, sf_dir, "benchmark", "item_id", "text")
+    docs = readers.spread(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return retrieval.holding(docs, asked, "doc_id", "text", "item_id", "text").select("item_id", "passages", "first")
 
 
 @query("label_union", "SELECT DISTINCT lang AS label FROM documents UNION SELECT DISTINCT source FROM documents")
