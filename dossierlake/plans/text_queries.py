@@ -85,9 +85,9 @@ def citation_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("sanitised_answers")
 def sanitised_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers in two lines of which the second may cite what isn't authorised."""
+    """Whole turns with an authorised citation, and a line after them that may cite what isn't authorised."""
     tag = F.when(F.col("conv_id") % 3 == 0, "credit_policy_v1_p1").when(F.col("conv_id") % 3 == 1, "made_up_1").otherwise("")
-    text = F.concat(F.substring("text", 1, 40), F.lit(" [CHUNK-POLICY-SAL-02]\nsecond "), F.when(tag != "", F.concat(F.lit("["), tag, F.lit("]"))).otherwise(F.lit("")))
+    text = F.concat("text", F.lit(" [CHUNK-POLICY-SAL-02]\nsecond "), F.when(tag != "", F.concat(F.lit("["), tag, F.lit("]"))).otherwise(F.lit("")))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.alias("t"))
     return rows.select("conv_id", "turn", grounding.sanitised(F.col("t"), F.array(F.lit("credit_policy_v1_p1"))).alias("answer"))
 

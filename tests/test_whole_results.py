@@ -27,3 +27,27 @@ def test_offline_answers(spark, tmp_path):
     got = offline_answers(spark, put(spark, tmp_path, benchmark=(asked, "item_id long, text string"), documents=(docs, "doc_id long, text string"))).collect()
     assert {r["item_id"]: (r["passages"], r["first"]) for r in got} == {k: (len(v), min(v)) for k, v in want.items() if v}
     assert want[22] == {62}
+
+
+def test_sanitised_answers(spark, tmp_path):
+    import re
+
+    from dossierlake.operators import grounding
+    from dossierlake.plans.text_queries import sanitised_answers
+
+    texts = ["short", "a first line of more than forty characters [made_up_2] and more\nthe second [DOC-7] line\nthe third", "x" * 60 + "\n[other_1] [other_2]\n\nend of it", "", None]
+    rows = [(i, t, x) for i in range(3) for t, x in enumerate(texts)]
+    allowed = {"credit_policy_v1_p1", *grounding.POLICY_ALIASES["credit_policy_v1_p1"]}
+
+    def judged(conv, text):
+        if text is None:
+            return "> ⚠️ [ABSTENTION: Summary empty or missing.]"
+        out, dropped = [], False
+        for line in (text + " [CHUNK-POLICY-SAL-02]\nsecond " + {0: "[credit_policy_v1_p1]", 1: "[made_up_1]", 2: ""}[conv]).split("\n"):
+            bad = [c for c in dict.fromkeys(re.findall(grounding.CITATION, line)) if c not in allowed and not c.upper().startswith(tuple(grounding.EXEMPT))]
+            out.append(f"> ⚠️ [UNGROUNDED CLAIM DROPPED - Unauthorized citations: {', '.join(bad)}]" if bad else line)
+            dropped |= bool(bad)
+        return "\n".join(out) + ("\n\n> ⚠️ [ABSTENTION: One or more claims were dropped due to lack of verified citation grounding.]" if dropped else "")
+
+    got = sanitised_answers(spark, put(spark, tmp_path, conversations=(rows, "conv_id long, turn int, text string"))).collect()
+    assert {(r["conv_id"], r["turn"]): r["answer"] for r in got} == {(c, t): judged(c, x) for c, t, x in rows}
