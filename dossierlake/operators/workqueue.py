@@ -63,6 +63,12 @@ def merge_history(existing: Column, new: Column) -> Column:
     return F.concat(existing, F.filter(new, lambda x: ~F.array_contains(existing, x)))
 
 
+def merge_rows(existing: DataFrame, new: DataFrame, key: str, entry: str) -> DataFrame:
+    """``merge_history`` of rows: the existing ones and the new ones of which the key's existing ones don't have the entry. Nulls are equal."""
+    have = existing.select(F.col(key).alias("_k"), F.col(entry).alias("_e")).distinct()
+    return existing.unionByName(new.join(have, F.col(key).eqNullSafe(F.col("_k")) & F.col(entry).eqNullSafe(F.col("_e")), "left_anti"))
+
+
 def admit(times: list[float], window: float, limit: int) -> list[tuple[bool, int, int]]:
     """(allowed, remaining, retry_after) of requests in order: a request counts only if it was allowed."""
     live: list[float] = []

@@ -84,13 +84,13 @@ def slot_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("history_merge", """WITH o AS (SELECT user_id, list(event_type ORDER BY ts, event_id) AS all_ FROM events GROUP BY 1) SELECT user_id, array_to_string(list_concat(all_[1:3], list_filter(all_[4:6], lambda x: NOT list_contains(all_[1:3], x))), ',') AS history FROM o""")
 def history_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A user's first three events, and of the next three those kinds that aren't among them. At most six events a user are gathered."""
-    first = W.transitions(table(spark, sf_dir, "events", "event_id", "user_id", "event_type", "ts"), "user_id", "ts", "event_id", "event_type")
+    """A user's first three events, and of all later ones those of kinds that aren't among them."""
     from pyspark.sql import Window
 
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    six = first.withColumn("n", n).filter("n <= 6").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "event_type"))), lambda x: x["event_type"]).alias("h"))
-    return six.select("user_id", F.array_join(W.merge_history(F.slice("h", 1, 3), F.slice("h", 4, 3)), ",").alias("history"))
+    events = table(spark, sf_dir, "events", "event_id", "user_id", "event_type", "ts").select("user_id", "event_type", n.alias("n"))
+    merged = W.merge_rows(events.filter("n <= 3"), events.filter("n > 3"), "user_id", "event_type")
+    return merged.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "event_type"))), lambda x: x["event_type"]), ",").alias("history"))
 
 
 @query("json_props", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")

@@ -51,3 +51,18 @@ def test_sanitised_answers(spark, tmp_path):
 
     got = sanitised_answers(spark, put(spark, tmp_path, conversations=(rows, "conv_id long, turn int, text string"))).collect()
     assert {(r["conv_id"], r["turn"]): r["answer"] for r in got} == {(c, t): judged(c, x) for c, t, x in rows}
+
+
+def test_history_merge(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from dossierlake.plans.ops_queries import history_merge
+
+    pick = random.Random(2)
+    rows = [(i, pick.choice([1, 2, 3, 4]), pick.choice("abcdef"), datetime(2024, 1, 1) + timedelta(hours=pick.randint(0, 40))) for i in range(60)] + [(60, 5, "a", datetime(2024, 1, 1)), (61, None, "b", datetime(2024, 1, 1))]
+    want = {}
+    for user in {r[1] for r in rows}:
+        kinds = [r[2] for r in sorted((r for r in rows if r[1] == user), key=lambda r: (r[3], r[0]))]
+        want[user] = ",".join(kinds[:3] + [k for k in kinds[3:] if k not in kinds[:3]])
+    got = history_merge(spark, put(spark, tmp_path, events=(rows, "event_id long, user_id long, event_type string, ts timestamp"))).collect()
+    assert {r["user_id"]: r["history"] for r in got} == want
