@@ -22,9 +22,9 @@ def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("term_df", f"SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({_WORDS}) AS term FROM documents) GROUP BY term HAVING count(*) > 1")
 def term_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """In how many documents each word occurs, of those in more than one."""
+    """In how many documents each word occurs."""
     words = spread(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", F.explode(F.array_distinct(T.words("text"))).alias("term"))
-    return words.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    return words.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 @query(

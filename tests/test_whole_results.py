@@ -66,3 +66,11 @@ def test_history_merge(spark, tmp_path):
         want[user] = ",".join(kinds[:3] + [k for k in kinds[3:] if k not in kinds[:3]])
     got = history_merge(spark, put(spark, tmp_path, events=(rows, "event_id long, user_id long, event_type string, ts timestamp"))).collect()
     assert {r["user_id"]: r["history"] for r in got} == want
+
+
+def test_term_df(spark, tmp_path):
+    from dossierlake.plans.text_queries import term_df
+
+    docs = [(1, "One word, one MORE"), (2, "more of it"), (3, ""), (4, None)]
+    got = term_df(spark, put(spark, tmp_path, documents=(docs, "doc_id long, text string"))).collect()
+    assert {r["term"]: r["df"] for r in got} == {"one": 1, "word": 1, "more": 2, "of": 1, "it": 1}
