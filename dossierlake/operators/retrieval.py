@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -15,6 +17,8 @@ from ..functions import text as T
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
 #: Different words whose hits a task remembers.
 REMEMBERED = 300_000
+#: Words of a TF-IDF vector, and passages that are multiplied at once.
+FEATURES, BLOCK = 256, 1024
 
 
 def postings(passages: DataFrame, key: str, text: str) -> DataFrame:
@@ -135,6 +139,53 @@ def holding(passages: DataFrame, queries: DataFrame, key: str, text: str, query_
     return total.join(F.broadcast(names), "i").select(query_key, "passages", "first")  # one row a query
 
 
+def by_tfidf(passages: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, query_text: str, k: int, features: int = FEATURES) -> DataFrame:
+    """(query_key, key, score, rank): the k passages with the most similar (cosine) TF-IDF vectors; ties, also of zeros, to the smaller key. Blank queries give none.
+
+    A vector has the commonest words of two characters or more that aren't English stop words, each with its count times ln((1 + N) / (1 + df)) + 1.
+    The queries' vectors go to every task, which multiplies blocks of passages with them and keeps the k best a query. Keys are integers.
+    """
+    spark = passages.sparkSession
+    stop = set(StopWordsRemover.loadDefaultStopWords("english"))
+    words = passages.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), T.words(text).alias("w"))
+    long = F.filter("w", lambda w: F.length(w) > 1)
+    common = words.select(F.explode(long).alias("term")).filter(~F.col("term").isin(*stop)).groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "term").limit(features)
+    vocabulary = sorted(r["term"] for r in common.collect())
+    holds = words.select(F.explode(F.array_intersect("w", F.array(*map(F.lit, vocabulary)).cast("array<string>"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df, n = dict(holds.collect()), passages.count()
+    idf = np.array([np.log((1 + n) / (1 + df[t])) + 1 for t in vocabulary])
+    asked = queries.filter(F.trim(F.coalesce(F.col(query_text), F.lit(""))) != "").select(query_key, T.words(query_text).alias("w")).toArrow().combine_chunks()
+
+    def vectors(lists: pa.Array) -> np.ndarray:
+        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+        at = pc.index_in(lists.flatten(), value_set=pa.array(vocabulary, pa.string())).to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+        used = ~np.isnan(at.astype(float))
+        flat = np.bincount(row[used] * len(vocabulary) + at[used].astype(np.int64), minlength=len(lists) * len(vocabulary))
+        v = flat.reshape(len(lists), len(vocabulary)) * idf
+        norm = np.sqrt((v * v).sum(1, keepdims=True))
+        return v / np.where(norm == 0, 1, norm)
+
+    sent = spark.sparkContext.broadcast(vectors(asked["w"]) if len(asked) else np.zeros((0, len(vocabulary))))
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = sent.value
+        keys, scores = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0))
+        for batch in batches:
+            for start in range(0, len(batch), BLOCK):
+                part = batch.slice(start, BLOCK)
+                more = np.round(q @ vectors(part.column(1)).T, 6) + 0.0
+                keys = np.hstack([keys, np.broadcast_to(part.column(0).to_numpy(), more.shape)])
+                scores = np.hstack([scores, more])
+                best = np.lexsort((keys, -scores), axis=-1)[:, :k]
+                keys, scores = np.take_along_axis(keys, best, 1), np.take_along_axis(scores, best, 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(q)), keys.shape[1]), pa.int32()), pa.array(keys.ravel()), pa.array(scores.ravel())], ["i", "key", "score"])
+
+    found = words.mapInArrow(rank, "i int, key long, score double")
+    names = spark.createDataFrame([(i, x.as_py()) for i, x in enumerate(asked[query_key])], f"i int, {query_key} {queries.schema[query_key].dataType.simpleString()}")
+    return top(found.join(F.broadcast(names), "i").select(query_key, F.col("key").alias(key), "score"), query_key, key, k)  # one row a query
+
+
 def top(scored: DataFrame, query_key: str, key: str, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), key))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)

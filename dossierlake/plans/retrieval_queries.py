@@ -65,13 +65,13 @@ _FUSED = f"""{_OVER}, f AS (SELECT coalesce(a.item_id, b.item_id) AS item_id, co
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, asked = _corpus(spark, sf_dir)
     deep = retrieval.depth(K)
-    other = retrieval.overlap(docs, asked, "doc_id", "text", "item_id", "question", deep)
+    other = retrieval.by_tfidf(docs, asked, "doc_id", "text", "item_id", "question", deep)
     return retrieval.fuse(_bm25(spark, sf_dir, deep), other, "item_id", "doc_id", K)
 
 
 @query("rrf_fusion", f"WITH {_FUSED} SELECT item_id, doc_id, lex_rank, dense_rank, score, rank FROM fr WHERE rank <= {K}")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two rankings fused by reciprocal ranks."""
+    """The rankings by BM25 and by TF-IDF vectors fused by reciprocal ranks."""
     return _fused(spark, sf_dir).select("item_id", "doc_id", "lex_rank", "dense_rank", "score", "rank")
 
 

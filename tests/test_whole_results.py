@@ -74,3 +74,35 @@ def test_term_df(spark, tmp_path):
     docs = [(1, "One word, one MORE"), (2, "more of it"), (3, ""), (4, None)]
     got = term_df(spark, put(spark, tmp_path, documents=(docs, "doc_id long, text string"))).collect()
     assert {r["term"]: r["df"] for r in got} == {"one": 1, "word": 1, "more": 2, "of": 1, "it": 1}
+
+
+def test_rrf_fusion_ranks_by_vectors(spark, tmp_path):
+    import math
+    from collections import Counter
+
+    from dossierlake.plans.retrieval_queries import rrf_fusion
+
+    pick = random.Random(3)
+    words = [f"w{i}" for i in range(300)]
+    docs = [(i, " ".join(pick.choices(words, [1 / (j + 1) for j in range(300)], k=pick.randint(20, 60)) + ["the", "and"])) for i in range(60)]
+    asked = [(i, " ".join(pick.choices(words[:60], k=4)) + " the and the") for i in range(6)] + [(6, " "), (7, "unheard")]
+    terms = {d: [w for w in t.split() if w not in ("the", "and")] for d, t in docs}
+    total = Counter(w for ws in terms.values() for w in ws)
+    kept = sorted(total, key=lambda w: (-total[w], w))[:256]
+    idf = {w: math.log(61 / (1 + sum(w in ws for ws in terms.values()))) + 1 for w in kept}
+
+    def unit(ws):
+        v = {w: n * idf[w] for w, n in Counter(ws).items() if w in idf}
+        norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
+        return {w: x / norm for w, x in v.items()}
+
+    held = {d: unit(ws) for d, ws in terms.items()}
+    ranks = {}
+    for item, text in asked:
+        q = unit(text.split())
+        order = sorted(held, key=lambda d: (-round(sum(x * held[d].get(w, 0) for w, x in q.items()), 6), d))[:15]
+        ranks |= {(item, d): n for n, d in enumerate(order, 1)} if text.strip() else {}
+    got = rrf_fusion(spark, put(spark, tmp_path, benchmark=(asked, "item_id long, text string"), documents=(docs, "doc_id long, text string"))).collect()
+    assert all(r["dense_rank"] == ranks.get((r["item_id"], r["doc_id"])) for r in got)
+    assert Counter(r["item_id"] for r in got) == dict.fromkeys([0, 1, 2, 3, 4, 5, 7], 5)
+    assert any(r["lex_rank"] is not None and r["dense_rank"] is not None for r in got)
