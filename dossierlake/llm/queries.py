@@ -44,11 +44,11 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that the chain calls toxic, with each category's probability; the operator itself scores every document."""
+    """Every document with each category's probability, and whether the chain calls it toxic."""
     docs = _read(spark, sf_dir, "documents", "doc_id", "text")
     chain = toxicity.train(docs, _read(spark, sf_dir, "labels", "doc_id", "toxic"))
     scored = toxicity.probabilities(docs, chain)
-    return scored.filter(F.col("toxic") >= TOXIC_THRESHOLD).select("doc_id", F.lit(True).alias("flagged"), *[F.col(c).alias(f"p_{c}") for c in toxicity.CATEGORIES])
+    return scored.select("doc_id", (F.col("toxic") >= TOXIC_THRESHOLD).alias("flagged"), *[F.col(c).alias(f"p_{c}") for c in toxicity.CATEGORIES])
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -190,3 +190,11 @@ def test_pipeline(spark):
     assert kept.columns == docs.columns and kept.filter("doc_id in (9001, 9002)").count() == 0 and kept.count() > 190
     assert P.tokens(spark, odd, SF).filter("doc_id = 9001 and n_tokens = 0").count() == 1
     assert P.quality(spark, docs.limit(0), SF).count() == 0
+
+
+def test_toxicity_query_gives_every_document(spark):
+    from dossierlake.llm import queries as Q
+
+    got = Q.op3_toxicity_chain(spark, SF).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(r["doc_id"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect())
+    assert all(r["flagged"] == (r["p_toxic"] >= Q.TOXIC_THRESHOLD) for r in got) and {r["flagged"] for r in got} == {True, False}
