@@ -198,3 +198,20 @@ def test_toxicity_query_gives_every_document(spark):
     got = Q.op3_toxicity_chain(spark, SF).collect()
     assert sorted(r["doc_id"] for r in got) == sorted(r["doc_id"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect())
     assert all(r["flagged"] == (r["p_toxic"] >= Q.TOXIC_THRESHOLD) for r in got) and {r["flagged"] for r in got} == {True, False}
+
+
+def test_pipeline_keeps_other_texts_of_an_id(spark):
+    import corpus_pipeline as P
+
+    text = {c: " ".join(f"{c}{i}" for i in range(40)) for c in "abcdef"}
+    rows = [(1, text["a"]), (2, text["a"]), (2, text["b"]), (3, text["c"]), (3, text["d"]), (3, text["d"]), (4, text["e"]), (5, text["e"]), (5, text["d"]), (None, text["f"]), (None, text["f"])]
+    docs = spark.createDataFrame([(i, t, "xx", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    got = sorted((r["doc_id"] or 0, r["text"][0]) for r in P.near_duplicates(spark, docs, SF).collect())
+    assert got == [(0, "f"), (0, "f"), (1, "a"), (2, "b"), (3, "c"), (3, "d"), (4, "e")]
+
+
+def test_language_stage_without_labels(spark):
+    import corpus_pipeline as P
+
+    docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(["some words", "12 34", "", None, "é"] * 4)], "doc_id long, text string, lang string")
+    assert sorted(r["text"] for r in P.language(spark, docs, SF).collect()) == ["some words"] * 4 + ["é"] * 4
