@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+import numpy as np
+from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +32,18 @@ def char_ngrams(text: str, low: int = 3, high: int = 5) -> Column:
     return F.concat(*runs)
 
 
+class Sublinear(Transformer, HasInputCol, HasOutputCol):
+    """Counts n as 1 + ln(n)."""
+
+    def __init__(self, inputCol: str, outputCol: str) -> None:
+        super().__init__()
+        self._set(inputCol=inputCol, outputCol=outputCol)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        damped = F.udf(lambda v: SparseVector(v.size, v.indices, 1 + np.log(v.values)), VectorUDT())
+        return dataset.withColumn(self.getOutputCol(), damped(self.getInputCol()))
+
+
 def fit(pages: DataFrame, text: str = "text", label: str = "label", word_features: int = WORD_FEATURES, char_features: int = CHAR_FEATURES, c: float = 10.0) -> PipelineModel:
     """A model of balanced classes on features of ``featured`` pages."""
     rows = featured(pages, text)
@@ -37,7 +52,7 @@ def fit(pages: DataFrame, text: str = "text", label: str = "label", word_feature
     rows = rows.join(F.broadcast(counts), label).withColumn("weight", F.lit(float(total)) / (kinds * F.col("_n")))  # one row a class
     stages = [StringIndexer(inputCol=label, outputCol="_y", handleInvalid="error", stringOrderType="alphabetAsc")]
     for name, size in (("w", word_features), ("c", char_features)):
-        stages += [CountVectorizer(inputCol=f"_{name}", outputCol=f"_{name}n", vocabSize=size), IDF(inputCol=f"_{name}n", outputCol=f"_{name}i"), Normalizer(inputCol=f"_{name}i", outputCol=f"_{name}u")]
+        stages += [CountVectorizer(inputCol=f"_{name}", outputCol=f"_{name}n", vocabSize=size), Sublinear(inputCol=f"_{name}n", outputCol=f"_{name}s"), IDF(inputCol=f"_{name}s", outputCol=f"_{name}i"), Normalizer(inputCol=f"_{name}i", outputCol=f"_{name}u")]
     stages += [VectorAssembler(inputCols=["_wu", "_cu"], outputCol="_x"), LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="weight", probabilityCol="_p", predictionCol="_k", rawPredictionCol="_r", regParam=1.0 / (c * total), standardization=False, family="multinomial", maxIter=60)]
     return Pipeline(stages=stages).fit(rows)
 

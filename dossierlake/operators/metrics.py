@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "UNKNOWN"
@@ -30,6 +30,12 @@ def summary(report: DataFrame) -> DataFrame:
     return report.agg(F.round(F.avg("f1"), 6).alias("macro_f1"), F.round(F.sum(F.col("f1") * F.col("support")) / F.sum("support"), 6).alias("weighted_f1"))
 
 
+def chosen(baseline_f1: Column, challenger_f1: Column, margin: float = 0.03) -> Column:
+    """CHALLENGER if its macro-F1 is better by more than the margin, else BASELINE; a missing one counts as 0."""
+    gain = F.coalesce(challenger_f1, F.lit(0.0)) - F.coalesce(baseline_f1, F.lit(0.0))
+    return F.when(gain > margin, "CHALLENGER").otherwise("BASELINE")
+
+
 def with_abstention(predictions: DataFrame, label: str, confidence: str, threshold: float) -> DataFrame:
     """``decided``: the label, or UNKNOWN below the threshold."""
     return predictions.withColumn("decided", F.when(F.col(confidence) >= threshold, F.col(label)).otherwise(UNKNOWN))

@@ -234,3 +234,41 @@ def retrieval_report(judged_: DataFrame, split: str) -> DataFrame:
     """Recall and mean reciprocal rank of each split and overall."""
     recall, mrr = F.round(F.avg(F.col("hit").cast("double")), 4), F.round(F.avg("reciprocal_rank"), 4)
     return judged_.rollup(split).agg(F.count(F.lit(1)).alias("n"), recall.alias("recall"), mrr.alias("mrr")).withColumn(split, F.coalesce(split, F.lit("overall")))
+
+
+def grounding_precision(ranked: DataFrame, split: str, authorised: Column) -> DataFrame:
+    """(split, precision): the share of retrieved passages that their query may see, of each split and overall; 0 without any."""
+    return ranked.rollup(split).agg(F.round(F.coalesce(F.avg(authorised.cast("double")), F.lit(0.0)), 4).alias("precision")).withColumn(split, F.coalesce(split, F.lit("overall")))
+
+
+# What is asked of the policies always, and for each rule that flags.
+ALWAYS_ASKED = ["retail credit underwriting policy debt-to-income DTI salary tolerance", "mandatory documents checklist payslip bank statement ITR KYC"]
+ASKED_IF_FLAGGED = {
+    "RULE-INC-01": "payslip net salary bank statement salary credit reconciliation tolerance percent",
+    "RULE-COMP-01": "mandatory documentation checklist application form consecutive payslips",
+    "RULE-TAX-01": "income tax return ITR gross total income reconciliation discrepancy",
+    "RULE-ID-01": "identity KYC PAN verification fuzzy name match guidelines",
+    "RULE-BANK-01": "bank statement balance arithmetic opening closing balance credits debits",
+}
+# Passages that are cited whatever was retrieved, the first two for a rule that flags.
+BACKSTOP = [("RULE-INC-01", "credit_policy_v1_p1"), ("RULE-COMP-01", "credit_policy_v1_p2"), (None, "kyc_guidelines_v1_p1"), (None, "CHUNK-POLICY-REQ-01"), (None, "CHUNK-POLICY-SAL-02"), (None, "CHUNK-POLICY-TAX-03")]
+
+
+def _flagged(findings: Column, rule: str) -> Column:
+    return F.coalesce(F.exists(findings, lambda x: (x["rule_id"] == rule) & (x["verdict"] == "flag")), F.lit(False))
+
+
+def _if(condition: Column, value: str) -> Column:
+    return F.when(condition, F.array(F.lit(value))).otherwise(F.array().cast("array<string>"))
+
+
+def policy_queries(findings: Column) -> Column:
+    """The texts to search the policies for, from an array of (rule_id, verdict)."""
+    return F.concat(F.array(*map(F.lit, ALWAYS_ASKED)), *[_if(_flagged(findings, rule), text) for rule, text in ASKED_IF_FLAGGED.items()])
+
+
+def with_backstop(retrieved: Column, findings: Column) -> Column:
+    """Retrieved ids and, after them, the ids that must be cited and aren't there."""
+    must = F.concat(*[_if(F.lit(True) if rule is None else _flagged(findings, rule), chunk) for rule, chunk in BACKSTOP])
+    have = F.coalesce(retrieved, F.array().cast("array<string>"))
+    return F.concat(have, F.array_except(must, have))

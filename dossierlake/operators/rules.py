@@ -36,10 +36,18 @@ def income(net: Column, credits: Column, tolerance: float = 0.05) -> Column:
     return F.when(~F.coalesce(sound, F.lit(False)), UNKNOWN).when(F.abs(net * n - total) <= tol * net * n, PASS).otherwise(FLAG)
 
 
-def tax(stated: Column, yearly: Column, monthly: Column | None = None, tolerance: float = 0.10) -> Column:
-    """RULE-TAX-01: annual income of the tax return against the stated one, or twelve times the monthly one."""
-    base = yearly if monthly is None else F.coalesce(monthly * 12, yearly)
-    return within(base, stated, tolerance)
+def tax(stated: Column, yearly: Column, monthly: Column | None = None, tolerance: float = 0.10, period: Column | None = None, is_monthly: Column | None = None) -> Column:
+    """RULE-TAX-01: annual income of the tax return against twelve times the monthly one, or without it against the stated one.
+
+    Whether the stated one is a month's says is_monthly, else period ("annual", "monthly"), else which of the two is closer to the return.
+    An invalid tolerance counts as 0.10.
+    """
+    closer = F.abs(yearly * 12 - stated) < F.abs(yearly - stated)
+    flag, named = (F.lit(None) if x is None else x for x in (is_monthly, period))
+    of_month = F.coalesce(flag.cast("boolean"), F.when(named == "monthly", True).when(named == "annual", False), closer)
+    base = F.when(of_month, yearly * 12).otherwise(yearly)
+    base = base if monthly is None else F.coalesce(monthly * 12, base)
+    return within(base, stated, tolerance if 0 <= tolerance < float("inf") else 0.10)
 
 
 def deviation_direction(stated: Column, observed: Column) -> Column:
@@ -105,3 +113,14 @@ def findings(**verdicts: Column) -> Column:
 
 def all_clear(found: Column) -> Column:
     return ~F.exists(found, lambda x: x["verdict"] != PASS)
+
+
+def review_problem(decision: Column, notes: Column, corrections: Column, typed_id: Column, application_id: Column) -> Column:
+    """What forbids a reviewer's decision, the first of: notes too short or too long, too many corrections, another id typed. Null if nothing does."""
+    clean = F.length(F.regexp_replace(F.coalesce(notes, F.lit("")), r"(?U)^\s+|\s+$", ""))
+    return (
+        F.when(decision.isin("REJECTED", "NEEDS_INFO") & (clean < 5), "notes_too_short")
+        .when(clean > 5000, "notes_too_long")
+        .when(F.coalesce(F.size(corrections), F.lit(0)) > 50, "too_many_corrections")
+        .when(F.regexp_replace(typed_id, r"(?U)^\s+|\s+$", "") != application_id, "id_differs")
+    )

@@ -171,7 +171,7 @@ def split_disjoint(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("page_classifier")
 def page_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of synthetic dossiers, fitted on forty and predicted for as many as there are customers."""
-    fitted = classify.fit(synth.page_texts(synth.dossiers(spark, 40)), word_features=2000, char_features=2000)
+    fitted = classify.fit(synth.page_texts(synth.dossiers(spark, 40)))
     pages = synth.page_texts(synth.dossiers(spark, table(spark, sf_dir, "customer").count()))
     return classify.predict(fitted, pages).select("application_id", "label", "label_pred", F.round("confidence", 3).alias("confidence"), "reason")
 

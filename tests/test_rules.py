@@ -77,3 +77,38 @@ def test_slots(spark):
 def test_money_is_exact(spark):
     assert verdict(spark, R.within(d("100.00"), d("95.00"), 0.05)) == "pass"
     assert spark.range(1).select(R.poisoned_sum(d("1")).alias("x")).first()["x"] == Decimal("1.00")
+
+
+@pytest.mark.parametrize(("stated", "yearly", "period", "is_monthly", "want"), [("1200", "100", None, None, "pass"), ("1200", "1200", None, None, "pass"), ("1200", "100", "annual", None, "flag"), ("1200", "1200", "monthly", None, "flag"), ("1200", "1200", "annual", True, "flag"), ("1200", "100", "monthly", False, "flag"), ("1200", "100", "annual", True, "pass")])
+def test_tax_period(spark, stated, yearly, period, is_monthly, want):
+    assert verdict(spark, R.tax(d(stated), d(yearly), period=F.lit(period), is_monthly=F.lit(is_monthly))) == want
+    assert verdict(spark, R.tax(d("1080"), d("1200"), tolerance=-1.0, period=F.lit("annual"))) == "pass"
+
+
+@pytest.mark.parametrize(("decision", "notes", "n", "typed", "want"), [("REJECTED", " abcd ", 0, None, "notes_too_short"), ("REJECTED", "abcde", 50, " A1 ", None), ("APPROVED", None, 51, None, "too_many_corrections"), ("APPROVED", "x" * 5001, 0, None, "notes_too_long"), ("APPROVED", None, 0, "a1", "id_differs")])
+def test_review_problem(spark, decision, notes, n, typed, want):
+    assert verdict(spark, R.review_problem(F.lit(decision), F.lit(notes), F.array_repeat(F.lit(1), n), F.lit(typed), F.lit("A1"))) == want
+
+
+def test_choice_precision_and_policy_queries(spark):
+    from dossierlake.operators import metrics, retrieval
+
+    assert [verdict(spark, metrics.chosen(F.lit(0.90), F.lit(x))) for x in (0.92, 0.94)] == ["BASELINE", "CHALLENGER"]
+    rows = spark.createDataFrame([("dev", True), ("dev", False), ("held_out", True)], "split string, mine boolean")
+    assert {r["split"]: r["precision"] for r in retrieval.grounding_precision(rows, "split", F.col("mine")).collect()} == {"dev": 0.5, "held_out": 1.0, "overall": 0.6667}
+    found = R.findings(**{"RULE_INC_01": F.lit("flag"), "RULE_COMP_01": F.lit("pass")})
+    assert len(verdict(spark, retrieval.policy_queries(found))) == 3
+    assert verdict(spark, retrieval.with_backstop(F.array(F.lit("x"), F.lit("CHUNK-POLICY-SAL-02")), found)) == ["x", "CHUNK-POLICY-SAL-02", "credit_policy_v1_p1", "kyc_guidelines_v1_p1", "CHUNK-POLICY-REQ-01", "CHUNK-POLICY-TAX-03"]
+
+
+def test_counts_are_damped(spark):
+    import math
+
+    from dossierlake.operators import classify
+
+    pages = spark.createDataFrame([("pay pay pay", "a"), ("tax", "b")], "text string, label string")
+    model = classify.fit(pages)
+    rows = classify.featured(pages)
+    for stage in model.stages[1:3]:
+        rows = stage.transform(rows)
+    assert {round(float(x), 6) for r in rows.select("_ws").collect() for x in r["_ws"].values} == {1.0, round(1 + math.log(2), 6), round(1 + math.log(3), 6)}
