@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,8 +38,8 @@ class Sublinear(Transformer, HasInputCol, HasOutputCol):
         self._set(inputCol=inputCol, outputCol=outputCol)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        damped = F.udf(lambda v: SparseVector(v.size, v.indices, 1 + np.log(v.values)), VectorUDT())
-        return dataset.withColumn(self.getOutputCol(), damped(self.getInputCol()))
+        counts = vector_to_array(self.getInputCol())
+        return dataset.withColumn(self.getOutputCol(), array_to_vector(F.transform(counts, lambda n: F.when(n > 0, 1 + F.log(n)).otherwise(0.0))))
 
 
 def fit(pages: DataFrame, text: str = "text", label: str = "label", word_features: int = WORD_FEATURES, char_features: int = CHAR_FEATURES, c: float = 10.0) -> PipelineModel:
