@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import schema_with, small_batches
+from .common import schema_with
 
 MAX_RANK_BYTES = 64 << 20
 PIECE_CHARS = 1 << 16
@@ -76,7 +76,6 @@ def _ranks(spark: SparkSession, path: str):
 
 def with_ids(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``docs`` and its texts' ids as array<int>."""
-    small_batches(docs.sparkSession)
     ranks = _ranks(docs.sparkSession, rank_path)
     where = docs.columns.index(text_col)
 
@@ -91,7 +90,6 @@ def with_ids(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "tex
 
 def with_bytes(docs: DataFrame, rank_path: str, pattern: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
     """``docs`` and the raw bytes of its ids; null for null ids. An id outside the vocabulary raises KeyError."""
-    small_batches(docs.sparkSession)
     ranks = _ranks(docs.sparkSession, rank_path)
     where = docs.columns.index(ids_col)
 
@@ -106,7 +104,6 @@ def with_bytes(docs: DataFrame, rank_path: str, pattern: str, ids_col: str = "id
 
 def round_trip(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, ids_sha256 and decoded_sha256 of every row, without the ids leaving the worker."""
-    small_batches(docs.sparkSession)
     ranks = _ranks(docs.sparkSession, rank_path)
     rows = docs.select(id_col, text_col)
 

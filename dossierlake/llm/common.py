@@ -13,8 +13,6 @@ from pyspark.sql.types import StructType
 
 #: Rows up to which a side of long ids may be broadcast (about 50 MB as a hash table); beyond, joins shuffle.
 BROADCAST_ROWS = 500_000
-#: Rows of an Arrow batch for columns of texts. Batches of Spark's usual 10,000 long texts would not be bounded in practice.
-TEXT_BATCH = 512
 
 _own: str | None = None
 
@@ -59,13 +57,6 @@ def release(spark: SparkSession) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of few rows unless the session already asks for fewer."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= TEXT_BATCH:
-        spark.conf.set(key, TEXT_BATCH)
-
-
 def schema_with(df: DataFrame, **more: str) -> StructType:
     """The schema of ``df`` and further columns; a copy, as StructType.add changes the original."""
     added = StructType.fromDDL(", ".join(f"`{k}` {v}" for k, v in more.items()))
@@ -100,3 +91,13 @@ def components(links: DataFrame) -> DataFrame:
         before = now
     out = edges.select(F.col("b").alias("node"), F.col("a").alias("component"))
     return out.union(edges.select("a", "a").distinct())
+
+
+def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (node, component) once ``links`` (a, b) have joined some of them; ``comps`` need not hold nodes that are alone."""
+    own = lambda c: links.select("a", "b").join(comps.withColumnRenamed("node", c), c, "left").withColumn(c, F.coalesce("component", c)).drop("component")
+    links = own("a")
+    links = own("b").filter("a <> b").select("a", "b").distinct()
+    new = components(links)
+    old = comps.join(new.withColumnRenamed("component", "low"), F.col("component") == new["node"], "left").select(comps["node"], F.coalesce("low", "component").alias("component"))
+    return old.unionByName(new.join(comps.select("node"), "node", "left_anti"))

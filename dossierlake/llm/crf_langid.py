@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .common import schema_with, scratch, small_batches
+from .common import schema_with, scratch
 
 CHAIN = 256
 #: Forms of words whose features are worked out at once.
@@ -263,7 +263,6 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 def languages(docs: DataFrame, weights: dict | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) of every row."""
     spark = docs.sparkSession
-    small_batches(spark)
     sent = spark.sparkContext.broadcast(weights)  # bounded by the numbers of features, languages and lexicon entries
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,7 +277,6 @@ def languages(docs: DataFrame, weights: dict | None, id_col: str = "doc_id", tex
 def with_language(docs: DataFrame, weights: dict | None, text_col: str = "text") -> DataFrame:
     """``docs`` with lang_pred and lang_score."""
     spark = docs.sparkSession
-    small_batches(spark)
     sent = spark.sparkContext.broadcast(weights)
     where = docs.columns.index(text_col)
 

@@ -9,16 +9,25 @@ for them every bound below is exact.
    as any partner within the threshold must share one of (prefix filtering). Values that one node retains need no list.
    For two whole sets the overlap that their sizes ask for bounds the ranks that a shared value can have in both.
 3. Lists of up to ``pair_up_to`` nodes give their pairs. A longer list gives each node with the list's most central
-   node; after these links are known, whatever pairs of the list are still in different components follow, all of them.
+   node. Lists whose nodes are then in one component are done; the others go on as groups, one for each central node.
 4. The union sketch (the k smallest of both) estimates a pair's similarity; pairs more than five standard deviations
    below the threshold go. Both the lists' bound and this one lose a link at the threshold with a probability
-   below 1e-5, and more similar ones far less.
+   below 1e-5, and more similar ones far less. For nodes retained whole nothing is estimated.
 5. The rest are verified on full sets; for nodes that are retained whole the estimate is that verification already.
-6. Connected components of the links.
+6. Groups (``_across``), on full sets. Where all but ``pair_up_to`` nodes of a group are in one component, those few are
+   compared with the others. A larger rest is settled by edits: the shingles that more than half of the group hold are
+   its centre, and a node's edits are what it holds beside the centre or lacks of it. Edits tell distances: two nodes
+   differ in the sum of their edits less twice those they share. So two nodes whose edits are few enough are linked
+   without a look at their sets, and one row for each node (with the node nearest to the centre) states all those links;
+   two others must share edits, as many as their numbers ask for, and meet in inverted lists of their rarest edits.
+   Each such list holds at most half of the group and is a group of the next round, so rounds end by halving.
+   No step makes a row for each pair of a group: rows are nodes, edits, or at most ``pair_up_to`` partners a node.
+7. Connected components of the links.
 
 Defined results: null or empty texts and texts of white space have an empty set, are linked with nothing, and stay.
 Rows with a null id stay in no component (null) and are kept. Rows that share an id count as one document, linked
-over any of their texts. Repeated rows are copies. Further columns of the input are ignored.
+over any of their texts. Repeated rows are copies. Ties between nodes are broken by the smaller id. Further columns of
+the input, whatever their names, are ignored. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -28,11 +37,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .common import components, forget, maybe_broadcast, scratch, small_batches
+from .common import BROADCAST_ROWS, components, forget, maybe_broadcast, merged, scratch
 
 SIGMAS = 5
 #: Keeps the lists of sketches apart from those of whole sets.
@@ -127,6 +136,16 @@ def _verify(percent: int):
     return run
 
 
+def _edits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (g, id, c, n, vals, centre) to (g, id, c, n, edits): what either array holds and the other does not."""
+    for batch in batches:
+        found = [np.setxor1d(x, y, assume_unique=True).view(np.int64) for x, y in zip(_lists(batch.column(4)), _lists(batch.column(5)), strict=True)]
+        off = np.zeros(len(found) + 1, np.int32)
+        np.cumsum([len(x) for x in found], out=off[1:])
+        edits = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], edits], ["g", "id", "c", "n", "edits"])
+
+
 def _with_sets(pairs: DataFrame, sets: DataFrame, extra: list[str]) -> DataFrame:
     """Pairs with both sides' columns, joined by id."""
     x = sets.select(F.col("id").alias("a"), *[F.col(c).alias(f"{c}_a") for c in extra])
@@ -138,79 +157,164 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
 
 
-def similarity_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, k: int = 128, whole: int = 512, pair_up_to: int = 16) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(profiles of the rows, nodes, links between nodes); see the module's text."""
+class _Linker:
+    """Verifies pairs of nodes, and finds the links within groups; holds the sets that both need."""
+
+    def __init__(self, texts: DataFrame, reps: DataFrame, percent: int, k: int, whole: int, pair_up_to: int):
+        self.texts, self.reps, self.percent, self.k, self.whole, self.pair_up_to = texts, reps, percent, k, whole, pair_up_to
+
+    def fits(self, x: Column, y: Column) -> Column:
+        """Whether sizes alone allow a link."""
+        return F.greatest(x, y) * self.percent <= F.least(x, y) * 100
+
+    def full(self, ids: DataFrame) -> DataFrame:
+        """(id, vals) of the given nodes that were not retained whole, from their texts."""
+        return self.texts.join(ids, "id", "left_semi").mapInArrow(_full, "id long, vals array<long>").filter(F.size("vals") > self.whole)
+
+    def linked(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) that are links."""
+        spark = self.reps.sparkSession
+        ends = scratch(_ends(pairs), "ends")
+        some = scratch(self.reps.join(maybe_broadcast(ends, ends.count()), "id", "left_semi"), "candidates")
+        kept = scratch(_with_sets(pairs, some, ["n", "vals"]).mapInArrow(_judge(self.percent, self.k, self.whole), "a long, b long, sure boolean"), "estimated")
+        forget(spark, some)
+        unsure = kept.filter("not sure").select("a", "b")
+        ends = scratch(_ends(unsure), "ends")
+        many = ends.count()
+        if not many:
+            return kept.select("a", "b")
+        sets = scratch(self.texts.join(maybe_broadcast(ends, many), "id", "left_semi").mapInArrow(_full, "id long, vals array<long>"), "sets")
+        out = scratch(kept.filter("sure").select("a", "b").union(_with_sets(unsure, sets, ["vals"]).mapInArrow(_verify(self.percent), "a long, b long")).distinct(), "links")
+        forget(spark, sets)
+        return out
+
+    def across(self, groups: DataFrame, links: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Links and components (node, component), once all pairs within the groups (g, id) are settled."""
+        spark, sets = self.reps.sparkSession, None
+        while True:
+            at = scratch(groups.distinct().join(comps.withColumnRenamed("node", "id"), "id", "left").select("g", "id", F.coalesce("component", "id").alias("c")), "members")
+            parts = at.groupBy("g", "c").agg(F.count(F.lit(1)).alias("size"))
+            whole = parts.groupBy("g").agg(F.sum("size").alias("size"), F.max(F.struct("size", -F.col("c"))).alias("x")).select("g", "size", (-F.col("x.col2")).alias("big"), (F.col("size") - F.col("x.size")).alias("minor"))
+            whole = scratch(whole.filter("minor > 0"), "groups")
+            few, many = whole.agg(F.count_if(F.col("minor") <= self.pair_up_to), F.count_if(F.col("minor") > self.pair_up_to)).first()
+            if not few + many:
+                return links, comps
+            at = at.join(maybe_broadcast(whole, few + many), "g")
+            sizes = self.reps.select("id", "n")
+            new = None
+            if few:
+                some = at.filter(F.col("minor") <= self.pair_up_to).join(sizes, "id")
+                rest = some.filter("c <> big").select("g", F.col("id").alias("x"), F.col("c").alias("c_x"), F.col("n").alias("n_x"))
+                pairs = some.select("g", "id", "c", "n").join(rest, "g").filter((F.col("c") != F.col("c_x")) & self.fits(F.col("n"), F.col("n_x")))
+                new = self.linked(scratch(pairs.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct(), "pairs"))
+            if many:
+                at = scratch(at.filter(F.col("minor") > self.pair_up_to).select("g", "id", "c", "size"), "members")
+                if sets is None:
+                    ids = scratch(at.select("id").distinct(), "ends")
+                    one = maybe_broadcast(ids, ids.count())
+                    kept = self.reps.filter(F.col("n") <= self.whole).select("id", "vals").join(one, "id", "left_semi")
+                    sets = scratch(kept.unionByName(self.full(one)).withColumn("n", F.size("vals").cast("long")), "sets")
+                near, groups = self.by_edits(spark, at, sets)
+                new = near if new is None else new.unionByName(near)
+            new = scratch(new, "links")
+            links, comps = links.unionByName(new), scratch(merged(comps, new), "components")
+            if not many:
+                return links, comps
+
+    def by_edits(self, spark: SparkSession, at: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """For members (g, id, c, size): links with the node nearest to each group's centre, and the lists of shared edits as groups (g, id)."""
+        up, down = 100 + self.percent, 100 - self.percent
+        held = at.join(sets, "id")
+        counts = held.select("g", "size", F.explode("vals").alias("v")).groupBy("g", "size", "v").agg(F.count(F.lit(1)).alias("df"))
+        centre = scratch(counts.filter("2 * df > size").groupBy("g").agg(F.array_sort(F.collect_list("v")).alias("centre")), "centres")  # as long as twice its nodes' sets
+        much = centre.agg(F.sum(F.size("centre"))).first()[0] or 0
+        held = held.select("g", "id", "c", "n", "vals").join(maybe_broadcast(centre, much), "g", "left")
+        empty = F.array().cast("array<long>")
+        edits = held.withColumn("centre", F.coalesce("centre", empty)).mapInArrow(_edits, "g long, id long, c long, n long, edits array<long>")
+        edits = scratch(edits.withColumn("s", up * F.size("edits") - down * F.col("n")).withColumn("row", F.monotonically_increasing_id()), "edits")
+        first = scratch(edits.groupBy("g").agg(F.min(F.struct("s", "id", "c")).alias("x")).select("g", F.col("x.s").alias("s0"), F.col("x.id").alias("id0"), F.col("x.c").alias("c0")), "first")
+        edits = edits.join(maybe_broadcast(first, first.count()), "g")
+        near = edits.filter("s + s0 <= 0 and id <> id0").select(F.least("id", "id0").alias("a"), F.greatest("id", "id0").alias("b")).distinct()
+        # those that are now in the nearest node's component need no list with each other
+        own = edits.withColumn("c", F.when(F.col("s") + F.col("s0") <= 0, F.col("c0")).otherwise(F.col("c")))
+        each = own.select("g", "row", "id", "c", "s", "s0", F.size("edits").alias("e"), F.explode("edits").alias("w"))
+        lists = each.groupBy("g", "w").agg(F.count(F.lit(1)).alias("df"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("g", "w", "df")
+        by_row = Window.partitionBy("row")
+        ranked = each.join(lists, ["g", "w"]).withColumn("shared", F.count(F.lit(1)).over(by_row)).withColumn("rank", F.row_number().over(by_row.orderBy("df", "w")) + F.col("e") - F.col("shared"))
+        # a partner's s is s0 at least, and more than -s, else the two are linked already
+        least = F.greatest(F.lit(1), F.ceil((F.col("s") + F.greatest("s0", 1 - F.col("s"))) / F.lit(2.0 * up)))
+        return near, scratch(ranked.filter(F.col("rank") <= F.col("e") - least + 1).select(F.xxhash64("g", "w").alias("g"), "id"), "groups")
+
+
+def similarity_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, k: int = 128, whole: int = 512, pair_up_to: int = 16) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(profiles of the rows, nodes, links between nodes, components as node and component); see the module's text.
+
+    The links connect all that is linked; where a component is known, not all links within it are listed.
+    """
     spark = docs.sparkSession
-    small_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     kept = scratch(texts.mapInArrow(_profile(k, whole), "id long, n long, sig_a long, sig_b long, vals array<long>").withColumn("row", F.monotonically_increasing_id()), "retained")
     base = scratch(kept.drop("vals"), "profiles")
-    nodes = scratch(base.filter("n > 0 and id is not null").groupBy("n", "sig_a", "sig_b").agg(F.min("id").alias("node"), F.min_by("row", "id").alias("row"), F.count(F.lit(1)).alias("copies")), "nodes")
-    reps = scratch(nodes.select("node", "n", "row").join(kept.select("row", "vals"), "row").select(F.col("node").alias("id"), "n", "vals"), "sketches")
-    forget(spark, kept)  # nothing later reads the retained values of copies
+    some = base.filter("n > 0 and id is not null")
+    nodes = scratch(some.groupBy("n", "sig_a", "sig_b").agg(F.min("id").alias("node"), F.min_by("row", F.struct("id", "row")).alias("row"), F.count(F.lit(1)).alias("copies")), "nodes")
+    copies = scratch(some.join(nodes.filter("copies > 1").select("n", "sig_a", "sig_b", F.col("row").alias("first")), ["n", "sig_a", "sig_b"]).filter("row <> first").select("row"), "copies")
+    many = copies.count()
+    reps = kept.filter("n > 0 and id is not null").join(maybe_broadcast(copies, many), "row", "left_anti").select("id", "n", "vals")
+    if many > BROADCAST_ROWS:
+        reps = scratch(reps, "sketches")
+        forget(spark, kept)
 
     tau = percent / 100
     p_sketch = k - max(1, math.floor(k * tau - SIGMAS * math.sqrt(k * tau * (1 - tau)))) + 1
     n = F.col("n")
-    least = F.floor((n * percent + 99) / 100)  # ceil(tau * n) in whole numbers
-    in_whole = reps.filter(n <= whole).select("id", n.cast("int").alias("n"), (n - least + 1).cast("int").alias("p"), F.col("n").cast("int").alias("m"), F.explode("vals").alias("v"))
-    in_sketch = reps.filter(n * 100 > whole * percent).select("id", n.cast("int").alias("n"), F.lit(-p_sketch).alias("p"), F.least(n, F.lit(k)).cast("int").alias("m"), F.explode(F.slice("vals", 1, k)).alias("v")).withColumn("v", F.col("v").bitwiseXOR(F.lit(OTHER_FAMILY)))
-    held = in_whole.union(in_sketch).withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("v"))).filter("df > 1")
-    by_node = Window.partitionBy("id", F.signum("p"))
+    # sizes of sketches are negative; values that one node retains go before the other columns are shuffled
+    in_whole = reps.filter(n <= whole).select("id", n.cast("int").alias("n"), F.explode("vals").alias("v"))
+    in_sketch = reps.filter(n * 100 > whole * percent).select("id", (-n).cast("int").alias("n"), F.explode(F.slice("vals", 1, k)).alias("v")).withColumn("v", F.col("v").bitwiseXOR(F.lit(OTHER_FAMILY)))
+    held = in_whole.union(in_sketch)
+    shared = held.groupBy("v").agg(F.count(F.lit(1)).cast("int").alias("df")).filter("df > 1")
+    by_node = Window.partitionBy("id", F.signum("n"))
+    size = F.abs("n")
+    prefix = F.when(n > 0, n - F.floor((n * percent + 99) / 100) + 1).otherwise(p_sketch)  # ceil(tau * n) in whole numbers
+    retained = F.when(n > 0, n).otherwise(F.least(size, F.lit(k)))
     entries = scratch(
-        held.withColumn("shared", F.count(F.lit(1)).over(by_node)).withColumn("weight", F.sum("df").over(by_node)).withColumn("rank", F.row_number().over(by_node.orderBy("df", "v")))
-        .withColumn("rank", F.col("rank") + F.col("m") - F.col("shared")).filter("rank <= abs(p)")
-        .select("v", "id", "n", F.when(F.col("p") > 0, F.col("rank")).alias("rank"), (F.col("weight") / F.col("m")).alias("weight")),
+        held.join(shared, "v").withColumn("shared", F.count(F.lit(1)).over(by_node)).withColumn("weight", F.sum("df").over(by_node)).withColumn("rank", F.row_number().over(by_node.orderBy("df", "v")))
+        .withColumn("rank", F.col("rank") + retained - F.col("shared")).filter(F.col("rank") <= prefix)
+        .select("v", "id", size.alias("n"), F.when(n > 0, F.col("rank")).alias("rank"), (F.col("weight") / retained).alias("weight")),
         "entries",
     )
-    lists = scratch(entries.groupBy("v").agg(F.count(F.lit(1)).alias("size"), F.max_by("id", F.struct("weight", -F.col("id"))).alias("hub"), F.max_by("n", F.struct("weight", -F.col("id"))).alias("hub_n")).filter("size > 1"), "lists")
-    fits = lambda x, y: (F.greatest(x, y) * percent <= F.least(x, y) * 100)
+    lists = scratch(entries.groupBy("v").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("weight", -F.col("id"), "n")).alias("x")).filter("size > 1").select("v", "size", (-F.col("x.col2")).alias("hub"), F.col("x.n").alias("hub_n")), "lists")
+    linker = _Linker(texts, reps, percent, k, whole, pair_up_to)
 
-    def side(df: DataFrame, s: str, *more: str) -> DataFrame:
-        return df.select("v", F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "rank", *more)])
+    def side(df: DataFrame, s: str) -> DataFrame:
+        return df.select("v", F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "rank")])
 
     def may_link() -> Column:
         """Sizes within the threshold, and in whole sets (rank is null for sketches) ranks that leave room for the overlap."""
         n_a, n_b = F.col("n_a"), F.col("n_b")
         overlap = F.floor(((n_a + n_b) * percent + 99 + percent) / (100 + percent))
         room = (F.col("rank_a") + overlap <= n_a + 1) & (F.col("rank_b") + overlap <= n_b + 1)
-        return (F.col("a") < F.col("b")) & fits(n_a, n_b) & F.coalesce(room, F.lit(True))
+        return (F.col("a") < F.col("b")) & linker.fits(n_a, n_b) & F.coalesce(room, F.lit(True))
 
     mine = entries.join(lists.filter(F.col("size") <= pair_up_to).select("v"), "v")
     short = side(mine, "a").join(side(mine, "b"), "v").filter(may_link()).select("a", "b")
     long_lists = lists.filter(F.col("size") > pair_up_to)
-    spokes = entries.join(long_lists, "v").filter((F.col("id") != F.col("hub")) & fits(F.col("n"), F.col("hub_n"))).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
-    pairs = scratch(short.union(spokes).distinct(), "pairs")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        ends = scratch(_ends(pairs), "ends")
-        some = scratch(reps.join(maybe_broadcast(ends, ends.count()), "id", "left_semi"), "candidates")
-        kept = scratch(_with_sets(pairs, some, ["n", "vals"]).mapInArrow(_judge(percent, k, whole), "a long, b long, sure boolean"), "estimated")
-        unsure = kept.filter("not sure").select("a", "b")
-        ends = scratch(_ends(unsure), "ends")
-        many = ends.count()
-        if not many:
-            return kept.select("a", "b")
-        full = scratch(texts.join(maybe_broadcast(ends, many), "id", "left_semi").mapInArrow(_full, "id long, vals array<long>"), "sets")
-        return scratch(kept.filter("sure").select("a", "b").union(_with_sets(unsure, full, ["vals"]).mapInArrow(_verify(percent), "a long, b long")).distinct(), "links")
-
-    links = linked(pairs)
-    if long_lists.limit(1).count():
-        groups = components(links)
-        at = scratch(entries.join(long_lists.select("v"), "v").join(groups.withColumnRenamed("node", "id"), "id", "left").select("v", "id", "n", "rank", F.coalesce("component", "id").alias("c")), "members")
-        split = at.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("v")
-        at = scratch(at.join(split, "v"), "members")
-        rest = side(at, "a", "c").join(side(at, "b", "c"), "v").filter(may_link() & (F.col("c_a") != F.col("c_b"))).select("a", "b").distinct()
-        rest = scratch(rest.join(pairs, ["a", "b"], "left_anti"), "pairs")
-        if rest.limit(1).count():
-            links = scratch(links.union(linked(rest)), "links")
-    return base, nodes, links
+    longs = long_lists.count()
+    spokes = entries.join(maybe_broadcast(long_lists, longs), "v").filter((F.col("id") != F.col("hub")) & linker.fits(F.col("n"), F.col("hub_n"))).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+    links = linker.linked(scratch(short.union(spokes).distinct(), "pairs"))
+    comps = scratch(components(links), "components")
+    if longs:
+        # lists with different components go on, under their central node
+        at = entries.join(maybe_broadcast(long_lists.select("v", "hub"), longs), "v").select("v", "hub", "id").join(comps.withColumnRenamed("node", "id"), "id", "left").select("v", "hub", "id", F.coalesce("component", "id").alias("c"))
+        at = scratch(at, "members")
+        split = scratch(at.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("v"), "split")
+        links, comps = linker.across(at.join(maybe_broadcast(split, split.count()), "v").select(F.col("hub").alias("g"), "id"), links, comps)
+    return base, nodes, links, comps
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, **how) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id and kept (the id is its component's smallest)."""
-    base, nodes, links = similarity_links(docs, id_col, text_col, percent, **how)
-    groups = components(links).withColumnRenamed("component", "component_id")
+    base, nodes, _, comps = similarity_links(docs, id_col, text_col, percent, **how)
+    groups = comps.withColumnRenamed("component", "component_id")
     # Only nodes with copies or links, or whose id others share, tell more than the row itself.
     telling = scratch(nodes.join(groups, "node", "left").select("n", "sig_a", "sig_b", F.coalesce("component_id", "node").alias("component_id"), "node", "copies").filter("copies > 1 or component_id <> node"), "classes")
     rows = base.select("id", "n", "sig_a", "sig_b").join(telling.select("n", "sig_a", "sig_b", "component_id"), ["n", "sig_a", "sig_b"], "left")

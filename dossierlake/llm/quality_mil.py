@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .common import schema_with, scratch, small_batches
+from .common import schema_with, scratch
 
 PASSAGE = 128
 WORD_BUCKETS = 256
@@ -144,7 +144,6 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = 3000) -> dict:
     """Weights from the ``fit_rows`` rows of ``labelled`` (id, label 0 or 1) with the smallest hash of their id."""
-    small_batches(docs.sparkSession)
     some = labelled.select(F.col(id_col).cast("long").alias("id"), F.col(labelled.columns[1]).cast("int").alias("label")).filter("id is not null and label in (0, 1)")
     some = some.orderBy(F.xxhash64("id"), "id", "label").limit(fit_rows)
     texts = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
@@ -161,7 +160,6 @@ def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col
 def with_score(docs: DataFrame, weights: dict, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` and every whole text's score."""
     spark = docs.sparkSession
-    small_batches(spark)
     sent = spark.sparkContext.broadcast(weights)  # of one fixed size
     where = docs.columns.index(text_col)
 
@@ -177,7 +175,6 @@ def with_score(docs: DataFrame, weights: dict, text_col: str = "text", score_col
 def score_only(docs: DataFrame, weights: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) of every row; the texts don't come back from the workers."""
     spark = docs.sparkSession
-    small_batches(spark)
     sent = spark.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, scratch, scratch_path, small_batches
+from .common import BROADCAST_ROWS, scratch, scratch_path
 
 DICTIONARY_MAGIC, SKIPPABLE_LOW, SKIPPABLE_HIGH, FRAME_MAGIC = 0x184D2A5D, 0x184D2A50, 0x184D2A5F, 0xFD2FB528
 SEPARATOR = struct.pack("<II", SKIPPABLE_LOW, 0).decode("ascii")
@@ -98,7 +98,6 @@ def _write(date: str, level: int):
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 1000, date: str = "1970-01-01T00:00:00Z", level: int = 3) -> None:
     """Write all rows as records below ``path``, a folder of a file system that Spark can write to."""
-    small_batches(pages.sparkSession)
     html = F.coalesce(F.col(payload_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(payload_col).alias("html"), F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).alias("n"))
     equal = scratch(rows.filter(F.col("n") >= least).groupBy("digest", "n").agg(F.max("page_id").alias("keep"), F.count(F.lit(1)).alias("copies")).filter("copies > 1 and keep is not null").select("digest", "n", "keep"), "payloads")
@@ -226,7 +225,6 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                 yield flush(rows)
 
     names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest"] + ["payload"] * payloads
-    small_batches(spark)
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInArrow(run, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string" + ", payload binary" * payloads)
 

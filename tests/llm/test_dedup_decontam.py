@@ -6,10 +6,11 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from dossierlake.llm import decontaminate, near_dup
-from dossierlake.llm.common import components
+from dossierlake.llm.common import components, merged
 
 LETTERS = "abcdefghijklmnop"
 
@@ -71,10 +72,69 @@ def test_near_duplicates(spark, seed, percent):
     assert all(r["kept"] == (r["doc_id"] is None or r["doc_id"] == r["component_id"]) for r in got)
 
 
+def unlike_copies(seed, n, size, edits):
+    """Copies of one text that differ from it in several words and from each other in more; the text itself isn't there."""
+    rng = random.Random(seed)
+    base, rows = [f"w{rng.randrange(10**6)}" for _ in range(size)], []
+    for i in range(n):
+        w = base[:]
+        for _ in range(rng.choice(edits)):
+            w[rng.randrange(size)] = f"x{rng.randrange(10**9)}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def brute_components(rows, percent):
+    ids = {}
+    held = np.zeros((len(rows), len(rows) * len(rows[0][1].split())), np.float32)
+    for i, (_, text) in enumerate(rows):
+        held[i, [ids.setdefault(s, len(ids)) for s in shingles(text)]] = 1
+    held = held[:, : len(ids)]
+    size, both = held.sum(1), held @ held.T
+    link, low = 100 * both >= percent * (size[:, None] + size - both), np.arange(len(rows))
+    while True:
+        now = np.array([low[x].min() for x in link])
+        if (now == low).all():
+            return low.tolist(), link
+        low = now
+
+
+@pytest.mark.parametrize(("seed", "n", "size", "edits", "percent"), [(1, 250, 150, [2, 3, 4, 5, 6], 85), (2, 150, 700, [3, 5, 7, 9], 85)])
+def test_a_list_of_unlike_nodes(spark, seed, n, size, edits, percent):
+    """One inverted list holds all nodes, and its central node links few of them; sets of whole and of sketched texts."""
+    rows = unlike_copies(seed, n, size, edits)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(df, percent=percent, pair_up_to=3).collect()}
+    want, _ = brute_components(rows, percent)
+    assert [got[i] for i in range(n)] == want and 2 < len(set(want)) < n
+
+
+def test_recall_of_sketches(spark):
+    """Links between sets of more than 512 shingles at and above the threshold: lists and estimate lose none of them."""
+    rng, rows = random.Random(9), []
+    for i in range(150):
+        base = words(rng, 800)
+        other = base[:]
+        for j in rng.sample(range(0, 800, 6), 12 + i % 3):  # similarities about 0.85
+            other[j] = "changed"
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(df).collect()}
+    sets = [shingles(t) for _, t in rows]
+    linked = {i for i in range(0, 300, 2) if 100 * len(sets[i] & sets[i + 1]) >= 85 * len(sets[i] | sets[i + 1])}
+    assert 40 < len(linked) < 150 and {i for i in range(0, 300, 2) if got[i + 1] == i} == linked
+
+
 def test_no_rows(spark):
     assert near_dup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_merged(spark):
+    comps = components(spark.createDataFrame([(1, 2), (3, 4), (5, 6)], "a long, b long"))
+    got = {r["node"]: r["component"] for r in merged(comps, spark.createDataFrame([(4, 6), (9, 8), (2, 1)], "a long, b long")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 3, 6: 3, 8: 8, 9: 8}
+
+
 def test_components(spark):
     path = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(path, "a long, b long")).collect()}
