@@ -3,28 +3,37 @@
 from __future__ import annotations
 
 import atexit
+import pickle
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 #: Rows up to which a side of long ids may be broadcast (about 50 MB as a hash table); beyond, joins shuffle.
 BROADCAST_ROWS = 500_000
 
 _own: str | None = None
+_within: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir of the session, or, where that is unset (tests), a local one."""
+    """The folder that all executors see: spark.checkpoint.dir of the session. Where that is unset, a master in one process has a local one; a cluster raises."""
     global _own
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         have = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = have.get() if have.isDefined() else None
     if not at:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if _own is None:
             _own = tempfile.mkdtemp(prefix="dossierlake-")
             atexit.register(shutil.rmtree, _own, ignore_errors=True)
@@ -33,7 +42,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return "/".join([shared_dir(spark), spark.sparkContext.applicationId, *_within, f"{name}-{uuid.uuid4().hex}"])
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables that are made within go when it ends; what outlasts them must be written elsewhere before."""
+    _within.append(f"within-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        _delete(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{'/'.join(_within)}")
+        _within.pop()
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def scratch(df: DataFrame, name: str) -> DataFrame:
@@ -45,16 +70,33 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
 
 def forget(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files of a scratch table that no later result reads."""
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+        _delete(spark, folder)
 
 
 def release(spark: SparkSession) -> None:
     """Delete all scratch tables of this application, once no result that was made from them is read any more."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    _delete(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or as many underscores after it as make it no column of ``df``."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+def fitted(rows: DataFrame, fit: Callable[[pa.Table], object]) -> object:
+    """What ``fit`` makes of a table that its caller has bounded, in one task: its arrays are the worker's, and only the model reaches the driver."""
+    schema = to_arrow_schema(rows.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = fit(pa.Table.from_batches([pa.RecordBatch.from_arrays(b.columns, schema=schema) for b in batches], schema))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    got = rows.mapInArrow(run, "model binary").first()
+    return pickle.loads(got[0]) if got else fit(schema.empty_table())
 
 
 def schema_with(df: DataFrame, **more: str) -> StructType:

@@ -7,11 +7,13 @@ too, on chains that splice runs of words of different languages (code-switching)
 label probabilities; a document's language has the largest share of them over all its words that hold letters.
 
 A chain is a run of up to ``CHAIN`` words of a text; all chains of all texts are labelled (whole texts, no prefix).
-Fitting takes a bounded sample of the labelled rows (``fit_rows``, those with the smallest hash of the id) on the
-driver. Only text and lang of those rows teach; a prediction sees the text alone.
+Fitting takes a bounded sample of the labelled rows (``fit_rows``, those with the smallest hash of the id) in one
+task. Only text and lang of those rows teach; a prediction sees the text alone.
 
 Defined results: null texts, empty ones and those without a letter get ``und`` and score 0; a document's score is its
-language's share; ties go to the language that sorts first; without labelled rows everything is ``und``.
+language's share; ties go to the language that sorts first; without labelled rows everything is ``und``. Null ids are
+scored as others. Repeated rows are scored each, very long texts whole; an empty table gives no rows. A column of the
+input that is called as a result is replaced by it (``with_language``); ``languages`` returns the id and its results only.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .common import schema_with, scratch
+from .common import fitted, schema_with, scratch
 
 CHAIN = 256
 #: Forms of words whose features are worked out at once.
@@ -256,8 +258,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     ids = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang")).filter("id is not null and lang is not null").select("id").distinct()
     ids = ids.orderBy(F.xxhash64("id"), "id").limit(fit_rows)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang is not null and text is not null").join(F.broadcast(ids), "id")
-    got = scratch(rows, "fit").orderBy("id", F.xxhash64("text"), "lang").limit(2 * fit_rows).toArrow()
-    return fit(got["text"].to_pylist(), got["lang"].to_pylist())
+    got = scratch(rows, "fit").orderBy("id", F.xxhash64("text"), "lang").limit(2 * fit_rows)
+    return fitted(got, lambda t: fit(t["text"].to_pylist(), t["lang"].to_pylist()))
 
 
 def languages(docs: DataFrame, weights: dict | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -274,9 +276,10 @@ def languages(docs: DataFrame, weights: dict | None, id_col: str = "doc_id", tex
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
-def with_language(docs: DataFrame, weights: dict | None, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and lang_score."""
+def with_language(docs: DataFrame, weights: dict | None, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "lang_score") -> DataFrame:
+    """``docs`` with the language and its score, in place of columns of those names."""
     spark = docs.sparkSession
+    docs = docs.drop(lang_col, score_col)
     sent = spark.sparkContext.broadcast(weights)
     where = docs.columns.index(text_col)
 
@@ -284,6 +287,6 @@ def with_language(docs: DataFrame, weights: dict | None, text_col: str = "text")
         with np.errstate(over="ignore"):
             for batch in batches:
                 names, scores = predict(sent.value, batch.column(where))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores)], [*batch.schema.names, "lang_pred", "lang_score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores)], [*batch.schema.names, lang_col, score_col])
 
-    return docs.mapInArrow(run, schema_with(docs, lang_pred="string", lang_score="double"))
+    return docs.mapInArrow(run, schema_with(docs, **{lang_col: "string", score_col: "double"}))

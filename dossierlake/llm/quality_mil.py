@@ -5,12 +5,14 @@ vector: shares of byte values, shares of hashed words, and a few measures of for
 gated attention w . (tanh(V h) * sigmoid(U h)), softmaxed over the bag, weighs the passages; the score is the logistic of
 a linear form of the weighted h. Document labels alone teach all weights.
 
-Fitting takes a bounded sample of the labelled rows (``fit_rows``, those with the smallest hash of the id) on the
-driver; scoring takes every row. Labels, language, source and id are no inputs of a score.
+Fitting takes a bounded sample of the labelled rows (``fit_rows``, those with the smallest hash of the id) in one
+task; scoring takes every row. Labels, language, source and id are no inputs of a score.
 
 Defined results: null or empty texts, and texts of white space, are a bag of one empty passage and get a score as any
 other. Without labelled rows every score is 0.5; with one class alone, the score is 0.99 or 0.01. A row with a null id
-gets held_out false. Repeated ids in the labels count as labelled rows each.
+gets held_out false. Repeated ids in the labels count as labelled rows each,
+and so do repeated documents; among equal hashes the smaller id comes first. Very long texts are scored whole. An empty
+table gives no rows. A column of the input that is called as the score is replaced by it; all others stay.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .common import schema_with, scratch
+from .common import fitted, schema_with, scratch
 
 PASSAGE = 128
 WORD_BUCKETS = 256
@@ -148,18 +150,21 @@ def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col
     some = some.orderBy(F.xxhash64("id"), "id", "label").limit(fit_rows)
     texts = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
     rows = texts.join(F.broadcast(some), F.col("key") == F.col("id")).select("id", "label", "text")  # fit_rows bounds it
-    got = scratch(rows.mapInArrow(_features, "id long, label int, x binary"), "fit").orderBy("id", "label", F.xxhash64("x")).limit(2 * fit_rows).toArrow()
+    got = scratch(rows.mapInArrow(_features, "id long, label int, x binary"), "fit").orderBy("id", "label", F.xxhash64("x")).limit(2 * fit_rows)
+    return fitted(got, _fit_table)
+
+
+def _fit_table(got: pa.Table) -> dict:
     xs = [np.frombuffer(b, np.float16).reshape(-1, WIDTH) for b in got["x"].to_pylist()]
     begin = np.zeros(len(xs) + 1, np.int64)
     np.cumsum([len(b) for b in xs], out=begin[1:])
-    x = np.concatenate(xs) if xs else np.zeros((0, WIDTH), np.float16)
-    del xs
-    return fit(x, begin, got["label"].to_numpy().astype(np.float32))
+    return fit(np.concatenate(xs) if xs else np.zeros((0, WIDTH), np.float16), begin, got["label"].to_numpy().astype(np.float32))
 
 
 def with_score(docs: DataFrame, weights: dict, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """``docs`` and every whole text's score."""
+    """``docs`` and every whole text's score, in place of a column of that name."""
     spark = docs.sparkSession
+    docs = docs.drop(score_col)
     sent = spark.sparkContext.broadcast(weights)  # of one fixed size
     where = docs.columns.index(text_col)
 
