@@ -99,7 +99,7 @@ def brute_components(rows, percent):
         low = now
 
 
-@pytest.mark.parametrize(("seed", "n", "size", "edits", "percent"), [(1, 250, 150, [2, 3, 4, 5, 6], 85), (2, 150, 700, [3, 5, 7, 9], 85)])
+@pytest.mark.parametrize(("seed", "n", "size", "edits", "percent"), [(1, 250, 150, [2, 3, 4, 5, 6], 85), (2, 150, 700, [4, 6, 8, 10], 85)])
 def test_a_list_of_unlike_nodes(spark, seed, n, size, edits, percent):
     """One inverted list holds all nodes, and its central node links few of them; sets of whole and of sketched texts."""
     rows = unlike_copies(seed, n, size, edits)
@@ -184,6 +184,26 @@ def test_decontamination(spark):
     assert left.columns == df.columns and {r["doc_id"] for r in left.collect()} == {i for i, _ in docs} - {i for i, _ in want}
 
 
+def test_recall_of_fingerprints(spark):
+    """Passages of 60 items with one to four changed words, in documents of other words: the Hamming blocks find all that reach the threshold."""
+    rng = random.Random(12)
+    items = [(i, " ".join(words(rng, rng.choice([18, 30, 31, 45, 60])))) for i in range(60)]
+    docs = []
+    for i in range(400):
+        w, passage = words(rng, rng.randint(0, 60)), items[rng.randrange(60)][1].split()
+        for _ in range(rng.choice([0, 1, 1, 2, 3, 4])):
+            at = rng.randrange(len(passage))
+            passage[at : at + 1] = rng.choice([[], ["changed"], ["two", "more"]])
+        at = rng.randint(0, len(w))
+        docs.append((i, " ".join(w[:at] + passage + w[at:]), "x", "y"))
+    want = {(i, j) for i, t, _, _ in docs for j, x in items if set(t.split()) & set(x.split()) and similarity(t, x) >= 0.8}
+    df = spark.createDataFrame(docs, "doc_id long, text string, contaminated string, similarity string").repartition(3)
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(want) > 150 and got == want
+    left = decontaminate.decontaminate(df, spark.createDataFrame(items, "item_id long, text string"))
+    assert left.columns == df.columns and left.count() == 400 - len({i for i, _ in want})
+
+
 def test_empty_benchmark(spark):
     docs = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
     assert decontaminate.matches(docs, spark.createDataFrame([], "item_id long, text string")).count() == 0
