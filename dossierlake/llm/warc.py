@@ -8,17 +8,24 @@ that reaches ``MAX_BYTES`` is filled up with empty rows, so both bounds hold.
 Of records with equal payloads of at least ``least`` bytes, the one with the largest id is a response, and the others
 are revisits that refer to it. Equal means equal SHA-1 and length.
 
-Reading: each archive is one binary row. The dictionary is loaded from the leading skippable frame, frames are found by
-their headers and block lengths and decoded one at a time; version line, required headers, both content lengths, the
-record's end and a response's payload digest are checked, and what is wrong raises ``WarcError``.
+Reading takes any archive of this kind, of one record a frame: each archive is one binary row. The dictionary is loaded
+from the leading skippable frame, if there is one; frames are found by their headers and block lengths and decoded one at
+a time, whether or not they state their size. Version line, required headers, the content length, the record's end and,
+where a response has them, its HTTP content length and payload digest (SHA-1, SHA-256 or MD5, hex or base32) are checked;
+a chunked payload is joined, and its digest may be of either form. Record ids are any text. What is wrong raises
+``WarcError``, or with ``errors="keep"`` gives a row with the reason in ``error`` and null fields, after which reading goes on with
+the next frame (damage to the frames themselves ends that archive with such a row).
 
 Defined results: a null payload counts as empty; a null URL is written as ``urn:x-page:unknown``; a row with a null id
 keeps a null id and is a revisit only if its payload has a response with an id; rows that repeat the largest id are
-responses each. An empty table gives an archive without records, or none.
+responses each. Very long payloads are written whole (a record holds at most ``MAX_RECORD`` bytes). Further columns,
+whatever their names, are ignored. An empty table gives an archive without records, or none.
 """
 
 from __future__ import annotations
 
+import base64
+import binascii
 import hashlib
 import re
 import struct
@@ -140,97 +147,147 @@ def frames(data: memoryview | bytes) -> Iterator[tuple[int, memoryview]]:
         yield magic, view[start:at]
 
 
+_DIGESTS = {"sha1": 20, "sha256": 32, "md5": 16}
+
+
+def _digest(value: str) -> tuple[str, str | None]:
+    """Algorithm and lower-case hex of a digest header; None for another algorithm or spelling."""
+    name, _, text = value.partition(":")
+    name = name.lower().replace("-", "")
+    size = _DIGESTS.get(name, 0)
+    try:
+        raw = bytes.fromhex(text) if len(text) == 2 * size else base64.b32decode(text.upper() + "=" * (-len(text) % 8))
+    except (ValueError, binascii.Error):
+        return name, None
+    return name, raw.hex() if size and len(raw) == size else None
+
+
+def _unchunked(body: bytes) -> bytes | None:
+    """The content of an HTTP body in chunks; None if it isn't one."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        size = body[at:end].partition(b";")[0].strip() if end >= 0 else b""
+        if not re.fullmatch(rb"[0-9a-fA-F]{1,8}", size):
+            return None
+        n, at = int(size, 16), end + 2
+        if not n:
+            return b"".join(out)
+        if body[at + n : at + n + 2] != b"\r\n":
+            return None
+        out.append(body[at : at + n])
+        at += n + 2
+
+
 def parse(raw: bytes) -> dict:
     """The fields of one record; raises WarcError unless headers and lengths are sound."""
     head, blank, rest = raw.partition(b"\r\n\r\n")
     version, *lines = head.split(b"\r\n")
     if not blank or version not in (b"WARC/1.0", b"WARC/1.1"):
         raise WarcError(f"not a WARC version line: {version[:40]!r}")
-    fields = {}
+    fields, last = {}, None
     for line in lines:
+        if line[:1] in (b" ", b"\t") and last:  # a folded header goes on
+            fields[last] += " " + line.strip().decode(errors="replace")
+            continue
         name, colon, value = line.partition(b":")
         if not colon:
             raise WarcError(f"not a header: {line[:80]!r}")
-        fields[name.strip().lower().decode("latin-1")] = value.strip().decode()
+        last = name.strip().lower().decode("latin-1")
+        fields[last] = value.strip().decode(errors="replace")
     if missing := [x for x in ("warc-type", "warc-record-id", "warc-date", "content-length") if x not in fields]:
         raise WarcError(f"missing headers: {missing}")
     size = fields["content-length"]
     if not size.isdecimal() or len(rest) != int(size) + 4 or rest[-4:] != b"\r\n\r\n":
         raise WarcError(f"content length {size} where {len(rest) - 4} bytes stand")
-    kind, block = fields["warc-type"], rest[:-4]
-    found = {"fields": fields, "type": kind, "block": block, "payload": None, "payload_bytes": None, "digest": fields.get("warc-payload-digest", "").rpartition(":")[2]}
-    if kind in ("response", "revisit"):
-        http, blank, payload = block.partition(b"\r\n\r\n")
-        stated = re.search(rb"\r\ncontent-length: *(\d+)", http, re.I)
-        if not blank or not stated:
-            raise WarcError("no HTTP headers with a content length")
-        found["payload_bytes"] = int(stated[1])
-        if kind == "response":
-            if len(payload) != int(stated[1]):
-                raise WarcError(f"HTTP content length {int(stated[1])} where {len(payload)} bytes stand")
-            if hashlib.sha1(payload).hexdigest() != found["digest"]:
-                raise WarcError("the payload's digest differs")
-            found["payload"] = payload
-        elif "warc-refers-to" not in fields or payload:
-            raise WarcError("a revisit needs a record to refer to, and no payload")
+    kind, block = fields["warc-type"].lower(), rest[:-4]
+    name, stated = _digest(fields.get("warc-payload-digest", ""))
+    found = {"fields": fields, "type": kind, "block": block, "payload": None, "payload_bytes": None, "digest": stated}
+    if kind not in ("response", "revisit"):
+        return found
+    http, blank, payload = block.partition(b"\r\n\r\n") if block.startswith(b"HTTP/") else (b"", b"", block)
+    length = re.search(rb"\r\ncontent-length:[ \t]*(\d+)[ \t]*(?=\r\n|$)", http, re.I)
+    if kind == "revisit":
+        if "warc-refers-to" not in fields and "warc-refers-to-target-uri" not in fields and not stated:
+            raise WarcError("a revisit needs a record, a page or a digest to refer to")
+        found["payload_bytes"] = int(length[1]) if length else None
+        return found
+    plain = _unchunked(payload) if re.search(rb"\r\ntransfer-encoding:[^\r]*chunked", http, re.I) else None
+    if plain is None and length and len(payload) != int(length[1]):
+        raise WarcError(f"HTTP content length {int(length[1])} where {len(payload)} bytes stand")
+    forms = [payload] if plain is None else [plain, payload]
+    if stated and stated not in (hashlib.new(name, x).hexdigest() for x in forms):
+        raise WarcError("the payload's digest differs")
+    found |= {"payload": forms[0], "payload_bytes": len(forms[0]), "digest": stated or hashlib.sha1(forms[0]).hexdigest()}
     return found
 
 
-def records(archive: memoryview | bytes) -> Iterator[dict]:
-    """All records of an archive, decoded one frame at a time."""
+def records(archive: memoryview | bytes, errors: str = "raise") -> Iterator[dict]:
+    """All records of an archive, decoded one frame at a time; with ``errors`` "keep", {"error": reason} for a bad one."""
     decoder = zstandard.ZstdDecompressor()
-    for i, (magic, frame) in enumerate(frames(archive)):
-        if magic == DICTIONARY_MAGIC:
-            if i:
-                raise WarcError("a dictionary frame must lead its archive")
-            raw = bytes(frame[8:])
-            if raw[:4] == struct.pack("<I", FRAME_MAGIC):
-                raw = decoder.decompress(raw, max_output_size=MAX_RECORD)
-            decoder = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw))
-        elif magic == FRAME_MAGIC:
-            size = zstandard.frame_content_size(frame[:18])
-            if not 0 <= size <= MAX_RECORD:
-                raise WarcError(f"a frame states {size} bytes")
-            try:
-                raw = decoder.decompress(frame)
-            except zstandard.ZstdError as e:
-                raise WarcError(f"a frame can't be decoded: {e}") from None
-            yield parse(raw)
-
-
-def _page(uri: str) -> int | None:
-    found = re.fullmatch(r"<urn:x-page:(-?\d+|null)>", uri)
-    if not found:
-        raise WarcError(f"not a record id of ours: {uri}")
-    return None if found[1] == "null" else int(found[1])
-
-
-def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """page_id, url, record_type, refers_to, payload_bytes, payload_digest and, if asked for, payload (null for revisits)."""
+    found = enumerate(frames(archive))
+    while True:
+        try:
+            i, (magic, frame) = next(found)
+        except StopIteration:
+            return
+        except WarcError as e:
+            if errors == "raise":
+                raise
+            yield {"error": str(e)}
+            return
+        try:
+            if magic == DICTIONARY_MAGIC:
+                if i:
+                    raise WarcError("a dictionary frame must lead its archive")
+                raw = bytes(frame[8:])
+                if raw[:4] == struct.pack("<I", FRAME_MAGIC):
+                    raw = decoder.decompress(raw, max_output_size=MAX_RECORD)
+                decoder = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw))
+            elif magic == FRAME_MAGIC:
+                size = zstandard.frame_content_size(frame[:18])
+                if size > MAX_RECORD:
+                    raise WarcError(f"a frame states {size} bytes")
+                raw = decoder.decompress(frame) if size >= 0 else decoder.stream_reader(frame).read(MAX_RECORD + 1)
+                if len(raw) > MAX_RECORD:
+                    raise WarcError(f"a frame holds over {MAX_RECORD} bytes")
+                yield parse(raw)
+        except (WarcError, zstandard.ZstdError) as e:
+            if errors == "raise":
+                raise e if isinstance(e, WarcError) else WarcError(f"a frame can't be decoded: {e}") from None
+            yield {"error": str(e)}
+
+
+def read_archives(spark: SparkSession, path: str, payloads: bool = True, errors: str = "raise") -> DataFrame:
+    """record_id, url, record_type, refers_to (a record id), payload_bytes, payload_digest (hex), error and, if asked for, payload (null but for responses)."""
+    names = ["record_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "error"] + ["payload"] * payloads
+    kinds = [pa.string()] * 4 + [pa.int64(), pa.string(), pa.string()] + [pa.binary()] * payloads
+
+    def row(r: dict) -> tuple:
+        f = r.get("fields", {})
+        return (f.get("warc-record-id"), f.get("warc-target-uri"), r.get("type"), f.get("warc-refers-to"), r.get("payload_bytes"), r.get("digest"), r.get("error"), r.get("payload"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(rows: list) -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()] + [pa.binary()] * payloads
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
-
+        flush = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
         for batch in batches:
             for content in batch.column(0):
-                rows = []
-                for r in records(memoryview(content.as_buffer())):
-                    f = r["fields"]
-                    rows.append((_page(f["warc-record-id"]), f.get("warc-target-uri"), r["type"], _page(f["warc-refers-to"]) if "warc-refers-to" in f else None, r["payload_bytes"], r["digest"], r["payload"]))
-                    if len(rows) == 512:
+                rows, held = [], 0
+                for r in records(memoryview(content.as_buffer()), errors):
+                    rows.append(row(r))
+                    held += len(r.get("payload") or b"") if payloads else 0
+                    if len(rows) == 512 or held > MAX_BYTES:
                         yield flush(rows)
-                        rows = []
+                        rows, held = [], 0
                 yield flush(rows)
 
-    names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest"] + ["payload"] * payloads
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(run, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string" + ", payload binary" * payloads)
+    return files.mapInArrow(run, ", ".join(f"{n} {'long' if n == 'payload_bytes' else 'binary' if n == 'payload' else 'string'}" for n in names))
 
 
 def archived(pages: DataFrame, **how) -> DataFrame:
-    """Write ``pages`` to archives in the shared folder and read them back, without the payloads."""
+    """Write ``pages`` to archives in the shared folder and read them back, without the payloads; page ids stand for record ids."""
     path = scratch_path(pages.sparkSession, "warc")
     write_archives(pages, path, **how)
-    return read_archives(pages.sparkSession, path, payloads=False)
+    page = lambda c: F.regexp_extract(c, "^<urn:x-page:(-?[0-9]+)>$", 1).try_cast("long")  # noqa: E731  null for a null id
+    back = read_archives(pages.sparkSession, path, payloads=False)
+    return back.select(page("record_id").alias("page_id"), "url", "record_type", page("refers_to").alias("refers_to"), "payload_bytes", "payload_digest")
