@@ -5,12 +5,15 @@ with the rule's. The longest rule that fits decides (host and path characters co
 longer host, and block before allow for the very same rule); where none fits, ``default`` does.
 
 The trie's nodes hold children by reversed host label, and from each host node children by path segment; a rule's last,
-unfinished segment is kept by its length, so that prefixes within a segment are found without a scan over rules. The
-trie is broadcast in parts of at most ``max_rules`` rules each, so no broadcast grows with the rule list; a URL's
-verdict is the best over the parts.
+unfinished segment is kept by its length, so that prefixes within a segment are found without a scan over rules. A
+broadcast trie holds at most ``max_rules`` rules. A longer list takes several passes over the URLs, of which each holds
+one trie and writes what it found, so neither a broadcast nor a worker's memory grows with the list; a URL's verdict is
+the best over the passes.
 
 Defined results: a URL that is null or has no ``://`` has an empty host and path, and no rule fits it. An empty rule
-list gives the default. Hosts keep ports and user names as they stand; only A-Z are lower-cased.
+list gives the default. Hosts keep ports and user names as they stand; only A-Z are lower-cased. Repeated URLs are judged
+each, very long ones whole; an empty table gives no rows. Columns of the input called host, path, rule or verdict are
+replaced by the results, all others stay.
 """
 
 from __future__ import annotations
@@ -18,9 +21,12 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import scratch, unused
+
 MAX_RULES = 200_000
 _DOWN = {c: c + 32 for c in range(65, 91)}
 
@@ -82,22 +88,31 @@ class Trie:
         return found
 
 
-def judge_urls(urls: DataFrame, rules: list[tuple[str, str]], url_col: str = "url", default: str = "allow", max_rules: int = MAX_RULES) -> DataFrame:
-    """``urls`` with host, path, rule (null if none fits) and verdict."""
-    sc = urls.sparkSession.sparkContext
-    parts = [sc.broadcast(Trie(rules[i : i + max_rules])) for i in range(0, len(rules), max_rules)]
+_FOUND = "host string, path string, length int, host_length int, block boolean, verdict string, rule string"
+
+
+def _judge(trie: Broadcast):
+    """The function of a URL that gives its parts and the key of the trie's longest rule that fits."""
+    names = [x.split()[0] for x in _FOUND.split(", ")]
 
-    @F.pandas_udf("host string, path string, rule string, verdict string")
+    @F.pandas_udf(_FOUND)
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        tries = [p.value for p in parts]
-        for urls in batches:
-            rows = []
-            for url in urls:
-                host, path = split_url(url)
-                key = max((k for k in (t.best(host, path) for t in tries) if k), default=None)
-                rows.append((host, path, key and key[4], key[3] if key else default))
-            yield pd.DataFrame(rows, columns=["host", "path", "rule", "verdict"])
-
-    new = ["host", "path", "rule", "verdict"]
-    kept: list[Column] = [F.col(f"`{c}`") for c in urls.columns if c not in new]
-    return urls.select(*kept, judge(F.col(url_col)).alias("_j")).select(*kept, *[F.col(f"_j.{c}").alias(c) for c in new])
+        for batch in batches:
+            split = [split_url(url) for url in batch]
+            yield pd.DataFrame([(h, p, *(trie.value.best(h, p) or (None,) * 5)) for h, p in split], columns=names)
+
+    return judge
+
+
+def judge_urls(urls: DataFrame, rules: list[tuple[str, str]], url_col: str = "url", default: str = "allow", max_rules: int = MAX_RULES) -> DataFrame:
+    """``urls`` with host, path, rule (null if none fits) and verdict."""
+    sc, new, found = urls.sparkSession.sparkContext, ["host", "path", "rule", "verdict"], unused(urls, "found")
+    kept = [F.col(f"`{c}`") for c in urls.columns if c.lower() not in new]
+    judged = urls
+    for i in range(0, max(1, len(rules)), max_rules):
+        this = _judge(sc.broadcast(Trie(rules[i : i + max_rules])))(F.col(url_col))
+        # structs compare field by field: host and path are equal for one URL, so the rule's length comes first
+        judged = judged.withColumn(found, F.greatest(F.col(found), this) if i else this)
+        if i + max_rules < len(rules):
+            judged = scratch(judged, "judged")
+    return judged.select(*kept, *[F.col(f"{found}.{c}").alias(c) for c in new[:3]], F.coalesce(f"{found}.verdict", F.lit(default)).alias("verdict"))
