@@ -3,19 +3,20 @@
 Categories are predicted one after the other by linear models over a document's distinct words and word beginnings
 (hashed); each model also sees the probabilities that the chain gave the categories before. While fitting, those are out-of-fold: models of
 the other folds predict them, so that a later model learns how far to trust an earlier one. The last category is the
-label itself; the earlier ones are parts of it that a word list names (labelled toxic, and a word of the list occurs).
+label itself; the earlier ones are kinds of toxic documents that the labelled rows themselves show: the fitted toxic
+documents are clustered by the words that set them apart (two clusters by cosine, none for a document without such words).
 
 A word takes part if at least ``LEAST_DOCS`` of the fitted documents have it and its share of positive ones stands out.
 Fitting takes a bounded sample of the
-labelled rows (``fit_rows``, those with the smallest hash of the id) on the driver; scoring takes every whole text.
+labelled rows (``fit_rows``, those with the smallest hash of the id, ties by id and label) in one task; scoring takes every whole text.
 
 Defined results: null and empty texts have no words and get the models' base rates; without labelled rows, or with one
-class alone, every probability is the share of that class (0 without rows). Repeated rows are scored each.
+class alone, every probability is the share of that class (0 without rows). Repeated rows are scored each, very long
+texts whole, null ids as others; an empty table gives no rows. The result holds the id and the probabilities only, so other columns can't clash.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,18 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .common import scratch
+from .common import fitted, scratch
 
 BITS, FOLDS, LEAST_DOCS = 20, 4, 5
 #: Standard deviations by which a word's share of positive documents must differ from the share of all.
 APART = 5.0
 #: Bytes of the beginnings of longer words that count as words too, for families with many endings.
 BEGINNINGS = (4, 5)
-# The word lists of the earlier categories.
-INSULT = ["idiot", "moron", "loser", "clown", "stupid"]
-CONTEMPT = ["worthless", "pathetic", "trash", "scum", "disgusting"]
-LEXICONS = {"insult": INSULT, "contempt": CONTEMPT}
-CATEGORIES = [*LEXICONS, "toxic"]
+KINDS = 2
+CATEGORIES = [*[f"kind_{k + 1}" for k in range(KINDS)], "toxic"]
 
 
 def distinct_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,15 +58,47 @@ def _linear(w: np.ndarray, dense: np.ndarray, bias: np.ndarray, ids: np.ndarray,
     return 1 / (1 + np.exp(-np.clip(s, -30, 30)))
 
 
+def _apart(ids: np.ndarray, row: np.ndarray, y: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """How many documents have each word, and by how many standard deviations its positive ones exceed their share."""
+    docs, hits = np.bincount(ids, minlength=1 << BITS), np.bincount(ids, y[row], 1 << BITS)
+    return docs, (hits - docs * share) / np.sqrt(np.maximum(docs, 1) * share * (1 - share))
+
+
+def kinds(ids: np.ndarray, begin: np.ndarray, y: np.ndarray, steps: int = 20) -> np.ndarray:
+    """A column a kind: the cluster of each positive row, by the words that positive rows have more than their share of."""
+    out, share = np.zeros((len(y), KINDS)), float(y.mean()) if len(y) else 0.0
+    if share in (0.0, 1.0):
+        return out
+    row = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(begin))
+    docs, apart = _apart(ids, row, y, share)
+    used = (docs >= LEAST_DOCS) & (apart >= APART)
+    to, keep = np.cumsum(used) - 1, used[ids] & (y[row] > 0)
+    member, place = np.unique(row[keep], return_inverse=True)
+    x = np.zeros((len(member), int(used.sum())), np.float32)  # fitted rows by words that stand out, both bounded by the fitted rows
+    x[place, to[ids[keep]]] = 1
+    if len(x) < KINDS:
+        return out
+    x *= np.log(len(x) / np.maximum(x.sum(0), 1) + 1).astype(np.float32)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    centres = [x[int((x @ x.mean(0)).argmax())]]
+    while len(centres) < KINDS:  # the document that is least like the centres so far
+        centres.append(x[int(np.max([x @ c for c in centres], axis=0).argmin())])
+    for _ in range(steps):
+        near = np.stack([x @ c for c in centres], 1).argmax(1)
+        centres = [x[near == k].mean(0) if (near == k).any() else c for k, c in enumerate(centres)]
+        centres = [c / max(float(np.linalg.norm(c)), 1e-9) for c in centres]
+    out[member, near] = 1
+    return out
+
+
 def _fit_one(ids: np.ndarray, begin: np.ndarray, extra: np.ndarray, y: np.ndarray, steps: int = 300, decay: float = 1e-4, rate: float = 0.1) -> dict:
     """Logistic regression by Adam over all rows, on the words whose share of positive rows stands out; rarer classes weigh more."""
     share = float(y.mean()) if len(y) else 0.0
     if share in (0.0, 1.0):
         return {"constant": share}
     row = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(begin))
-    docs, hits = np.bincount(ids, minlength=1 << BITS), np.bincount(ids, y[row], 1 << BITS)
-    apart = np.abs(hits - docs * share) / np.sqrt(np.maximum(docs, 1) * share * (1 - share))
-    used = (docs >= LEAST_DOCS) & (apart >= APART)
+    docs, apart = _apart(ids, row, y, share)
+    used = (docs >= LEAST_DOCS) & (np.abs(apart) >= APART)
     known, to, keep = np.flatnonzero(used), np.cumsum(used) - 1, used[ids]
     row, col = row[keep], to[ids[keep]]
     w, d, b = np.zeros(len(known)), np.zeros(extra.shape[1]), np.log(share / (1 - share))
@@ -123,21 +153,24 @@ def chain_probabilities(chain: list[dict], ids: np.ndarray, begin: np.ndarray) -
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = 4000) -> list[dict]:
+    """The chain's models from the ``fit_rows`` labelled rows whose id's hash is smallest."""
     some = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label in (0, 1)").orderBy(F.xxhash64("id"), "id", "label").limit(fit_rows)
     texts = docs.select(F.col(id_col).cast("long").alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # fit_rows bounds this side and the rows that reach the driver
-    got = scratch(texts.join(F.broadcast(some), F.col("key") == F.col("id")).select("id", "label", "text"), "fit").orderBy("id", "label", F.xxhash64("text")).limit(2 * fit_rows).toArrow()
-    texts, label = got["text"].to_pylist(), got["label"].to_numpy()
+    got = scratch(texts.join(F.broadcast(some), F.col("key") == F.col("id")).select("id", "label", "text"), "fit").orderBy("id", "label", F.xxhash64("text")).limit(2 * fit_rows)
+    return fitted(got, _fit_table)
+
+
+def _fit_table(got: pa.Table) -> list[dict]:
     parts, begin = [], [0]
     with np.errstate(over="ignore"):
-        for _, _, data, off in tn.slices(pa.array(texts, pa.string())):
+        for _, _, data, off in tn.slices(got["text"]):
             ids, b = distinct_words(data, off)
             parts.append(ids.astype(np.int32))
             begin += (b[1:] + begin[-1]).tolist()
     ids = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-    named = [[bool(x and re.search(rf"\b({'|'.join(words)})\b", t, re.I)) for t, x in zip(texts, label, strict=True)] for words in LEXICONS.values()]
-    y = np.column_stack([*map(np.array, named), label]).astype(float) if len(label) else np.zeros((0, len(CATEGORIES)))
-    return fit_chain(ids, np.array(begin, np.int64), y)
+    begin, label = np.array(begin, np.int64), got["label"].to_numpy().astype(float)
+    return fit_chain(ids, begin, np.column_stack([kinds(ids, begin, label), label]))
 
 
 def probabilities(docs: DataFrame, chain: list[dict], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
