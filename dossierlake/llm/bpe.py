@@ -5,7 +5,8 @@ Long texts are cut at boundaries that no match of the split pattern can cross (s
 ids joined are the ids of the whole. Decoding gives raw bytes, which need not be UTF-8.
 
 Defined results: a null text counts as empty; an empty text has no ids and decodes to no bytes; rows that repeat are
-encoded each; further columns are kept as they are. Special tokens are ordinary text.
+encoded each; further columns are kept as they are, but for one that is called as the result, which the result replaces.
+Special tokens are ordinary text. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,6 +27,12 @@ PIECE_CHARS = 1 << 16
 _CUT = re.compile(r"[^\s\x1c-\x1f](?=[ \n])")
 _CLASS_CUT = re.compile(r"[a-zA-Z](?=[0-9.,;:!?(){}<>|/+*=-])|[0-9](?=[a-zA-Z.,;:!?(){}<>|/+*=-])")
 
+# The split patterns of which ``safe_cuts`` holds, that of the 50k byte-level vocabularies in its two spellings.
+CUT_PATTERNS = (
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
+    r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
+)
+
 _encoders: dict[str, object] = {}
 
 
@@ -43,9 +50,9 @@ def encoder(ranks: bytes, pattern: str):
 def safe_cuts(text: str, piece: int = PIECE_CHARS) -> list[int]:
     """Borders of pieces of about ``piece`` characters, at places that are borders of matches whatever stands around.
 
-    In the byte-level patterns of this family (a word, number or symbol run with at most one leading space, runs of
-    white space, contractions) no match goes on from a non-space to a space, from an ASCII letter to a digit or mark,
-    or from a digit to a letter or mark; and none looks behind. A text without such a place stays one piece.
+    In the patterns of ``CUT_PATTERNS`` (a word, number or symbol run with at most one leading space, runs of white
+    space, contractions) no match goes on from a non-space to a space or line feed, from an ASCII letter to a digit or
+    mark, or from a digit to a letter or mark; and none looks behind. A text without such a place stays one piece.
     """
     cuts, at = [0], 0
     while len(text) - at > piece:
@@ -58,7 +65,8 @@ def safe_cuts(text: str, piece: int = PIECE_CHARS) -> list[int]:
 
 
 def encode(enc, text: str, piece: int = PIECE_CHARS) -> list[int]:
-    if len(text) <= piece:
+    """A text's ids. Texts are cut only under patterns whose matches are known not to cross a cut; under others they stay whole."""
+    if len(text) <= piece or enc._pat_str not in CUT_PATTERNS:
         return enc.encode_ordinary(text)
     cuts, ids = safe_cuts(text, piece), []
     for a, b in zip(cuts, cuts[1:], strict=False):
@@ -77,6 +85,7 @@ def _ranks(spark: SparkSession, path: str):
 def with_ids(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``docs`` and its texts' ids as array<int>."""
     ranks = _ranks(docs.sparkSession, rank_path)
+    docs = docs.drop(ids_col)
     where = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,6 +100,7 @@ def with_ids(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "tex
 def with_bytes(docs: DataFrame, rank_path: str, pattern: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
     """``docs`` and the raw bytes of its ids; null for null ids. An id outside the vocabulary raises KeyError."""
     ranks = _ranks(docs.sparkSession, rank_path)
+    docs = docs.drop(bytes_col)
     where = docs.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
