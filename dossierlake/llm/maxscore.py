@@ -10,9 +10,13 @@ one term at a time, for the documents that remain competitive, while the k-th sc
 Weights may be negative: a term's contribution counts from the lowest that it makes in the shard, so contributions are
 never negative and bounds are safe. Documents that can tie with the k-th score stay competitive, so ties are exact.
 
+Shards and blocks have the same bound, as vectors are copied once a block and queries once a shard: both together move
+rows * queries * 2 / 65,536 vectors, the least that groups of such size allow, and one block holds the queries of 6.5 million rows.
+
 Defined results: rows with a null id or vector, or with a null or non-finite component, or an empty vector take no part.
 Only vectors of a query's length are its candidates. Rows that repeat an id are candidates each, but never for that
 id's query; a repeated query row with the same vector counts once. Scores must fit 63 bits.
+Ties go to the smaller id. Further columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SHARD_ROWS, SHARD_LEAST, BLOCK_QUERIES = 65_536, 4_096, 4_096
+SHARD_ROWS, SHARD_LEAST, BLOCK_QUERIES = 65_536, 4_096, 65_536
 
 
 class Shard:

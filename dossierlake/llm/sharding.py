@@ -1,6 +1,6 @@
 """Balanced sharding of documents by label propagation, in DataFrame operations only.
 
-Documents are linked when their texts are equal (hash, CRC and size agree). A text's documents start in shards by a hash of the row;
+Documents are linked when their texts are equal (hash, CRC and size agree). A text's documents start in shards by a hash of id and text, whatever the files' layout;
 then, for some rounds, each text's documents vote, and joins move the pieces of a text (its documents in one shard)
 towards the shard that holds most of it, which saves the most cut links. Two shards exchange what both send each other,
 and beyond that a shard takes in only what its quota has room for; those with the largest gain go first. A text with more than a quarter of a shard's rows is dealt into chunks that move
@@ -8,10 +8,11 @@ on their own, so it fills several shards instead of one.
 
 At last the documents in the order (label, text, id) are cut into ranges of equal counts, which is the law ``rows``:
 counts are at most one apart. Texts lie together in that order, so the cuts split few of them. Positions come from
-counts of bins and row numbers within a bin; bins hold a bounded share of the rows, also within a large text.
+counts of bins and row numbers within a bin; bins hold about ``BIN_ROWS`` rows, also within a large text. The bins' counts
+are summed up in one window of a row a bin: two million rows of a few longs for 100 billion documents.
 
-Defined results: a null text counts as empty (size 1, CRC 0); null ids are placed like others; rows that repeat get a
-slot each; further columns are ignored; an empty table gives no rows. grown_shard is null, as the law is not ``key``.
+Defined results: a null text counts as empty (size 1, CRC 0); null ids are placed like others (their rows' places
+depend on the layout); rows that repeat get a slot each; further columns, whatever their names, are ignored; an empty table gives no rows. grown_shard is null, as the law is not ``key``.
 """
 
 from __future__ import annotations
@@ -62,6 +63,8 @@ def balanced_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"), F.xxhash64(text).alias("g"), F.monotonically_increasing_id().alias("row"))
+    # rows of one id and text are the same row to every result, so they may share a number; those without an id need their own
+    base = base.withColumn("row", F.when(F.col("id").isNotNull(), F.xxhash64("id", "g")).otherwise(F.xxhash64("row", "g")))
     base = scratch(base.withColumn("start", _hash_mod(shards, "row", "g").cast("int")), "rows")
     total = base.count()
     text_of = ["g", "crc", "size"]

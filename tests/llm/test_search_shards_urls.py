@@ -37,6 +37,8 @@ def test_maxscore_few_rows(spark):
     got = maxscore.top_k(df, df, 10).collect()
     assert {(r["query_id"], r["id"], r["score"]) for r in got} == {(1, 2, 11), (2, 1, 11)}
     assert maxscore.top_k(df.limit(0), df.limit(0), 10).count() == 0
+    clash = df.selectExpr("*", "'old' as score", "'old' as rank", "'old' as shard", "'old' as dim")
+    assert sorted(map(tuple, maxscore.top_k(clash, clash, 10).collect())) == sorted(map(tuple, got))
 
 
 def test_shards(spark):
@@ -57,6 +59,22 @@ def test_shards(spark):
             shards_of[(r["doc_id"] - 1000) // 6].add(r["shard"])
     assert sum(len(s) == 1 for s in shards_of.values()) >= 30  # most of fifty groups lie in one shard
     assert sharding.balanced_shards(df.limit(0)).count() == 0
+    # another layout of the same rows gives the same shards; long texts are one row as any other
+    named = df.filter("doc_id is not null").union(spark.createDataFrame([(9999, "long " * 400_000)], df.schema))
+    one, two = (sorted(map(tuple, sharding.balanced_shards(x).drop("grown_shard").collect())) for x in (named.repartition(2), named.repartition(7, "text")))
+    assert one == two
+
+
+def test_propagation_saves_links(spark):
+    """With no round most groups of equal texts are cut between shards; the rounds leave few of them cut."""
+    df = spark.createDataFrame([(i, f"text {i // 4}") for i in range(1200)], "doc_id long, text string").repartition(4)
+    cuts = []
+    for rounds in (0, 6):
+        shards = defaultdict(set)
+        for r in sharding.balanced_shards(df, rounds=rounds).collect():
+            shards[r["doc_id"] // 4].add(r["shard"])
+        cuts.append(sum(len(s) - 1 for s in shards.values()))
+    assert cuts[0] > 250 and cuts[1] < 80
 
 
 def judge(url):
@@ -77,7 +95,11 @@ def judge(url):
 def test_urls(spark):
     urls = [None, "", "no scheme", "http://Example.COM/en/1?x=/en/", "https://a.example.com/en", "http://www.example.com/en/a", "http://x.www.example.com/en/", "http://notexample.com/en/", "http://a.net/es/1", "http://net/fr/", "http://a.net/es", "http://com", "http://com/", "http://b.com?x", "http://c.com#/en/", "://x.net/fr/a", "http://é.net/es/", "http://example.com/en/://a.net/es/", "http://example.com./en/"]
     df = spark.createDataFrame([(i, u, "old") for i, u in enumerate(urls)], "page_id int, url string, host string")
-    for most in (100, 2):  # also in parts
+    urls += ["http://a.net/es/" + "x/" * 100_000, "http://a.net/es/1"]
+    df = spark.createDataFrame([(i, u, "old", "old") for i, u in enumerate(urls)], "page_id int, url string, host string, found string")
+    assert url_filter.judge_urls(df.limit(0), URL_RULES).count() == 0 and {r["verdict"] for r in url_filter.judge_urls(df, [], default="block").collect()} == {"block"}
+    assert url_filter.judge_urls(df, URL_RULES).columns == ["page_id", "url", "found", "host", "path", "rule", "verdict"]
+    for most in (100, 2):  # also in passes
         got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge_urls(df, URL_RULES, max_rules=most).collect()}
         assert got == {i: judge(u) for i, u in enumerate(urls)}
 
