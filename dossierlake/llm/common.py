@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -68,6 +68,14 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, name: str, *more) -> tuple:
+    """A scratch table, its number of rows and further aggregates, which Spark observes while it writes, without another job."""
+    spark, path, seen = df.sparkSession, scratch_path(df.sparkSession, name), Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n"), *[m.alias(f"m{i}") for i, m in enumerate(more)]).write.parquet(path)
+    got = seen.get
+    return spark.read.schema(df.schema).parquet(path), got.get("n") or 0, *[got.get(f"m{i}") for i in range(len(more))]
+
+
 def forget(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files of a scratch table that no later result reads."""
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
@@ -114,11 +122,11 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of ``links`` (a, b long): component is the smallest node that can be reached.
 
     Large-star and small-star steps in turn until nothing changes, each a group minimum and an equi-join; the
-    number of rounds grows with the logarithm of a component's size. Nothing is collected but two counters.
+    number of rounds grows with the logarithm of a component's size. Nothing reaches the driver but a count and a checksum.
     """
-    edges = scratch(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    edges, many = counted(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     before = None
-    while True:
+    while many:
         both = edges.union(edges.select("b", "a")).toDF("a", "b")
         low = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("k"), F.least("a", "low").alias("low"))
         star = both.join(low, both.a == low.k).filter("b > a and b <> low").select(F.col("low").alias("a"), "b").distinct()
@@ -126,8 +134,7 @@ def components(links: DataFrame) -> DataFrame:
         low = star.groupBy("b").agg(F.min("a").alias("low")).withColumnRenamed("b", "k")
         down = star.join(low, star.b == low.k)
         star = down.filter("a <> low").select(F.col("low").alias("x"), F.col("a").alias("y")).union(low.select("low", "k")).toDF("a", "b").distinct()
-        edges = scratch(star, "edges")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        edges, *now = counted(star, "edges", F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
         if now == before:
             break
         before = now
@@ -139,7 +146,6 @@ def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
     """The components (node, component) once ``links`` (a, b) have joined some of them; ``comps`` need not hold nodes that are alone."""
     own = lambda c: links.select("a", "b").join(comps.withColumnRenamed("node", c), c, "left").withColumn(c, F.coalesce("component", c)).drop("component")
     links = own("a")
-    links = own("b").filter("a <> b").select("a", "b").distinct()
-    new = components(links)
+    new = components(own("b").select("a", "b"))
     old = comps.join(new.withColumnRenamed("component", "low"), F.col("component") == new["node"], "left").select(comps["node"], F.coalesce("low", "component").alias("component"))
     return old.unionByName(new.join(comps.select("node"), "node", "left_anti"))

@@ -14,14 +14,15 @@ for them every bound below is exact.
    below the threshold go. Both the lists' bound and this one lose a link at the threshold with a probability
    below 1e-5, and more similar ones far less. For nodes retained whole nothing is estimated.
 5. The rest are verified on full sets; for nodes that are retained whole the estimate is that verification already.
-6. Groups (``_across``), on full sets. Where all but ``pair_up_to`` nodes of a group are in one component, those few are
+6. Groups (``_Linker.across``), on full sets. Where all but ``few`` nodes of a group are in one component, those few are
    compared with the others. A larger rest is settled by edits: the shingles that more than half of the group hold are
    its centre, and a node's edits are what it holds beside the centre or lacks of it. Edits tell distances: two nodes
    differ in the sum of their edits less twice those they share. So two nodes whose edits are few enough are linked
    without a look at their sets, and one row for each node (with the node nearest to the centre) states all those links;
    two others must share edits, as many as their numbers ask for, and meet in inverted lists of their rarest edits.
-   Each such list holds at most half of the group and is a group of the next round, so rounds end by halving.
-   No step makes a row for each pair of a group: rows are nodes, edits, or at most ``pair_up_to`` partners a node.
+   Each such list holds at most half of the group and is a group of the next round, so rounds end by halving. An edit's
+   rank bounds what two nodes can share from there on, which leaves out most of a list's pairs.
+   No step makes a row for each pair of a group: rows are nodes, shingles, or at most ``few`` partners a node.
 7. Connected components of the links.
 
 Defined results: null or empty texts and texts of white space have an empty set, are linked with nothing, and stay.
@@ -41,7 +42,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .common import BROADCAST_ROWS, components, forget, maybe_broadcast, merged, scratch
+from .common import BROADCAST_ROWS, components, counted, forget, maybe_broadcast, merged, scratch
 
 SIGMAS = 5
 #: Keeps the lists of sketches apart from those of whole sets.
@@ -136,6 +137,19 @@ def _verify(percent: int):
     return run
 
 
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (g, size, vals) to (g, size, v, df): how many of a batch's rows of a group hold each value."""
+    for batch in batches:
+        group, at, place = np.unique(batch.column(0).to_numpy(), return_index=True, return_inverse=True)
+        lists = _lists(batch.column(2))
+        v, of = np.concatenate([np.zeros(0, np.uint64), *lists]), np.repeat(place, [len(x) for x in lists])
+        order = np.lexsort((v, of))
+        v, of = v[order], of[order]
+        first = np.flatnonzero(np.append(True, (v[1:] != v[:-1]) | (of[1:] != of[:-1]))) if len(v) else np.zeros(0, np.int64)
+        df, g, size = np.diff(np.append(first, len(v))), group[of[first]], batch.column(1).to_numpy()[at][of[first]]
+        yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(size), pa.array(v[first].view(np.int64)), pa.array(df)], ["g", "size", "v", "df"])
+
+
 def _edits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (g, id, c, n, vals, centre) to (g, id, c, n, edits): what either array holds and the other does not."""
     for batch in batches:
@@ -160,8 +174,8 @@ def _ends(pairs: DataFrame) -> DataFrame:
 class _Linker:
     """Verifies pairs of nodes, and finds the links within groups; holds the sets that both need."""
 
-    def __init__(self, texts: DataFrame, reps: DataFrame, percent: int, k: int, whole: int, pair_up_to: int):
-        self.texts, self.reps, self.percent, self.k, self.whole, self.pair_up_to = texts, reps, percent, k, whole, pair_up_to
+    def __init__(self, texts: DataFrame, reps: DataFrame, percent: int, k: int, whole: int, few: int):
+        self.texts, self.reps, self.percent, self.k, self.whole, self.few = texts, reps, percent, k, whole, few
 
     def fits(self, x: Column, y: Column) -> Column:
         """Whether sizes alone allow a link."""
@@ -174,66 +188,67 @@ class _Linker:
     def linked(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) that are links."""
         spark = self.reps.sparkSession
-        ends = scratch(_ends(pairs), "ends")
-        some = scratch(self.reps.join(maybe_broadcast(ends, ends.count()), "id", "left_semi"), "candidates")
-        kept = scratch(_with_sets(pairs, some, ["n", "vals"]).mapInArrow(_judge(self.percent, self.k, self.whole), "a long, b long, sure boolean"), "estimated")
+        some = scratch(self.reps.join(maybe_broadcast(*counted(_ends(pairs), "ends")), "id", "left_semi"), "candidates")
+        kept, _, unsure = counted(_with_sets(pairs, some, ["n", "vals"]).mapInArrow(_judge(self.percent, self.k, self.whole), "a long, b long, sure boolean"), "estimated", F.count_if(~F.col("sure")))
         forget(spark, some)
-        unsure = kept.filter("not sure").select("a", "b")
-        ends = scratch(_ends(unsure), "ends")
-        many = ends.count()
-        if not many:
+        if not unsure:
             return kept.select("a", "b")
+        unsure = kept.filter("not sure").select("a", "b")
+        ends, many = counted(_ends(unsure), "ends")
         sets = scratch(self.texts.join(maybe_broadcast(ends, many), "id", "left_semi").mapInArrow(_full, "id long, vals array<long>"), "sets")
         out = scratch(kept.filter("sure").select("a", "b").union(_with_sets(unsure, sets, ["vals"]).mapInArrow(_verify(self.percent), "a long, b long")).distinct(), "links")
         forget(spark, sets)
         return out
 
     def across(self, groups: DataFrame, links: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Links and components (node, component), once all pairs within the groups (g, id) are settled."""
+        """Links and components (node, component), once all pairs within the groups (g, id, s, left) are settled.
+
+        Where s and left are not null, two nodes of a group can only be linked if their s add up to what left allows.
+        """
         spark, sets = self.reps.sparkSession, None
         while True:
-            at = scratch(groups.distinct().join(comps.withColumnRenamed("node", "id"), "id", "left").select("g", "id", F.coalesce("component", "id").alias("c")), "members")
+            at = scratch(groups.join(comps.withColumnRenamed("node", "id"), "id", "left").select("g", "id", "s", "left", F.coalesce("component", "id").alias("c")), "members")
             parts = at.groupBy("g", "c").agg(F.count(F.lit(1)).alias("size"))
             whole = parts.groupBy("g").agg(F.sum("size").alias("size"), F.max(F.struct("size", -F.col("c"))).alias("x")).select("g", "size", (-F.col("x.col2")).alias("big"), (F.col("size") - F.col("x.size")).alias("minor"))
-            whole = scratch(whole.filter("minor > 0"), "groups")
-            few, many = whole.agg(F.count_if(F.col("minor") <= self.pair_up_to), F.count_if(F.col("minor") > self.pair_up_to)).first()
-            if not few + many:
+            whole, some, many = counted(whole.filter("minor > 0"), "groups", F.count_if(F.col("minor") > self.few))
+            if not some:
                 return links, comps
-            at = at.join(maybe_broadcast(whole, few + many), "g")
-            sizes = self.reps.select("id", "n")
-            new = None
-            if few:
-                some = at.filter(F.col("minor") <= self.pair_up_to).join(sizes, "id")
-                rest = some.filter("c <> big").select("g", F.col("id").alias("x"), F.col("c").alias("c_x"), F.col("n").alias("n_x"))
-                pairs = some.select("g", "id", "c", "n").join(rest, "g").filter((F.col("c") != F.col("c_x")) & self.fits(F.col("n"), F.col("n_x")))
-                new = self.linked(scratch(pairs.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct(), "pairs"))
+            at, new = at.join(maybe_broadcast(whole, some), "g"), None
+            if some > many:
+                mine = at.filter(F.col("minor") <= self.few)
+                rest = mine.filter("c <> big").select("g", F.col("id").alias("x"), F.col("c").alias("c_x"), F.col("s").alias("s_x"), F.col("left").alias("left_x"))
+                room = F.coalesce(F.col("s") + F.col("s_x") <= 2 * (100 + self.percent) * F.least("left", "left_x"), F.lit(True))
+                pairs = mine.select("g", "id", "c", "s", "left").join(rest, "g").filter((F.col("c") != F.col("c_x")) & room)
+                pairs, found = counted(pairs.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct(), "pairs")
+                new = self.linked(pairs) if found else None
             if many:
-                at = scratch(at.filter(F.col("minor") > self.pair_up_to).select("g", "id", "c", "size"), "members")
+                at = scratch(at.filter(F.col("minor") > self.few).select("g", "id", "c", "size").distinct(), "members")
                 if sets is None:
-                    ids = scratch(at.select("id").distinct(), "ends")
-                    one = maybe_broadcast(ids, ids.count())
+                    one = maybe_broadcast(*counted(at.select("id").distinct(), "ends"))
                     kept = self.reps.filter(F.col("n") <= self.whole).select("id", "vals").join(one, "id", "left_semi")
                     sets = scratch(kept.unionByName(self.full(one)).withColumn("n", F.size("vals").cast("long")), "sets")
                 near, groups = self.by_edits(spark, at, sets)
                 new = near if new is None else new.unionByName(near)
-            new = scratch(new, "links")
-            links, comps = links.unionByName(new), scratch(merged(comps, new), "components")
+            new, found = counted(new, "links") if new is not None else (None, 0)
+            if found:
+                links, comps = links.unionByName(new), scratch(merged(comps, new), "components")
             if not many:
                 return links, comps
 
     def by_edits(self, spark: SparkSession, at: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """For members (g, id, c, size): links with the node nearest to each group's centre, and the lists of shared edits as groups (g, id)."""
+        """For members (g, id, c, size): links with the node nearest to each group's centre, and the lists of shared edits as groups (g, id, s, left)."""
         up, down = 100 + self.percent, 100 - self.percent
         held = at.join(sets, "id")
-        counts = held.select("g", "size", F.explode("vals").alias("v")).groupBy("g", "size", "v").agg(F.count(F.lit(1)).alias("df"))
-        centre = scratch(counts.filter("2 * df > size").groupBy("g").agg(F.array_sort(F.collect_list("v")).alias("centre")), "centres")  # as long as twice its nodes' sets
-        much = centre.agg(F.sum(F.size("centre"))).first()[0] or 0
+        counts = held.select("g", "size", "vals").mapInArrow(_tally, "g long, size long, v long, df long").groupBy("g", "size", "v").agg(F.sum("df").alias("df"))
+        centre = counts.filter("2 * df > size").groupBy("g").agg(F.array_sort(F.collect_list("v")).alias("centre"))  # as long as twice its nodes' sets
+        centre, _, much = counted(centre, "centres", F.sum(F.size("centre")))
+        much = much or 0
         held = held.select("g", "id", "c", "n", "vals").join(maybe_broadcast(centre, much), "g", "left")
         empty = F.array().cast("array<long>")
         edits = held.withColumn("centre", F.coalesce("centre", empty)).mapInArrow(_edits, "g long, id long, c long, n long, edits array<long>")
         edits = scratch(edits.withColumn("s", up * F.size("edits") - down * F.col("n")).withColumn("row", F.monotonically_increasing_id()), "edits")
-        first = scratch(edits.groupBy("g").agg(F.min(F.struct("s", "id", "c")).alias("x")).select("g", F.col("x.s").alias("s0"), F.col("x.id").alias("id0"), F.col("x.c").alias("c0")), "first")
-        edits = edits.join(maybe_broadcast(first, first.count()), "g")
+        first = counted(edits.groupBy("g").agg(F.min(F.struct("s", "id", "c")).alias("x")).select("g", F.col("x.s").alias("s0"), F.col("x.id").alias("id0"), F.col("x.c").alias("c0")), "first")
+        edits = edits.join(maybe_broadcast(*first), "g")
         near = edits.filter("s + s0 <= 0 and id <> id0").select(F.least("id", "id0").alias("a"), F.greatest("id", "id0").alias("b")).distinct()
         # those that are now in the nearest node's component need no list with each other
         own = edits.withColumn("c", F.when(F.col("s") + F.col("s0") <= 0, F.col("c0")).otherwise(F.col("c")))
@@ -243,10 +258,10 @@ class _Linker:
         ranked = each.join(lists, ["g", "w"]).withColumn("shared", F.count(F.lit(1)).over(by_row)).withColumn("rank", F.row_number().over(by_row.orderBy("df", "w")) + F.col("e") - F.col("shared"))
         # a partner's s is s0 at least, and more than -s, else the two are linked already
         least = F.greatest(F.lit(1), F.ceil((F.col("s") + F.greatest("s0", 1 - F.col("s"))) / F.lit(2.0 * up)))
-        return near, scratch(ranked.filter(F.col("rank") <= F.col("e") - least + 1).select(F.xxhash64("g", "w").alias("g"), "id"), "groups")
+        return near, ranked.filter(F.col("rank") <= F.col("e") - least + 1).select(F.xxhash64("g", "w").alias("g"), "id", "s", (F.col("e") - F.col("rank") + 1).alias("left"))
 
 
-def similarity_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, k: int = 128, whole: int = 512, pair_up_to: int = 16) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def similarity_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, k: int = 128, whole: int = 512, pair_up_to: int = 16, few: int = 64) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(profiles of the rows, nodes, links between nodes, components as node and component); see the module's text.
 
     The links connect all that is linked; where a component is known, not all links within it are listed.
@@ -257,8 +272,7 @@ def similarity_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     base = scratch(kept.drop("vals"), "profiles")
     some = base.filter("n > 0 and id is not null")
     nodes = scratch(some.groupBy("n", "sig_a", "sig_b").agg(F.min("id").alias("node"), F.min_by("row", F.struct("id", "row")).alias("row"), F.count(F.lit(1)).alias("copies")), "nodes")
-    copies = scratch(some.join(nodes.filter("copies > 1").select("n", "sig_a", "sig_b", F.col("row").alias("first")), ["n", "sig_a", "sig_b"]).filter("row <> first").select("row"), "copies")
-    many = copies.count()
+    copies, many = counted(some.join(nodes.filter("copies > 1").select("n", "sig_a", "sig_b", F.col("row").alias("first")), ["n", "sig_a", "sig_b"]).filter("row <> first").select("row"), "copies")
     reps = kept.filter("n > 0 and id is not null").join(maybe_broadcast(copies, many), "row", "left_anti").select("id", "n", "vals")
     if many > BROADCAST_ROWS:
         reps = scratch(reps, "sketches")
@@ -282,8 +296,8 @@ def similarity_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .select("v", "id", size.alias("n"), F.when(n > 0, F.col("rank")).alias("rank"), (F.col("weight") / retained).alias("weight")),
         "entries",
     )
-    lists = scratch(entries.groupBy("v").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("weight", -F.col("id"), "n")).alias("x")).filter("size > 1").select("v", "size", (-F.col("x.col2")).alias("hub"), F.col("x.n").alias("hub_n")), "lists")
-    linker = _Linker(texts, reps, percent, k, whole, pair_up_to)
+    lists, _, longs = counted(entries.groupBy("v").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("weight", -F.col("id"), "n")).alias("x")).filter("size > 1").select("v", "size", (-F.col("x.col2")).alias("hub"), F.col("x.n").alias("hub_n")), "lists", F.count_if(F.col("size") > pair_up_to))
+    linker = _Linker(texts, reps, percent, k, whole, few)
 
     def side(df: DataFrame, s: str) -> DataFrame:
         return df.select("v", F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "rank")])
@@ -298,7 +312,6 @@ def similarity_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     mine = entries.join(lists.filter(F.col("size") <= pair_up_to).select("v"), "v")
     short = side(mine, "a").join(side(mine, "b"), "v").filter(may_link()).select("a", "b")
     long_lists = lists.filter(F.col("size") > pair_up_to)
-    longs = long_lists.count()
     spokes = entries.join(maybe_broadcast(long_lists, longs), "v").filter((F.col("id") != F.col("hub")) & linker.fits(F.col("n"), F.col("hub_n"))).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
     links = linker.linked(scratch(short.union(spokes).distinct(), "pairs"))
     comps = scratch(components(links), "components")
@@ -306,8 +319,11 @@ def similarity_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         # lists with different components go on, under their central node
         at = entries.join(maybe_broadcast(long_lists.select("v", "hub"), longs), "v").select("v", "hub", "id").join(comps.withColumnRenamed("node", "id"), "id", "left").select("v", "hub", "id", F.coalesce("component", "id").alias("c"))
         at = scratch(at, "members")
-        split = scratch(at.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("v"), "split")
-        links, comps = linker.across(at.join(maybe_broadcast(split, split.count()), "v").select(F.col("hub").alias("g"), "id"), links, comps)
+        split = counted(at.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("v"), "split")
+        null = F.lit(None).cast("long")
+        if split[1]:
+            groups = at.join(maybe_broadcast(*split), "v").select(F.col("hub").alias("g"), "id").distinct()
+            links, comps = linker.across(groups.select("g", "id", null.alias("s"), null.alias("left")), links, comps)
     return base, nodes, links, comps
 
 

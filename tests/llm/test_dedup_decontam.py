@@ -104,7 +104,7 @@ def test_a_list_of_unlike_nodes(spark, seed, n, size, edits, percent):
     """One inverted list holds all nodes, and its central node links few of them; sets of whole and of sketched texts."""
     rows = unlike_copies(seed, n, size, edits)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(df, percent=percent, pair_up_to=3).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(df, percent=percent, pair_up_to=3, few=3).collect()}
     want, _ = brute_components(rows, percent)
     assert [got[i] for i in range(n)] == want and 2 < len(set(want)) < n
 
