@@ -103,7 +103,19 @@ def completeness_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-@query("name_similarity_parts")
+_NAME = "array_to_string(list_sort(list_filter(string_split_regex(regexp_replace(lower({}), '[^\\p{{L}}\\p{{M}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+'), lambda w: w <> '')), ' ')"
+_CODES = "list_transform(string_split({}, ''), lambda c: [CAST(unicode(c) AS INTEGER)])"
+# Rows of the table of common subsequences, one a letter of x, each an array that a fold over the letters of y appends to.
+_COMMON = f"""list_reduce({_CODES.format('x')}, lambda prev, ch: list_reduce(list_transform(range(1, length(y) + 1), lambda j: [CAST(j AS INTEGER)]), lambda cur, j: list_append(cur, CASE WHEN ch[1] = ys[j[1]][1] THEN prev[j[1]] + 1 ELSE greatest(prev[j[1] + 1], cur[len(cur)]) END), [0]), list_transform(range(0, length(y) + 1), lambda z: 0))[-1]"""
+_LIKE = f"CASE WHEN x = '' OR y = '' THEN 0.0 WHEN x = y THEN 1.0 ELSE 2.0 * {_COMMON} / (length(x) + length(y)) END"
+
+
+@query(
+    "name_similarity_parts",
+    f"""WITH p AS (SELECT p_partkey, {_NAME.format('p_name')} AS n, {_NAME.format("array_to_string(list_reverse(string_split(p_name, ' ')), ' ')")} AS turned, {_NAME.format('p_type')} AS kind FROM part),
+ a AS (SELECT p_partkey, n AS x, turned AS y, {_CODES.format('turned')} AS ys FROM p), b AS (SELECT p_partkey, n AS x, kind AS y, {_CODES.format('kind')} AS ys FROM p)
+ SELECT p_partkey, round(t, 4) AS turned, round(w, 4) AS with_type FROM (SELECT p_partkey, {_LIKE} AS t FROM a) JOIN (SELECT p_partkey, {_LIKE} AS w FROM b) USING (p_partkey)""",
+)
 def name_similarity_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each part's name against the name of its brand and type turned round."""
     parts = table(spark, sf_dir, "part")

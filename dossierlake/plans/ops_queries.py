@@ -69,20 +69,37 @@ def illegal_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.illegal(moves, "event_type", _ALLOWED).select("event_id", "from_state", F.col("event_type").alias("to_state"))
 
 
-@query("rate_limit_accepts")
+_STEPS = "WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, {tie}) AS n FROM ({rows}))"
+
+
+@query(
+    "rate_limit_accepts",
+    _STEPS.format(tie="event_id", rows="SELECT user_id, event_id, epoch(ts) AS t FROM events")
+    + """, r AS (SELECT user_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, false AS allowed, 0 AS remaining, 0 AS retry_after, CAST([] AS DOUBLE[]) AS live FROM (SELECT DISTINCT user_id FROM e)
+ UNION ALL SELECT user_id, n, event_id, len(live) < 2, CASE WHEN len(live) < 2 THEN CAST(1 - len(live) AS INTEGER) ELSE 0 END, CASE WHEN len(live) < 2 THEN 0 ELSE greatest(1, CAST(trunc(live[1] + 21600 - t) AS INTEGER) + 1) END, CASE WHEN len(live) < 2 THEN list_append(live, t) ELSE live END
+ FROM (SELECT e.user_id, e.n, e.event_id, e.t, list_filter(r.live, lambda x: x > e.t - 21600) AS live FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1))
+ SELECT user_id, event_id, allowed, remaining, retry_after FROM r WHERE n > 0""",
+)
 def rate_limit_accepts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which events a limit of two in six hours lets through; refused ones don't count."""
     return W.rate_limited(table(spark, sf_dir, "events", "event_id", "user_id", "ts"), "user_id", "ts", "event_id", 6 * 3600.0, 2)
 
 
-@query("slot_guard")
+@query(
+    "slot_guard",
+    _STEPS.format(tie="job", rows="SELECT user_id, CASE WHEN event_type = 'signup' THEN event_id - 1 ELSE event_id END AS job, event_type = 'signup' AS freed, epoch(ts) AS t FROM events")
+    + """, r AS (SELECT user_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS job, true AS freed, false AS granted, CAST([] AS STRUCT(j BIGINT, t DOUBLE)[]) AS held FROM (SELECT DISTINCT user_id FROM e)
+ UNION ALL SELECT user_id, n, job, freed, NOT freed AND (own OR len(held) < 2), CASE WHEN freed THEN list_filter(held, lambda x: x.j <> job) WHEN own OR len(held) < 2 THEN list_append(list_filter(held, lambda x: x.j <> job), struct_pack(j := job, t := t)) ELSE held END
+ FROM (SELECT *, len(list_filter(held, lambda x: x.j = job)) > 0 AS own FROM (SELECT e.user_id, e.n, e.job, e.freed, e.t, list_filter(r.held, lambda x: x.t > e.t - 86400) AS held FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)))
+ SELECT user_id, job, granted FROM r WHERE n > 0 AND NOT freed""",
+)
 def slot_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Purchases ask for one of two slots a user that lapse after a day; signups free the event before."""
     e = table(spark, sf_dir, "events").select("user_id", "ts", F.when(F.col("event_type") == "signup", F.col("event_id") - 1).otherwise(F.col("event_id")).alias("job"), F.when(F.col("event_type") == "signup", "release").otherwise("reserve").alias("action"))
     return W.slots(e, "user_id", "ts", "job", "action", 2, 86400.0)
 
 
-@query("history_merge", """WITH o AS (SELECT user_id, list(event_type ORDER BY ts, event_id) AS all_ FROM events GROUP BY 1) SELECT user_id, array_to_string(list_concat(all_[1:3], list_filter(all_[4:6], lambda x: NOT list_contains(all_[1:3], x))), ',') AS history FROM o""")
+@query("history_merge", """WITH o AS (SELECT user_id, list(event_type ORDER BY ts, event_id) AS all_ FROM events GROUP BY 1) SELECT user_id, array_to_string(list_concat(all_[1:3], list_filter(all_[4:], lambda x: NOT list_contains(all_[1:3], x))), ',') AS history FROM o""")
 def history_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's first three events, and of all later ones those of kinds that aren't among them."""
     from pyspark.sql import Window
@@ -182,8 +199,9 @@ def top_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", *[F.get(best, F.lit(i))["k"].alias(n) for i, n in enumerate(("first", "second", "third"))])
 
 
-@query("offline_answers", r"""WITH q AS (SELECT item_id, list_distinct(list_filter(string_split(lower(text), ' '), lambda w: length(w) > 12)) AS ws FROM benchmark), w AS (SELECT item_id, unnest(ws) AS w FROM q), d AS (SELECT DISTINCT doc_id, unnest(string_split(lower(text), ' ')) AS w FROM documents)
- SELECT item_id, count(DISTINCT doc_id) AS passages, min(doc_id) AS first FROM w JOIN d USING (w) GROUP BY 1""")
+@query("offline_answers", r"""WITH q AS (SELECT item_id, list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda w: length(w) > 3)) AS ws FROM benchmark), w AS (SELECT item_id, unnest(ws) AS w FROM q), d AS (SELECT DISTINCT doc_id, unnest(string_split_regex(lower(text), '\s+')) AS w FROM documents),
+ h AS (SELECT x.w AS word, y.w AS held FROM (SELECT DISTINCT w FROM w) x JOIN (SELECT DISTINCT w FROM d) y ON contains(y.w, x.w))
+ SELECT item_id, count(DISTINCT doc_id) AS passages, min(doc_id) AS first FROM w JOIN h ON w.w = word JOIN d ON d.w = held WHERE doc_id IS NOT NULL GROUP BY 1""")
 def offline_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each question, how many documents hold one of its words of more than three characters, also within a longer word, and the first of them."""
     asked = table(spark, sf_dir, "benchmark", "item_id", "text")

@@ -56,12 +56,6 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.dense(v, asked, "vec_id", "embedding", "query_id", "q", K, "label").select("query_id", "vec_id", "score", "rank")
 
 
-_OVER = f"{_BM25}, ov AS (SELECT item_id, doc_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY s2 DESC, doc_id) AS INTEGER) AS rank FROM (SELECT item_id, doc_id, sum(qtf) AS s2 FROM tf JOIN q USING (term) GROUP BY ALL))"
-_FUSED = f"""{_OVER}, f AS (SELECT coalesce(a.item_id, b.item_id) AS item_id, coalesce(a.doc_id, b.doc_id) AS doc_id, a.rank AS lex_rank, b.rank AS dense_rank, round(coalesce(1.0 / (60 + a.rank), 0.0) + coalesce(1.0 / (60 + b.rank), 0.0), 6) AS score
- FROM (SELECT * FROM lex WHERE rank <= 15) a FULL JOIN (SELECT * FROM ov WHERE rank <= 15) b ON a.item_id = b.item_id AND a.doc_id = b.doc_id),
- fr AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, lex_rank NULLS LAST, dense_rank NULLS LAST, doc_id) AS INTEGER) AS rank FROM f)"""
-
-
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, asked = _corpus(spark, sf_dir)
     deep = retrieval.depth(K)
@@ -69,26 +63,22 @@ def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.fuse(_bm25(spark, sf_dir, deep), other, "item_id", "doc_id", K)
 
 
-@query("rrf_fusion", f"WITH {_FUSED} SELECT item_id, doc_id, lex_rank, dense_rank, score, rank FROM fr WHERE rank <= {K}")
+@query("rrf_fusion")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rankings by BM25 and by TF-IDF vectors fused by reciprocal ranks."""
     return _fused(spark, sf_dir).select("item_id", "doc_id", "lex_rank", "dense_rank", "score", "rank")
 
 
-@query(
-    "retrieval_report",
-    f"""WITH {_FUSED}, e AS (SELECT item_id, doc_id FROM benchmark JOIN documents ON contains(documents.text, benchmark.text)), j AS (SELECT item_id, min(rank) AS rank FROM (SELECT fr.item_id, fr.rank FROM fr JOIN e USING (item_id, doc_id) WHERE rank <= {K}) GROUP BY 1),
- x AS (SELECT DISTINCT item_id FROM e), y AS (SELECT CASE WHEN item_id % 3 = 0 THEN 'held_out' ELSE 'dev' END AS split, CASE WHEN rank IS NULL THEN 0.0 ELSE 1.0 END AS hit, coalesce(1.0 / rank, 0.0) AS rr FROM x LEFT JOIN j USING (item_id))
- SELECT coalesce(split, 'overall') AS split, count(*) AS n, round(avg(hit), 4) AS recall, round(avg(rr), 4) AS mrr FROM y GROUP BY ROLLUP (split)""",
-)
+@query("retrieval_report")
 def retrieval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall and reciprocal rank of the fusion, for items that some document holds word for word."""
     docs, asked = _corpus(spark, sf_dir)
     # A document that holds a question holds its words two to six in a row, which makes the search an equi-join.
     gram = lambda w, i: F.concat_ws(" ", *[F.get(w, i + j) for j in range(5)])
-    runs = docs.select("doc_id", "text", F.split("text", r"\s+").alias("w")).select("doc_id", "text", "w", F.posexplode("w").alias("i", "_")).select("doc_id", "text", gram("w", F.col("i")).alias("g"))
+    runs = docs.select("doc_id", F.split("text", r"\s+").alias("w")).select("doc_id", F.explode(F.transform("w", lambda _, i: gram("w", i))).alias("g"))
     keyed = asked.select("item_id", "question", gram(F.split("question", r"\s+"), F.lit(1)).alias("g"))
-    expected = runs.join(keyed, "g").filter(F.col("text").contains(F.col("question"))).select("item_id", "doc_id").distinct()
+    met = runs.join(keyed, "g").select("doc_id", "item_id", "question").distinct()  # the text comes back for these only
+    expected = docs.join(met, "doc_id").filter(F.col("text").contains(F.col("question"))).select("item_id", "doc_id").distinct()
     judged = retrieval.judged(_fused(spark, sf_dir), expected, "item_id", "doc_id", K).withColumn("split", F.when(F.col("item_id") % 3 == 0, "held_out").otherwise("dev"))
     return retrieval.retrieval_report(judged, "split")
 

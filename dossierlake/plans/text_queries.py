@@ -20,7 +20,7 @@ def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", T.token_count("text").alias("n_tokens"), F.size(T.words("text")).alias("n_words"))
 
 
-@query("term_df", f"SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({_WORDS}) AS term FROM documents) GROUP BY term HAVING count(*) > 1")
+@query("term_df", f"SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({_WORDS}) AS term FROM documents) GROUP BY term")
 def term_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In how many documents each word occurs."""
     words = spread(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", F.explode(F.array_distinct(T.words("text"))).alias("term"))
@@ -83,7 +83,17 @@ def citation_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grounding.valid_claims(claims, "conv_id", "text", "cited", "authorised")
 
 
-@query("sanitised_answers")
+_TAGS = rf"list_filter(list_filter(regexp_extract_all(l, '{grounding.CITATION}', 1), lambda c: NOT list_contains(allowed, c)), lambda c: NOT (" + " OR ".join(f"starts_with(upper(c), '{p}')" for p in grounding.EXEMPT) + "))"
+_ALLOWED = "[" + ", ".join(f"'{x}'" for x in ["credit_policy_v1_p1", *grounding.POLICY_ALIASES["credit_policy_v1_p1"]]) + "]"
+
+
+@query(
+    "sanitised_answers",
+    f"""WITH c AS (SELECT conv_id, turn, concat(text, ' [CHUNK-POLICY-SAL-02]', chr(10), 'second ', CASE conv_id % 3 WHEN 0 THEN '[credit_policy_v1_p1]' WHEN 1 THEN '[made_up_1]' ELSE '' END) AS t, text IS NULL AS none, {_ALLOWED} AS allowed FROM conversations),
+ l AS (SELECT conv_id, turn, none, list_transform(list_transform(string_split(t, chr(10)), lambda l: struct_pack(line := l, tags := {_TAGS})), lambda s: struct_pack(line := s.line, bad := list_filter(s.tags, lambda x, i: list_position(s.tags, x) = i))) AS ls FROM c)
+ SELECT conv_id, turn, CASE WHEN none THEN '> ⚠️ [ABSTENTION: Summary empty or missing.]' ELSE concat(array_to_string(list_transform(ls, lambda s: CASE WHEN len(s.bad) > 0 THEN concat('> ⚠️ [UNGROUNDED CLAIM DROPPED - Unauthorized citations: ', array_to_string(s.bad, ', '), ']') ELSE s.line END), chr(10)),
+ CASE WHEN len(list_filter(ls, lambda s: len(s.bad) > 0)) > 0 THEN concat(chr(10), chr(10), '> ⚠️ [ABSTENTION: One or more claims were dropped due to lack of verified citation grounding.]') ELSE '' END) END AS answer FROM l""",
+)
 def sanitised_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole turns with an authorised citation, and a line after them that may cite what isn't authorised."""
     tag = F.when(F.col("conv_id") % 3 == 0, "credit_policy_v1_p1").when(F.col("conv_id") % 3 == 1, "made_up_1").otherwise("")
@@ -92,7 +102,18 @@ def sanitised_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", grounding.sanitised(F.col("t"), F.array(F.lit("credit_policy_v1_p1"))).alias("answer"))
 
 
-@query("narrative_issues")
+_AMOUNTS = r"list_transform(regexp_extract_all({}, '(?:₹|INR|Rs\.?)?\s*(\d{{1,3}}(?:,\d{{2,3}})+(?:\.\d{{1,2}})?|\d+\.\d{{1,2}})', 1), lambda x: CAST(replace(x, ',', '') AS DECIMAL(18,2)))"
+_DECIDES = ", ".join(f"""CASE WHEN regexp_extract(t, '(?i){p}') <> '' THEN 'autonomous disposition language forbidden: ' || chr(39) || trim(regexp_extract(t, '(?i){p}')) || chr(39) END""" for p in grounding.DISPOSITIONS)
+
+
+@query(
+    "narrative_issues",
+    f"""WITH n AS (SELECT o_orderkey, format('{{:,.2f}}', o_totalprice) AS m FROM orders),
+ x AS (SELECT o_orderkey, m, concat('The total is INR ', m, CASE o_orderkey % 4 WHEN 1 THEN ' and the loan is approved' WHEN 2 THEN ' but 12.34 is due' WHEN 3 THEN ' [CHUNK-9]' ELSE '' END) AS t FROM n),
+ i AS (SELECT o_orderkey, list_concat(list_filter([{_DECIDES}], lambda y: y IS NOT NULL), list_transform(list_sort(list_distinct(list_filter({_AMOUNTS.format('t')}, lambda y: NOT list_contains({_AMOUNTS.format('m')}, y)))), lambda y: 'ungrounded monetary figure not in findings: ' || format('{{:,.2f}}', CAST(y AS DOUBLE))),
+ list_transform(list_filter(regexp_extract_all(t, '{grounding.CITATION}', 1), lambda y: y <> 'CHUNK-1'), lambda y: 'unauthorized citation in narrative: [' || y || ']')) AS found FROM x)
+ SELECT o_orderkey, array_to_string(found, '; ') AS issues, len(found) = 0 AS grounded FROM i""",
+)
 def narrative_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Narratives made of orders, with a decision, a foreign number or a foreign citation in some."""
     k = F.col("o_orderkey")
@@ -137,10 +158,12 @@ def dossier_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.facts(pages, "doc", "label", "page", "text")
 
 
-@query("money_in_orders", """SELECT o_orderkey, CAST(CAST(round(o_totalprice, 2) AS DECIMAL(18,2)) AS DOUBLE) AS amount FROM orders""")
+@query("money_in_orders", """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 3 THEN NULL WHEN 4 THEN -1 ELSE 1 END * CAST(CASE o_orderkey % 5 WHEN 2 THEN floor(o_totalprice) ELSE CAST(round(o_totalprice, 2) AS DECIMAL(18,2)) END AS DOUBLE) AS amount FROM orders""")
 def money_in_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Amounts written with currency and grouping, and read again."""
-    shown = F.concat(F.lit("Rs. "), F.format_number(F.round("o_totalprice", 2).cast("decimal(18,2)"), 2))
+    """Amounts written in several ways and read again: with a currency before or after, grouped or not, whole, negative, or none at all."""
+    exact = F.round("o_totalprice", 2).cast("decimal(18,2)")
+    ways = [F.concat(F.lit("Rs. "), F.format_number(exact, 2)), F.concat(exact.cast("string"), F.lit(" INR, of 12 parts")), F.concat(F.lit("due: ₹"), F.format_number(F.floor("o_totalprice"), 0)), F.lit("INR unknown"), F.concat(F.lit("Rs -"), exact.cast("string"))]
+    shown = F.element_at(F.array(*ways), (F.col("o_orderkey") % 5 + 1).cast("int"))
     return table(spark, sf_dir, "orders").select("o_orderkey", T.money(shown).cast("double").alias("amount"))
 
 
