@@ -121,6 +121,27 @@ d AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_byte
 m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS keep FROM d)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> keep THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN payload_bytes >= 1000 AND page_id <> keep THEN keep END AS refers_to FROM m""",
+    "op4_benchmark_decontamination": r"""
+WITH d AS (
+  SELECT doc_id, string_split_regex(t, '[ \t-\r]+') AS w FROM (SELECT doc_id, trim(lower(text), E' \t\n\x0b\x0c\r') AS t FROM documents) WHERE t <> ''
+), i AS (
+  SELECT DISTINCT item_id, w, len(w) AS n, least(len(w), 5) AS width FROM (SELECT item_id, string_split_regex(trim(lower(text), E' \t\n\x0b\x0c\r'), '[ \t-\r]+') AS w FROM benchmark) WHERE w[1] <> ''
+), g AS (
+  SELECT item_id, n, width, n - width + 1 AS m, array_to_string(w[p + 1:p + width], ' ') AS gram, count(*) AS c FROM (SELECT *, unnest(range(n - width + 1)) AS p FROM i) GROUP BY ALL
+), s AS (
+  SELECT doc_id, total, width, p, array_to_string(w[p + 1:p + width], ' ') AS gram FROM (SELECT doc_id, w, len(w) AS total, width, unnest(range(len(w) - width + 1)) AS p FROM d, (SELECT DISTINCT width FROM i) WHERE len(w) >= width)
+), hit AS (
+  SELECT doc_id, item_id, width, m, least(n, total) AS length, total, p, gram, c FROM s JOIN g USING (width, gram)
+), enough AS (
+  SELECT doc_id, item_id FROM hit GROUP BY doc_id, item_id, m HAVING 100 * count(*) >= 80 * m
+), starts AS (
+  SELECT DISTINCT doc_id, item_id, unnest(range(greatest(0, p - length + width), least(p, total - length) + 1)) AS start FROM hit JOIN enough USING (doc_id, item_id)
+), win AS (
+  SELECT doc_id, item_id, start, length, width, m, gram, least(count(*), c) AS k FROM starts JOIN hit USING (doc_id, item_id) WHERE p BETWEEN start AND start + length - width GROUP BY doc_id, item_id, start, length, width, m, gram, c
+), sim AS (
+  SELECT doc_id, item_id, start, length, sum(k) AS shared, length - width + 1 + m - sum(k) AS rest FROM win GROUP BY doc_id, item_id, start, length, width, m HAVING 100 * sum(k) >= 80 * (length - width + 1 + m - sum(k))
+), best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY shared / rest DESC, start, length DESC) AS r FROM sim)
+SELECT doc_id, item_id, CAST(shared AS DOUBLE) / CAST(rest AS DOUBLE) AS similarity, CAST(start AS INTEGER) AS start_word, CAST(length AS INTEGER) AS n_words FROM best WHERE r = 1""",
     "op7_maxscore": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS q FROM embeddings
