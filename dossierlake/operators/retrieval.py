@@ -219,6 +219,56 @@ def fuse(lexical: DataFrame, dense_: DataFrame, query_key: str, key: str, k: int
     return both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def hybrid(passages: DataFrame, queries: DataFrame, part: str, key: str, text: str, query_key: str, query_text: str, k: int, features: int = FEATURES, stop: list[str] | None = None) -> DataFrame:
+    """(query_key, part, key, lex_rank, dense_rank, score, rank): the k passages of a query's own ``part`` (a tenant's dossier, or the policies)
+    that BM25 and TF-IDF vectors rank best together. Nothing of another part is seen: counts, weights and vocabularies are each part's own.
+
+    All is joined on (part, word), so a part is never held in one place. Passages that share no word with the query rank last, by key;
+    as many of them as the depth asks for come from each part's first keys. Blank queries and those of parts without passages give no rows
+    (``unindexed`` tells the latter). Ties go to the smaller key.
+    """
+    stop = StopWordsRemover.loadDefaultStopWords("english") if stop is None else stop
+    deep = depth(k)
+    words = passages.filter(F.col(key).isNotNull()).select(part, key, T.words(text).alias("w"))
+    sizes = words.groupBy(part).agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce(F.size("w"), F.lit(0))).alias("mean"))
+    posted = words.select(part, key, F.size("w").alias("length"), F.explode("w").alias("term")).groupBy(part, key, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    df = posted.groupBy(part, "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("uses")).join(sizes, part)
+    odds = (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)
+    raw = df.withColumn("odds", odds).withColumn("raw", F.log(odds))
+    floor = raw.groupBy(part).agg((EPSILON * F.avg("raw")).alias("floor"))
+    idf = F.when(F.col("raw") >= 0, F.col("raw")).otherwise(F.col("floor"))
+    weights = raw.join(floor, part).select(part, "term", "mean", F.when(idf > 0, idf).otherwise(F.log(1 + F.col("odds"))).alias("idf"))
+    asked = queries.filter(F.trim(F.coalesce(F.col(query_text), F.lit(""))) != "").select(query_key, part, T.words(query_text).alias("w"))
+    terms = asked.select(query_key, part, F.explode("w").alias("term")).groupBy(query_key, part, "term").agg(F.count(F.lit(1)).alias("qtf"))
+
+    def ranked(scores: DataFrame) -> DataFrame:
+        """The best by score, and after them the part's first passages that have none."""
+        first = words.select(part, key).withColumn("at", F.row_number().over(Window.partitionBy(part).orderBy(key))).filter(F.col("at") <= deep)
+        rest = asked.select(query_key, part).distinct().join(first, part).select(query_key, part, key, F.lit(0.0).alias("score"))
+        all_ = scores.select(query_key, part, key, "score").unionByName(rest).groupBy(query_key, part, key).agg(F.max_by("score", F.abs("score")).alias("score"))
+        return top(all_, query_key, key, deep)
+
+    norm = K1 * (1 - B + B * F.col("length") / F.when(F.col("mean") > 0, F.col("mean")).otherwise(1.0))
+    add = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
+    lexical = posted.join(terms.join(weights, [part, "term"]), [part, "term"]).groupBy(query_key, part, key).agg(F.round(F.sum(add), 6).alias("score"))
+
+    best = F.row_number().over(Window.partitionBy(part).orderBy(F.desc("uses"), "term"))
+    known = df.filter((F.length("term") > 1) & ~F.col("term").isin(*stop)).withColumn("at", best).filter(F.col("at") <= features).select(part, "term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    rows = posted.join(known, [part, "term"]).select(part, key, "term", (F.col("tf") * F.col("idf")).alias("x"))
+    of_q = terms.join(known, [part, "term"]).select(query_key, part, "term", (F.col("qtf") * F.col("idf")).alias("y"))
+    length = lambda t, c, *by: t.groupBy(*by).agg(F.sqrt(F.sum(F.col(c) * F.col(c))).alias(f"{c}_norm"))
+    dots = rows.join(of_q, [part, "term"]).groupBy(query_key, part, key).agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+    dots = dots.join(length(rows, "x", part, key), [part, key]).join(length(of_q, "y", query_key, part), [query_key, part])
+    dense_ = dots.withColumn("score", F.round(F.col("dot") / (F.col("x_norm") * F.col("y_norm")), 6))
+    found = fuse(ranked(lexical), ranked(dense_), query_key, key, k)
+    return found.join(asked.select(query_key, part).distinct(), query_key).select(query_key, part, key, "lex_rank", "dense_rank", "score", "rank")
+
+
+def unindexed(queries: DataFrame, passages: DataFrame, part: str) -> DataFrame:
+    """The queries of parts that have no passages."""
+    return queries.join(passages.select(part).distinct(), part, "left_anti")
+
+
 def depth(k: int) -> int:
     """How many candidates each ranker gives to the fusion."""
     return max(3 * k, 10)

@@ -83,6 +83,34 @@ def retrieval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.retrieval_report(judged, "split")
 
 
+_STOP = ["the", "and", "of", "to", "in", "is", "it", "you", "that", "we"]
+
+
+@query(
+    "hybrid_tenant",
+    f"""WITH p AS (SELECT conv_id, turn, text FROM conversations WHERE turn > 0), a AS (SELECT conv_id AS q, conv_id, text FROM conversations WHERE turn = 0 AND trim(coalesce(text, '')) <> ''),
+ w AS (SELECT conv_id, turn, {_WORDS} AS term FROM p), tf AS (SELECT conv_id, turn, term, count(*) AS tf FROM w GROUP BY ALL), dl AS (SELECT conv_id, turn, sum(tf) AS length FROM tf GROUP BY ALL),
+ st AS (SELECT conv_id, count(*) AS n, sum(coalesce(length, 0)) / count(*) AS mean FROM p LEFT JOIN dl USING (conv_id, turn) GROUP BY 1), df AS (SELECT conv_id, term, count(*) AS df, sum(tf) AS uses FROM tf GROUP BY ALL),
+ raw AS (SELECT conv_id, term, mean, (n - df + 0.5) / (df + 0.5) AS odds, ln((n - df + 0.5) / (df + 0.5)) AS raw FROM df JOIN st USING (conv_id)), fl AS (SELECT conv_id, 0.25 * avg(raw) AS f FROM raw GROUP BY 1),
+ idf AS (SELECT conv_id, term, mean, CASE WHEN x > 0 THEN x ELSE ln(1 + odds) END AS idf FROM (SELECT *, CASE WHEN raw >= 0 THEN raw ELSE f END AS x FROM raw JOIN fl USING (conv_id))),
+ qt AS (SELECT q, conv_id, term, count(*) AS qtf FROM (SELECT q, conv_id, {_WORDS} AS term FROM a) GROUP BY ALL),
+ lex AS (SELECT q, turn, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean))), 6) AS s FROM tf JOIN dl USING (conv_id, turn) JOIN qt USING (conv_id, term) JOIN idf USING (conv_id, term) GROUP BY ALL),
+ voc AS (SELECT conv_id, term, i FROM (SELECT conv_id, term, ln((1 + n) / (1 + df)) + 1 AS i, row_number() OVER (PARTITION BY conv_id ORDER BY uses DESC, term) AS r FROM df JOIN st USING (conv_id) WHERE length(term) > 1 AND term NOT IN ({', '.join(f"'{x}'" for x in _STOP)})) WHERE r <= 256),
+ x AS (SELECT conv_id, turn, term, tf * i AS x FROM tf JOIN voc USING (conv_id, term)), y AS (SELECT q, conv_id, term, qtf * i AS y FROM qt JOIN voc USING (conv_id, term)), nx AS (SELECT conv_id, turn, sqrt(sum(x * x)) AS nx FROM x GROUP BY ALL), ny AS (SELECT q, sqrt(sum(y * y)) AS ny FROM y GROUP BY 1),
+ den AS (SELECT q, turn, round(sum(x * y) / (any_value(nx) * any_value(ny)), 6) AS s FROM x JOIN y USING (conv_id, term) JOIN nx USING (conv_id, turn) JOIN ny USING (q) GROUP BY ALL),
+ r AS (SELECT a.q, a.conv_id, p.turn, row_number() OVER (PARTITION BY a.q ORDER BY coalesce(lex.s, 0) DESC, p.turn) AS l, row_number() OVER (PARTITION BY a.q ORDER BY coalesce(den.s, 0) DESC, p.turn) AS d FROM a JOIN p USING (conv_id) LEFT JOIN lex ON lex.q = a.q AND lex.turn = p.turn LEFT JOIN den ON den.q = a.q AND den.turn = p.turn),
+ f AS (SELECT conv_id, turn, CASE WHEN l <= 15 THEN CAST(l AS INTEGER) END AS lex_rank, CASE WHEN d <= 15 THEN CAST(d AS INTEGER) END AS dense_rank FROM r WHERE l <= 15 OR d <= 15),
+ g AS (SELECT *, round(coalesce(1.0 / (60 + lex_rank), 0.0) + coalesce(1.0 / (60 + dense_rank), 0.0), 6) AS score FROM f), h AS (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, lex_rank NULLS LAST, dense_rank NULLS LAST, turn) AS INTEGER) AS rank FROM g)
+ SELECT conv_id, turn, lex_rank, dense_rank, score, rank FROM h WHERE rank <= {K}""",
+)
+def hybrid_tenant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation's opening asked of its own later turns: a conversation is a tenant, and nothing of another one is seen."""
+    c = table(spark, sf_dir, "conversations", "conv_id", "turn", "text")
+    asked = c.filter("turn = 0").select(F.col("conv_id").alias("q"), "conv_id", F.col("text").alias("question"))
+    found = retrieval.hybrid(c.filter("turn > 0"), asked, "conv_id", "turn", "text", "q", "question", K, stop=_STOP)
+    return found.select("conv_id", "turn", "lex_rank", "dense_rank", "score", "rank")
+
+
 _PRED = """p AS (SELECT doc_id, lang AS truth, CASE WHEN t <> '' AND doc_id % 7 = 0 THEN 'en' ELSE lang END AS guess, (doc_id * 37 % 100) / 100.0 AS confidence FROM (SELECT doc_id, lang, text AS t FROM documents)), d AS (SELECT *, CASE WHEN confidence >= 0.40 THEN guess ELSE 'UNKNOWN' END AS decided FROM p)"""
 
 
@@ -137,12 +165,12 @@ def escalation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "doc_vote",
-    """WITH p AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN 'UNKNOWN' ELSE role END AS label, (10 + length(text) % 80) / 100.0 AS confidence FROM conversations), s AS (SELECT conv_id, label, round(sum(confidence), 9) AS s, avg(confidence) AS m, min(turn) AS f FROM p WHERE label <> 'UNKNOWN' GROUP BY ALL),
- w AS (SELECT conv_id, label, round(m, 4) AS confidence, row_number() OVER (PARTITION BY conv_id ORDER BY s DESC, f) AS n FROM s) SELECT conv_id, label, confidence, false AS triage FROM w WHERE n = 1""",
+    """WITH p AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 3 OR conv_id % 11 = 0 THEN 'UNKNOWN' ELSE role END AS label, (10 + length(text) % 80) / 100.0 AS confidence FROM conversations), s AS (SELECT conv_id, label, round(sum(confidence), 9) AS s, avg(confidence) AS m, min(turn) AS f FROM p WHERE label <> 'UNKNOWN' GROUP BY ALL),
+ w AS (SELECT conv_id, label, round(m, 4) AS confidence, row_number() OVER (PARTITION BY conv_id ORDER BY s DESC, f) AS n FROM s) SELECT conv_id, coalesce(label, 'UNKNOWN') AS label, coalesce(confidence, 0.0) AS confidence, label IS NULL AS triage FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN (SELECT * FROM w WHERE n = 1) USING (conv_id)""",
 )
 def doc_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of a conversation vote with their confidence, as pages of a document do."""
-    pages = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 4 == 3, "UNKNOWN").otherwise(F.col("role")).alias("label"), ((10 + F.length("text") % 80) / 100.0).alias("confidence"))
+    """Turns of a conversation vote with their confidence, as pages of a document do; those of which none is known go to triage."""
+    pages = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when((F.col("turn") % 4 == 3) | (F.col("conv_id") % 11 == 0), "UNKNOWN").otherwise(F.col("role")).alias("label"), ((10 + F.length("text") % 80) / 100.0).alias("confidence"))
     return metrics.vote(pages, "conv_id", "turn", "label", "confidence")
 
 
