@@ -27,12 +27,16 @@ def _state(done: Column, open_: Column, n: Column) -> Column:
 _EMPTY = lambda: F.array().cast(_STRINGS)
 
 
-def _tail(open_: Column, overlap: int) -> Column:
-    """The last sentences that together have at most ``overlap`` tokens."""
-    step = lambda a, s: F.when(a["full"] | (a["n"] + _count(s) > overlap), F.struct(a["kept"].alias("kept"), a["n"].alias("n"), F.lit(True).alias("full"))).otherwise(
-        F.struct(F.concat(F.array(s), a["kept"]).alias("kept"), (a["n"] + _count(s)).alias("n"), F.lit(False).alias("full"))
-    )
-    return F.aggregate(F.reverse(open_), F.struct(_EMPTY().alias("kept"), F.lit(0).alias("n"), F.lit(False).alias("full")), step, lambda a: a["kept"])
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _tail(counts: Column, overlap: int) -> Column:
+    """How many of the last counts together are at most ``overlap``, and their sum."""
+    state = lambda k, n, full: F.struct(k.cast("int").alias("k"), n.cast("int").alias("n"), full.alias("full"))
+    step = lambda a, x: F.when(a["full"] | (a["n"] + x > overlap), state(a["k"], a["n"], F.lit(True))).otherwise(state(a["k"] + 1, a["n"] + x, F.lit(False)))
+    return F.aggregate(F.reverse(counts), state(F.lit(0), F.lit(0), F.lit(False)), step)
 
 
 def _by_words(sentence: Column, least: int, most: int) -> Column:
@@ -47,27 +51,43 @@ def _by_words(sentence: Column, least: int, most: int) -> Column:
     return F.aggregate(words, _state(_EMPTY(), _EMPTY(), F.lit(0)), step, lambda a: F.when(F.size(a["open"]) > 0, F.concat(a["done"], F.array(F.array_join(a["open"], " ")))).otherwise(a["done"]))
 
 
+_RUNS = "array<struct<a:int,b:int>>"
+
+
+def _runs(counts: Column, least: int, most: int, overlap: int) -> Column:
+    """Which sentences make up each passage, by their token counts: runs from a to before b; b is -1 for one that is too long."""
+
+    def state(done: Column, open_: Column, a: Column, n: Column) -> Column:
+        return F.struct(done.cast(_RUNS).alias("done"), open_.cast("array<int>").alias("open"), a.cast("int").alias("a"), n.cast("int").alias("n"))
+
+    run = lambda a, b: F.array(F.struct(a.cast("int").alias("a"), b.cast("int").alias("b")))
+    none = F.array().cast("array<int>")
+
+    def step(s: Column, x: Column) -> Column:
+        n, at = x["n"], x["i"]
+        closed = F.when(F.size(s["open"]) > 0, F.concat(s["done"], run(s["a"], at))).otherwise(s["done"])
+        more = state(s["done"], F.concat(s["open"], F.array(n)), F.when(F.size(s["open"]) > 0, s["a"]).otherwise(at), s["n"] + n)
+        handed = _let(_tail(s["open"], overlap), lambda t: state(closed, F.concat(F.slice(s["open"], F.size(s["open"]) - t["k"] + 1, t["k"]), F.array(n)), at - t["k"], t["n"] + n))
+        return F.when(n > most, state(F.concat(closed, run(at, F.lit(-1))), none, at + 1, F.lit(0))).when((s["n"] + n <= most) | (s["n"] < least), more).otherwise(handed)
+
+    start = state(F.array().cast(_RUNS), none, F.lit(0), F.lit(0))
+    items = F.transform(counts, lambda n, i: F.struct(n.alias("n"), i.alias("i")))
+    return F.aggregate(items, start, step, lambda s: F.when(F.size(s["open"]) > 0, F.concat(s["done"], run(s["a"], s["a"] + F.size(s["open"])))).otherwise(s["done"]))
+
+
 def chunks(text: Column | str, least: int = 250, most: int = 400, overlap: int = 30) -> Column:
     """An array of passages: sentences are gathered up to ``most`` tokens; a passage of ``least`` or more is closed before
-    the next sentence and hands its last ``overlap`` tokens on; one of fewer takes that sentence in all the same."""
+    the next sentence and hands its last ``overlap`` tokens on; one of fewer takes that sentence in all the same.
+
+    Tokens are counted once a sentence; the fold over sentences moves numbers only, and passages are joined at the end.
+    """
     t = F.regexp_replace(F.col(text) if isinstance(text, str) else text, r"^\s+|\s+$", "")
 
-    def step(a: Column, s: Column) -> Column:
-        n = _count(s)
-        closed = F.concat(a["done"], F.array(F.array_join(a["open"], " ")))
-        shut = F.when(F.size(a["open"]) > 0, closed).otherwise(a["done"])
-        tail = _tail(a["open"], overlap)
-        tail_n = F.aggregate(tail, F.lit(0), lambda x, y: x + _count(y))
-        return (
-            F.when(n > most, _state(F.concat(shut, _by_words(s, least, most)), _EMPTY(), F.lit(0)))
-            .when(a["n"] + n <= most, _state(a["done"], F.concat(a["open"], F.array(s)), a["n"] + n))
-            .when(a["n"] >= least, _state(closed, F.concat(tail, F.array(s)), tail_n + n))
-            .otherwise(_state(a["done"], F.concat(a["open"], F.array(s)), a["n"] + n))
-        )
-
-    finish = lambda a: F.when(F.size(a["open"]) > 0, F.concat(a["done"], F.array(F.array_join(a["open"], " ")))).otherwise(a["done"])
-    cut = F.aggregate(sentences(t), _state(_EMPTY(), _EMPTY(), F.lit(0)), step, finish)
-    return F.when(F.coalesce(t, F.lit("")) == "", _EMPTY()).when(_count(t) <= most, F.array(t)).otherwise(cut)
+    def cut(parts: Column) -> Column:
+        passage = lambda r: F.when(r["b"] < 0, _by_words(F.get(parts, r["a"]), least, most)).otherwise(F.array(F.array_join(F.slice(parts, r["a"] + 1, r["b"] - r["a"]), " ")))
+        return F.flatten(F.transform(_runs(F.transform(parts, _count), least, most, overlap), passage))
+
+    return _let(t, lambda t: F.when(F.coalesce(t, F.lit("")) == "", _EMPTY()).when(_count(t) <= most, F.array(t)).otherwise(_let(sentences(t), cut)))
 
 
 def chunk_pages(pages: DataFrame, doc: str, page: str, text: str, **sizes: int) -> DataFrame:

@@ -133,7 +133,23 @@ def identity_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.identity_documents(table(spark, sf_dir, "customer", "c_nationkey", "c_custkey", "c_mktsegment"), "c_nationkey", "c_custkey", "c_mktsegment")
 
 
-@query("dossier_findings")
+_NAMES = ", ".join(f"'{name}'" for name, (n, _) in synth.SCENARIOS.items() for _ in range(n))
+_EXPECTED = "CASE " + " ".join(f"WHEN scenario = '{name}' AND rule_id = '{rule}' THEN '{verdict}'" for name, (_, odd) in synth.SCENARIOS.items() for rule, verdict in odd.items()) + " ELSE 'pass' END"
+
+
+@query(
+    "dossier_findings",
+    f"""WITH s AS (SELECT i AS seed, [{_NAMES}][CAST(i % 50 + 1 AS BIGINT)] AS scenario, CAST(40000 + (i * 1375) % 90000 AS DECIMAL(18,2)) AS gross FROM (SELECT unnest(range(1, (SELECT count(*) FROM customer) + 1)) AS i)),
+ n AS (SELECT *, CAST(round(gross * 0.82, 2) AS DECIMAL(18,2)) AS net, scenario IN ('salary_mismatch', 'bank_mismatch', 'multiple_inconsistencies') AS off_bank, scenario IN ('tax_mismatch', 'multiple_inconsistencies') AS off_tax FROM s),
+ d AS (SELECT *, CASE WHEN off_bank THEN CAST(round(net * {synth.LOW_CREDIT}, 2) AS DECIMAL(18,2)) ELSE net END AS credit, CASE WHEN scenario <> 'missing_itr' THEN CASE WHEN off_tax THEN CAST(round(gross * 12 * {synth.LOW_TAX}, 2) AS DECIMAL(18,2)) ELSE gross * 12 END END AS itr FROM n),
+ b AS (SELECT *, CAST(round(credit * 3 * {synth.SPENT}, 2) AS DECIMAL(18,2)) AS debit FROM d), c AS (SELECT *, CAST({synth.OPENING} AS DECIMAL(18,2)) + credit * 3 - debit AS closing FROM b),
+ f AS (SELECT printf('APP-%05d', seed) AS application_id, scenario, unnest([struct_pack(rule_id := 'RULE-COMP-01', verdict := CASE WHEN scenario IN ('missing_payslip', 'missing_itr') THEN 'flag' ELSE 'pass' END),
+ struct_pack(rule_id := 'RULE-INC-01', verdict := CASE WHEN scenario = 'missing_payslip' THEN 'unknown' WHEN abs(net * 3 - credit * 3) <= 0.05 * net * 3 THEN 'pass' ELSE 'flag' END),
+ struct_pack(rule_id := 'RULE-TAX-01', verdict := CASE WHEN scenario = 'missing_payslip' OR itr IS NULL THEN 'unknown' WHEN abs(gross * 12 - itr) <= 0.10 * gross * 12 THEN 'pass' ELSE 'flag' END),
+ struct_pack(rule_id := 'RULE-ID-01', verdict := CASE WHEN scenario IN ('identity_mismatch', 'multiple_inconsistencies') THEN 'flag' ELSE 'pass' END),
+ struct_pack(rule_id := 'RULE-BANK-01', verdict := CASE WHEN abs(closing - ({synth.OPENING} + credit * 3 - debit)) <= 0.05 THEN 'pass' ELSE 'flag' END)]) AS f FROM c), r AS (SELECT application_id, scenario, f.rule_id AS rule_id, f.verdict AS verdict FROM f)
+ SELECT application_id, scenario, rule_id, verdict, {_EXPECTED} AS expected FROM r""",
+)
 def dossier_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five rules over synthetic dossiers (one for each customer's number), beside the outcomes that their scenarios expect."""
     n = table(spark, sf_dir, "customer").count()
