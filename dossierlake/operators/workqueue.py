@@ -39,6 +39,19 @@ def claim(rows: DataFrame, status: str, locked_until: str, created: str, key: st
     )
 
 
+def settled(rows: DataFrame, key: str, status: str, locked_until: str, retries: str, outcomes: DataFrame, now: Column) -> DataFrame:
+    """``rows`` after ``outcomes`` (key, outcome, seconds), one a job: ack completes it, retry puts it back and fail ends it, both with a try more;
+    extend gives its lease ``seconds`` from now. Jobs without an outcome stay as they are."""
+    told = outcomes.select(F.col(key).alias("_k"), F.col("outcome").alias("_o"), F.col("seconds").alias("_s"))
+    o = F.col("_o")
+    new = {
+        status: F.when(o == "ack", "COMPLETED").when(o == "retry", "PENDING").when(o == "fail", "FAILED").otherwise(F.col(status)),
+        locked_until: F.when(o == "extend", now + F.make_interval(secs=F.col("_s"))).when(~F.coalesce(o.isin("ack", "retry", "fail"), F.lit(False)), F.col(locked_until)),
+        retries: F.when(o.isin("retry", "fail"), F.col(retries) + 1).otherwise(F.col(retries)),
+    }
+    return rows.join(told, F.col(key) == F.col("_k"), "left").select(*[new.get(c, F.col(c)).alias(c) for c in rows.columns])
+
+
 def after_publish(rows: DataFrame, published: str, status: str, retries: str, most: int = MAX_ATTEMPTS) -> DataFrame:
     """PENDING rows after a publishing attempt (boolean column; null: not tried): PUBLISHED, or a retry more, or FAILED at the last one."""
     tried = (F.col(status) == "PENDING") & F.col(published).isNotNull()
