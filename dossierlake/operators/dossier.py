@@ -41,7 +41,8 @@ def box_percent(x0: Column, y0: Column, x1: Column, y1: Column, width: Column, h
 def evidence_key(doc: Column, page: Column, x0: Column, y0: Column) -> Column:
     """A key of a place in a document; x0 and y0 may be null."""
     at = F.concat(doc.cast("string"), F.lit("-P"), page.cast("string"))
-    return F.coalesce(F.concat(at, F.lit("-"), F.format_string("%.2f", x0), F.lit("_"), F.format_string("%.2f", y0)), F.concat(at, F.lit("-no-bbox")))
+    box = F.concat(at, F.lit("-"), F.format_string("%.2f", x0), F.lit("_"), F.format_string("%.2f", y0))
+    return F.when(x0.isNotNull() & y0.isNotNull(), box).otherwise(F.concat(at, F.lit("-no-bbox")))
 
 
 def evidence_ref(doc: Column, kind: Column, page: Column, text: Column, is_policy: Column) -> Column:
@@ -73,7 +74,7 @@ def kept_answers(asked: DataFrame, answers: DataFrame, application: str, questio
     """``asked`` (application, question, state of the application by its time of change, time) with the newest answer to the same question of the same
     state that is at most ``seconds`` old, else null."""
     kept = answers.select(F.col(application).alias("_a"), F.col(question).alias("_q"), F.col(updated).alias("_u"), F.col(at).alias("_at"), "answer")
-    age = F.col(at).cast("double") - F.col("_at").cast("double")
+    age = F.col(at).cast("timestamp").cast("double") - F.col("_at").cast("timestamp").cast("double")
     met = asked.join(kept, (F.col(application) == F.col("_a")) & (F.col(question) == F.col("_q")) & (F.col(updated) == F.col("_u")) & age.between(0, seconds), "left")
     return met.groupBy(*asked.columns).agg(F.max_by("answer", "_at").alias("answer"))
 
