@@ -30,6 +30,8 @@ TYPE_WORDS = [
     ("id_card", ["pan", "aadhaar", "kyc", "id"]),
     ("application_form", ["form", "app"]),
 ]
+# The pattern of an amount in free text.
+MONEY_IN_TEXT = r"(?:₹|INR|Rs\.?)?\s*(\d{1,3}(?:,\d{2,3})+(?:\.\d{1,2})?|\d+\.\d{1,2})"
 
 
 def _c(x: Column | str) -> Column:
@@ -63,7 +65,7 @@ def money(text: Column | str) -> Column:
 
 def amounts(text: Column | str) -> Column:
     """The distinct amounts in free text: grouped digits or decimals, as decimals."""
-    found = F.regexp_extract_all(_c(text), F.lit(r"(?:₹|INR|Rs\.?)?\s*(\d{1,3}(?:,\d{2,3})+(?:\.\d{1,2})?|\d+\.\d{1,2})"), F.lit(1))
+    found = F.regexp_extract_all(_c(text), F.lit(MONEY_IN_TEXT), F.lit(1))
     return F.array_sort(F.array_distinct(F.transform(found, lambda x: F.replace(x, F.lit(","), F.lit("")).try_cast("decimal(20,2)"))))
 
 
@@ -126,7 +128,7 @@ def mask_aadhaar(number: Column | str) -> Column:
     return F.coalesce(_masked(_c(number), F.regexp_replace(_c(number), r"\D", ""), "XXXX-XXXX-"), F.lit("XXXX-XXXX-XXXX"))
 
 
-#: (pattern, replacement) in the order of application: PAN, grouped and plain Aadhaar, account after a keyword, long digit runs.
+# Fixed values: (pattern, replacement) in the order of application: PAN, grouped and plain Aadhaar, account after a keyword, long digit runs.
 PII_STEPS = [
     (r"\b[A-Za-z]{5}([0-9]{4})[A-Za-z]\b", "XXXXXX$1"),
     (r"\b\d{4}[ -]\d{4}[ -](\d{4})\b", "XXXX-XXXX-$1"),

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+# The tail of patterns that end in an amount, and the confidence of a fact that a pattern found.
 _MONEY = r"(?:INR|₹|Rs\.?)?\s*([\d,]+(?:\.\d+)?)"
+CONFIDENCE = 0.95
 # Fixed values: (document type, fact, kind, pattern).
 PATTERNS = [
     ("payslip", "employee_name", "text", r"(?:Employee\s+Name|Emp\s+Name|Name)\s*[:\-!|]?\s*([A-Za-z .]+)"),
@@ -37,7 +39,6 @@ PATTERNS = [
 BANK_NAME = r"(?:Bank\s+Name\s*[:\-!|]?\s*([A-Za-z .]+)|(HDFC\s+Bank|ICICI\s+Bank|State\s+Bank\s+of\s+India|SBI|Axis\s+Bank|Kotak\s+Mahindra\s+Bank|Punjab\s+National\s+Bank))"
 SALARY = r"(?:SALARY|SAL\s+CR|PAYROLL|DIRECT\s+DEP|NEFT.*SALARY|SALARY\s+CREDIT)[^\n\r]*?" + _MONEY
 BOUNCE = r"\b(?:BOUNCE|RETURN|INSUFFICIENT\s+FUNDS|ECS\s+RETURN|CHQ\s+RTN)\b"
-CONFIDENCE = 0.95
 
 
 def _shown(kind: str, raw: Column) -> Column:

@@ -36,6 +36,18 @@ POLICY_ALIASES = {
     "credit_policy_v1_p2": ["CHUNK-POLICY-REQ-01", "credit_policy_v1_p2_c0"],
     "kyc_guidelines_v1_p1": ["CHUNK-POLICY-KYC-01", "kyc_guidelines_v1_p1_c0"],
 }
+# What a gated answer says, and what is wrong with a narrative.
+DROPPED_LINE = "> ⚠️ [UNGROUNDED CLAIM DROPPED - Unauthorized citations: "
+SOME_DROPPED = "> ⚠️ [ABSTENTION: One or more claims were dropped due to lack of verified citation grounding.]"
+NONE_CITED = "> ⚠️ [ABSTENTION: This answer did not cite any verified policy or application evidence and has been withheld. Rephrase the question or consult the source documents directly.]"
+EMPTY_ANSWER = "> ⚠️ [ABSTENTION: Summary empty or missing.]"
+NO_EVIDENCE = "> ⚠️ [ABSTENTION: Mandatory supporting evidence missing or unverified.]"
+NO_FINDINGS = "no deterministic findings supplied: narrative has no numeric anchor"
+DECIDES = "autonomous disposition language forbidden: "
+LOOSE_FIGURE = "ungrounded monetary figure not in findings: "
+LOOSE_CITATION = "unauthorized citation in narrative: "
+INJECTED = "prompt-injection pattern in narrative: "
+EMPTY_NARRATIVE = "empty narrative: nothing to verify"
 
 
 def citations(text: Column | str) -> Column:
@@ -85,16 +97,14 @@ def grounded(claims: DataFrame, cited: str, authorised: str, keep: bool = True)
 def sanitised(text: Column, authorised: Column) -> Column:
     """A text without the lines that cite what isn't authorised; withheld if nothing is cited at all."""
     allowed = expand_aliases(authorised)
-    note = "> ⚠️ [ABSTENTION: One or more claims were dropped due to lack of verified citation grounding.]"
     lines = F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), unauthorised(x, allowed).alias("bad")))
-    kept = F.transform(lines, lambda s: F.when(F.size(s["bad"]) > 0, F.concat(F.lit("> ⚠️ [UNGROUNDED CLAIM DROPPED - Unauthorized citations: "), F.array_join(s["bad"], ", "), F.lit("]"))).otherwise(s["line"]))
+    kept = F.transform(lines, lambda s: F.when(F.size(s["bad"]) > 0, F.concat(F.lit(DROPPED_LINE), F.array_join(s["bad"], ", "), F.lit("]"))).otherwise(s["line"]))
     out = F.array_join(kept, "\n")
-    out = F.when(F.exists(lines, lambda s: F.size(s["bad"]) > 0), F.concat(out, F.lit("\n\n" + note))).otherwise(out)
-    none_cited = "> ⚠️ [ABSTENTION: This answer did not cite any verified policy or application evidence and has been withheld. Rephrase the question or consult the source documents directly.]"
+    out = F.when(F.exists(lines, lambda s: F.size(s["bad"]) > 0), F.concat(out, F.lit("\n\n" + SOME_DROPPED))).otherwise(out)
     return (
-        F.when(F.coalesce(text, F.lit("")) == "", "> ⚠️ [ABSTENTION: Summary empty or missing.]")
-        .when(F.coalesce(F.size(authorised), F.lit(0)) <= 0, F.concat(text, F.lit("\n\n> ⚠️ [ABSTENTION: Mandatory supporting evidence missing or unverified.]")))
-        .when(F.size(citations(text)) == 0, none_cited)
+        F.when(F.coalesce(text, F.lit("")) == "", EMPTY_ANSWER)
+        .when(F.coalesce(F.size(authorised), F.lit(0)) <= 0, F.concat(text, F.lit("\n\n" + NO_EVIDENCE)))
+        .when(F.size(citations(text)) == 0, NONE_CITED)
         .otherwise(out)
     )
 
@@ -115,13 +125,13 @@ def defused(text: Column | str) -> Column:
 def narrative_issues(text: Column, known_numbers: Column, authorised: Column, findings: Column) -> Column:
     """What is wrong with a generated narrative, in order; an empty array if it is grounded."""
     some = lambda cond, message: F.when(cond, F.array(message)).otherwise(F.array().cast("array<string>"))
-    parts = [some(F.coalesce(findings, F.lit(0)) == 0, F.lit("no deterministic findings supplied: narrative has no numeric anchor"))]
+    parts = [some(F.coalesce(findings, F.lit(0)) == 0, F.lit(NO_FINDINGS))]
     for p in DISPOSITIONS:
         hit = F.trim(F.regexp_extract(text, "(?i)" + p, 0))
-        parts.append(some(hit != "", F.concat(F.lit("autonomous disposition language forbidden: '"), hit, F.lit("'"))))
+        parts.append(some(hit != "", F.concat(F.lit(DECIDES + "'"), hit, F.lit("'"))))
     loose = F.array_except(T.amounts(text), known_numbers)
-    parts.append(F.transform(loose, lambda x: F.concat(F.lit("ungrounded monetary figure not in findings: "), F.format_number(x, 2))))
-    parts.append(F.transform(unauthorised(text, expand_aliases(authorised), BADGES), lambda c: F.concat(F.lit("unauthorized citation in narrative: ["), c, F.lit("]"))))
+    parts.append(F.transform(loose, lambda x: F.concat(F.lit(LOOSE_FIGURE), F.format_number(x, 2))))
+    parts.append(F.transform(unauthorised(text, expand_aliases(authorised), BADGES), lambda c: F.concat(F.lit(LOOSE_CITATION + "["), c, F.lit("]"))))
     found = injections(text)
-    parts.append(some(F.size(found) > 0, F.concat(F.lit("prompt-injection pattern in narrative: "), F.get(found, F.lit(0)))))
-    return F.when(F.trim(F.coalesce(text, F.lit(""))) == "", F.array(F.lit("empty narrative: nothing to verify"))).otherwise(F.concat(*parts))
+    parts.append(some(F.size(found) > 0, F.concat(F.lit(INJECTED), F.get(found, F.lit(0)))))
+    return F.when(F.trim(F.coalesce(text, F.lit(""))) == "", F.array(F.lit(EMPTY_NARRATIVE))).otherwise(F.concat(*parts))

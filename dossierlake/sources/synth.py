@@ -17,6 +17,7 @@ SCENARIOS = {
     "multiple_inconsistencies": (6, {"RULE-INC-01": "flag", "RULE-TAX-01": "flag", "RULE-ID-01": "flag"}),
 }
 FIRST, LAST = ["Asha", "Ravi", "Meera", "Kiran", "Leela", "Arjun", "Nisha", "Suresh"], ["Rao", "Mehta", "Iyer", "Kapoor", "Nair", "Das", "Gill"]
+# The opening balance, the shares of a low credit and a low return, and the share that is spent.
 OPENING, LOW_CREDIT, LOW_TAX, SPENT = "50000.00", "0.45", "0.55", "0.70"
 RULES = ["RULE-COMP-01", "RULE-INC-01", "RULE-TAX-01", "RULE-ID-01", "RULE-BANK-01"]
 
