@@ -57,7 +57,7 @@ def manifest_chunks(manifests_: DataFrame) -> DataFrame:
 
 def policies(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, text) of the Markdown files of a folder."""
-    return spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(path).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.md$", 1).alias("doc_id"), F.col("value").alias("text"))
+    return spark.read.option("pathGlobFilter", "*.md").text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.md$", 1).alias("doc_id"), F.col("value").alias("text"))
 
 
 def seed_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -72,7 +72,7 @@ def questions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def uploads(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, sha256, media_type, accepted): files judged by their leading bytes and size."""
+    """(path, length, sha256, media_type, accepted): files judged by their leading bytes and size. Spark's scan leaves empty files out, so they give no row."""
     kind = F.lit(None).cast("string")
     head = F.hex(F.substring("content", 1, 8))
     for media, mark in SIGNATURES.items():
