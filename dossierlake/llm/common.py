@@ -18,6 +18,8 @@ from pyspark.sql.types import StructType
 
 #: Rows up to which a side of long ids may be broadcast (about 50 MB as a hash table); beyond, joins shuffle.
 BROADCAST_ROWS = 500_000
+#: Rows of an Arrow batch for columns of texts.
+TEXT_BATCH = 512
 
 _own: str | None = None
 _within: list[str] = []
@@ -87,6 +89,14 @@ def release(spark: SparkSession) -> None:
     _delete(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of few rows for this session, unless it already asks for fewer. Queries and the pipeline choose it for their
+    sessions, as Spark's usual batches of up to 64 MB take several times that in each worker; operators leave the session alone."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= TEXT_BATCH:
+        spark.conf.set(key, TEXT_BATCH)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, or as many underscores after it as make it no column of ``df``."""
     have = {c.lower() for c in df.columns}
