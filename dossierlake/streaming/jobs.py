@@ -17,10 +17,17 @@ def deduplicated(jobs: DataFrame, key: str, at: str, delay: str = "10 minutes")
     return jobs.withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
 
 
-def rate_limiter(requests: DataFrame, key: str, at: str, tie: str, window: float, limit: int) -> DataFrame:
-    """(key, tie, allowed): a request counts if fewer than ``limit`` counted ones lie within the window before it. State: those alone."""
+def rate_limiter(requests: DataFrame, key: str, at: str, tie: str, window: float, limit: int, delay: str | None = None) -> DataFrame:
+    """(key, tie, allowed): a request counts if fewer than ``limit`` counted ones lie within the window before it. State: those alone.
+
+    With ``delay`` (``at`` is a timestamp) requests later than that are left out, and a key's state goes when the watermark
+    has passed its last request by the window; without, state stays and requests are judged batch by batch as they come.
+    """
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         live = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(batches)).sort_values(list(dict.fromkeys((at, tie))))
         out = []
@@ -31,11 +38,14 @@ def rate_limiter(requests: DataFrame, key: str, at: str, tie: str, window: float
                 live.append(t)
             out.append((k[0], i, ok))
         state.update((live,))
+        if delay:
+            state.setTimeoutTimestamp(max(int((max(rows[at]) + window) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=[key, tie, "allowed"])
 
     kinds = {c: requests.schema[c].dataType.simpleString() for c in (key, tie)}
-    rows = requests.select(key, _seconds(requests, at).alias(at), tie)
-    return rows.groupBy(key).applyInPandasWithState(run, f"`{key}` {kinds[key]}, `{tie}` {kinds[tie]}, allowed boolean", "live array<double>", "append", GroupStateTimeout.NoTimeout)
+    rows = requests.withWatermark(at, delay).select(key, F.col(at).alias("_at"), _seconds(requests, at).alias(at), tie) if delay else requests.select(key, _seconds(requests, at).alias(at), tie)
+    timeout = GroupStateTimeout.EventTimeTimeout if delay else GroupStateTimeout.NoTimeout
+    return rows.groupBy(key).applyInPandasWithState(run, f"`{key}` {kinds[key]}, `{tie}` {kinds[tie]}, allowed boolean", "live array<double>", "append", timeout)
 
 
 def status_machine(moves: DataFrame, key: str, at: str, tie: str, state_col: str, allowed: dict[str, list[str]]) -> DataFrame:

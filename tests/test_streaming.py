@@ -26,6 +26,16 @@ def test_limiter(spark, tmp_path):
     assert [r["allowed"] for r in got] == [x[0] for x in W.admit(times, 60.0, 2)]
 
 
+def test_limiter_forgets_by_watermark(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    times = [0.0, 10.0, 20.0, 65.0, 70.0, 71.0]
+    rows = [("u", i, datetime(2024, 1, 1) + timedelta(seconds=t)) for i, t in enumerate(times)] + [("v", 9, datetime(2024, 1, 2))]
+    s = source(spark, tmp_path, rows, "k string, i long, t timestamp")
+    got = run(spark, jobs.rate_limiter(s, "k", "t", "i", 60.0, 2, delay="1 minute"), "forgetful").orderBy("i").collect()
+    assert [r["allowed"] for r in got] == [x[0] for x in W.admit(times, 60.0, 2)] + [True]
+
+
 def test_status_machine(spark, tmp_path):
     s = source(spark, tmp_path, [("a", 1, "QUEUED"), ("a", 2, "REVIEWED"), ("a", 3, "PROCESSING")], "k string, i long, s string")
     got = run(spark, jobs.status_machine(s, "k", "i", "i", "s", {"QUEUED": ["PROCESSING"]}), "moves").orderBy("i").collect()
