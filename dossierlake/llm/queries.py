@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, crf_langid, decontaminate, maxscore, near_dup, quality_mil, sharding, toxicity, url_filter, warc
+from . import bpe, crf_langid, decontaminate, fill_middle, maxscore, near_dup, quality_mil, sharding, toxicity, url_filter, warc
 from .common import small_batches
 
 #: The rules of op1: fixed by its contract.
@@ -98,8 +98,14 @@ def op10_crf_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf_langid.languages(docs.select("doc_id", "text"), language_model(docs)).select("doc_id", F.coalesce(_fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_middle.fill_in_middle(_read(spark, sf_dir, "documents", "doc_id", "text"))
+    sha = lambda c: F.sha2(c, 256)
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(fill_middle.restored()).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op2_warc, op3_toxicity_chain, op4_benchmark_decontamination, op5_quality_classifier, op6_balanced_sharding, op7_maxscore, op8_byte_bpe, op9_minhash_near_dedup, op10_crf_language_id)
+    f.__name__: f for f in (op1_url_filter, op2_warc, op3_toxicity_chain, op4_benchmark_decontamination, op5_quality_classifier, op6_balanced_sharding, op7_maxscore, op8_byte_bpe, op9_minhash_near_dedup, op10_crf_language_id, op12_fill_in_middle)
 }
 
 ORACLES: dict[str, str] = {
@@ -162,6 +168,16 @@ WITH RECURSIVE w AS (
 ), sym AS (SELECT a, b FROM links UNION SELECT b, a FROM links), reach AS (SELECT a AS node, b AS r FROM sym UNION SELECT reach.node, sym.b FROM reach JOIN sym ON reach.r = sym.a),
 c AS (SELECT node, min(r) AS low FROM reach GROUP BY 1)
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(low, doc_id)) AS kept FROM s LEFT JOIN c ON doc_id = node""",
+    "op12_fill_in_middle": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w,
+         list_transform(range(4), lambda i: CAST('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), CAST(8 * i + 1 AS BIGINT), 8) AS BIGINT)) AS h FROM documents
+), c AS (
+  SELECT *, len(w) AS n, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 50 THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form,
+         least(h[1] % (len(w) + 1), h[2] % (len(w) + 1)) AS a, greatest(h[1] % (len(w) + 1), h[2] % (len(w) + 1)) AS b FROM d
+), p AS (SELECT *, array_to_string(w[1:a], '') AS x, array_to_string(w[a + 1:b], '') AS y, array_to_string(w[b + 1:], '') AS z FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(x) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(y) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || x || '<S>' || z || '<M>' || y ELSE '<S>' || z || '<P>' || x || '<M>' || y END) AS output_sha256, sha256(t) AS restored_sha256 FROM p""",
 }
 
 
