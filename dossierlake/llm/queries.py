@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, crf_langid, decontaminate, fill_middle, maxscore, near_dup, quality_mil, sharding, toxicity, url_filter, warc
+from . import bpe, crf_langid, decontaminate, fill_middle, maxscore, near_dup, phrases, quality_mil, sharding, toxicity, url_filter, warc
 from .common import small_batches
 
 #: The rules of op1: fixed by its contract.
@@ -98,6 +98,10 @@ def op10_crf_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf_langid.languages(docs.select("doc_id", "text"), language_model(docs)).select("doc_id", F.coalesce(_fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_read(spark, sf_dir, "documents", "text", "lang"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = fill_middle.fill_in_middle(_read(spark, sf_dir, "documents", "doc_id", "text"))
     sha = lambda c: F.sha2(c, 256)
@@ -105,7 +109,7 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op2_warc, op3_toxicity_chain, op4_benchmark_decontamination, op5_quality_classifier, op6_balanced_sharding, op7_maxscore, op8_byte_bpe, op9_minhash_near_dedup, op10_crf_language_id, op12_fill_in_middle)
+    f.__name__: f for f in (op1_url_filter, op2_warc, op3_toxicity_chain, op4_benchmark_decontamination, op5_quality_classifier, op6_balanced_sharding, op7_maxscore, op8_byte_bpe, op9_minhash_near_dedup, op10_crf_language_id, op11_collocations, op12_fill_in_middle)
 }
 
 ORACLES: dict[str, str] = {
@@ -168,6 +172,19 @@ WITH RECURSIVE w AS (
 ), sym AS (SELECT a, b FROM links UNION SELECT b, a FROM links), reach AS (SELECT a AS node, b AS r FROM sym UNION SELECT reach.node, sym.b FROM reach JOIN sym ON reach.r = sym.a),
 c AS (SELECT node, min(r) AS low FROM reach GROUP BY 1)
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(low, doc_id)) AS kept FROM s LEFT JOIN c ON doc_id = node""",
+    "op11_collocations": r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p), n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang), g AS (
+  SELECT lang, k, w[i:i + k - 1] AS g, count(*) AS f FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3)) t(k) WHERE len(w) >= k) GROUP BY ALL
+), c AS (SELECT * FROM g WHERE k >= 2 AND f >= 10), cut AS (
+  SELECT c.lang, c.g, c.k, c.f AS a, x.f AS l, y.f AS r, (1000000::HUGEINT * c.f * c.f) // (x.f::HUGEINT * y.f) AS score, i
+  FROM (SELECT *, unnest(range(1, k)) AS i FROM c) c JOIN g x ON x.lang = c.lang AND x.g = c.g[1:i] JOIN g y ON y.lang = c.lang AND y.g = c.g[i + 1:]
+), low AS (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, i) AS o FROM cut), best AS (
+  SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, score FROM low
+  WHERE o = 1 AND NOT EXISTS (SELECT 1 FROM c t WHERE t.lang = low.lang AND t.k = low.k + 1 AND (t.g[1:low.k] = low.g OR t.g[2:] = low.g) AND 100 * t.f >= 50 * low.a)
+), ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS INTEGER) AS rank FROM best)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000""",
     "op12_fill_in_middle": r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w,
