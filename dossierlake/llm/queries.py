@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, crf_langid, decontaminate, fill_middle, maxscore, near_dup, phrases, quality_mil, sharding, toxicity, url_filter, warc
+from . import bpe, crf_langid, decontaminate, fill_middle, maxscore, near_dup, phrases, prefix_tree, quality_mil, sharding, toxicity, url_filter, warc
 from .common import small_batches
 
 #: The rules of op1: fixed by its contract.
@@ -108,8 +108,12 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(fill_middle.restored()).alias("restored_sha256"))
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_tree.jaccard_components(_read(spark, sf_dir, "documents", "doc_id", "text"), percent=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op2_warc, op3_toxicity_chain, op4_benchmark_decontamination, op5_quality_classifier, op6_balanced_sharding, op7_maxscore, op8_byte_bpe, op9_minhash_near_dedup, op10_crf_language_id, op11_collocations, op12_fill_in_middle)
+    f.__name__: f for f in (op1_url_filter, op2_warc, op3_toxicity_chain, op4_benchmark_decontamination, op5_quality_classifier, op6_balanced_sharding, op7_maxscore, op8_byte_bpe, op9_minhash_near_dedup, op10_crf_language_id, op11_collocations, op12_fill_in_middle, op13_jaccard_join)
 }
 
 ORACLES: dict[str, str] = {
@@ -195,6 +199,16 @@ WITH d AS (
 ), p AS (SELECT *, array_to_string(w[1:a], '') AS x, array_to_string(w[a + 1:b], '') AS y, array_to_string(w[b + 1:], '') AS z FROM c)
 SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(x) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(y) AS BIGINT) END AS middle_chars,
        sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || x || '<S>' || z || '<M>' || y ELSE '<S>' || z || '<P>' || x || '<M>' || y END) AS output_sha256, sha256(t) AS restored_sha256 FROM p""",
+    "op13_jaccard_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w
+), e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), sym AS (SELECT a, b FROM links UNION SELECT b, a FROM links), reach AS (SELECT a AS node, b AS r FROM sym UNION SELECT reach.node, sym.b FROM reach JOIN sym ON reach.r = sym.a),
+c AS (SELECT node, min(r) AS low FROM reach GROUP BY 1)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id FROM s LEFT JOIN c ON doc_id = node""",
 }
 
 
