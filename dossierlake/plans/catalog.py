@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import dossier_queries, ledger_queries, ops_queries, retrieval_queries, text_queries  # noqa: F401
+    from . import dossier_queries, ledger_queries, memo_queries, ops_queries, retrieval_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
