@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import grounding as G
 
 # The tail of patterns that end in an amount, and the confidence of a fact that a pattern found.
 _MONEY = r"(?:INR|₹|Rs\.?)?\s*([\d,]+(?:\.\d+)?)"
@@ -59,7 +60,7 @@ def facts(pages: DataFrame, doc: str, kind: str, page: str, text: str) -> DataFr
     hit = F.col("raw").isNotNull()
     return rows.withColumn("_n", first).filter("_n = 1").select(
         doc, "fact", F.when(hit, F.col("value")).alias("value"), F.when(F.col("kind") == "money", T.money("raw")).alias("amount"), F.when(hit, F.col(page)).alias("page_number"),
-        F.coalesce(F.col("value"), F.lit("UNKNOWN")).alias("quoted_span"), F.when(hit, CONFIDENCE).otherwise(0.0).alias("confidence"),
+        F.when(hit, F.col("value")).otherwise("UNKNOWN").alias("quoted_span"), F.when(hit, CONFIDENCE).otherwise(0.0).alias("confidence"),
     )
 
 
@@ -73,6 +74,20 @@ def bank_activity(pages: DataFrame, doc: str, text: str) -> DataFrame:
     return found.select(doc, "bank_name", "salary_credits", F.bround(total / F.when(F.size("salary_credits") > 0, F.size("salary_credits")), 2).cast("decimal(18,2)").alias("mean_credit"), "bounced")
 
 
+def first_facts(pages: DataFrame, key: str, doc: str, order: str, page: str, text: str) -> DataFrame:
+    """(key, kind, doc, fact, value, amount, page_number, quoted_span, confidence, defused): the facts of each key's documents, read as far as the rules need them.
+
+    Texts are defused before anything reads them. A document's type is told by the words of its pages, taken together; of several
+    documents of a type the first by ``order`` counts. Documents of other types give nothing.
+    """
+    clean = pages.select(key, doc, order, page, F.col(text).alias("_raw"), G.defused(text).alias("_text"))
+    parts = clean.groupBy(key, doc, order).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(page, "_raw"))), lambda x: x["_raw"]), " ").alias("all"), F.bool_or(F.col("_raw") != F.col("_text")).alias("defused"))
+    typed = parts.select(key, doc, order, "defused", T.type_by_words("all").alias("kind")).filter(F.col("kind") != "unknown")
+    first = typed.groupBy(key, "kind").agg(F.min_by(F.struct(doc, "defused"), F.struct(order, doc)).alias("_d")).select(key, "kind", F.col(f"_d.{doc}").alias(doc), "_d.defused")
+    found = facts(clean.join(first.drop(key), doc), doc, "kind", page, "_text")
+    return found.join(first, doc).select(key, "kind", doc, *[c for c in found.columns if c != doc], "defused")
+
+
 def span_box(words: DataFrame, doc: str, page: str, near: float = 15.0) -> DataFrame:
     """The union of the boxes of a phrase's words (doc, page, x0, y0, x1, y1), of those on the first one's line."""
     w = Window.partitionBy(doc, page)

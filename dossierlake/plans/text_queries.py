@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunking, extraction, grounding
-from ..sources import synth
+from ..operators import chunking, grounding
 from ..sources.readers import spread, table
 from .catalog import query
 
@@ -150,14 +149,6 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_pages(docs, "doc_id", "page", "text").select("chunk_id", "doc_id", "pos", "token_count", F.md5("text").alias("text_md5"))
 
 
-@query("dossier_facts")
-def dossier_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts with provenance from the pages of synthetic dossiers, one for each customer's number."""
-    n = table(spark, sf_dir, "customer").count()
-    pages = synth.page_texts(synth.dossiers(spark, n)).withColumn("doc", F.concat_ws("_", "application_id", "label")).withColumn("page", F.lit(1))
-    return extraction.facts(pages, "doc", "label", "page", "text")
-
-
 @query("money_in_orders", """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 3 THEN NULL WHEN 4 THEN -1 ELSE 1 END * CAST(CASE o_orderkey % 5 WHEN 2 THEN floor(o_totalprice) ELSE CAST(round(o_totalprice, 2) AS DECIMAL(18,2)) END AS DOUBLE) AS amount FROM orders""")
 def money_in_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Amounts written in several ways and read again: with a currency before or after, grouped or not, whole, negative, or none at all."""
