@@ -227,11 +227,22 @@ def hybrid(passages: DataFrame, queries: DataFrame, part: str, key: str, text: s
     as many of them as the depth asks for come from each part's first keys. Blank queries and those of parts without passages give no rows
     (``unindexed`` tells the latter). Ties go to the smaller key.
     """
+    return hybrid_over(*indexed(passages, part, key, text), queries, part, key, query_key, query_text, k, features, stop)
+
+
+def indexed(passages: DataFrame, part: str, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """What ``hybrid_over`` searches: (part, key, length) of every passage with a key, and (part, key, length, term, tf)."""
+    words = passages.filter(F.col(key).isNotNull()).select(part, key, T.words(text).alias("w"))
+    length = F.coalesce(F.size("w"), F.lit(0)).alias("length")
+    posted = words.select(part, key, length, F.explode("w").alias("term")).groupBy(part, key, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return words.select(part, key, length), posted
+
+
+def hybrid_over(words: DataFrame, posted: DataFrame, queries: DataFrame, part: str, key: str, query_key: str, query_text: str, k: int, features: int = FEATURES, stop: list[str] | None = None) -> DataFrame:
+    """``hybrid`` over tables that ``indexed`` made, now or when the index was written."""
     stop = StopWordsRemover.loadDefaultStopWords("english") if stop is None else stop
     deep = depth(k)
-    words = passages.filter(F.col(key).isNotNull()).select(part, key, T.words(text).alias("w"))
-    sizes = words.groupBy(part).agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce(F.size("w"), F.lit(0))).alias("mean"))
-    posted = words.select(part, key, F.size("w").alias("length"), F.explode("w").alias("term")).groupBy(part, key, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    sizes = words.groupBy(part).agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
     df = posted.groupBy(part, "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("uses")).join(sizes, part)
     odds = (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)
     raw = df.withColumn("odds", odds).withColumn("raw", F.log(odds))
