@@ -27,12 +27,17 @@ def _pick(values: list[str], at: Column) -> Column:
 
 
 def dossiers(spark: SparkSession, n: int = 50) -> DataFrame:
-    """``n`` dossiers with their facts and expected outcomes; the same number always gives the same dossier."""
+    """``n`` dossiers, numbered from 1."""
+    return of_seeds(spark.range(1, n + 1).select(F.col("id").alias("seed")))
+
+
+def of_seeds(seeds: DataFrame) -> DataFrame:
+    """A dossier with its facts and expected outcomes for each row (seed); the same number always gives the same dossier."""
     at = F.pmod(F.col("seed"), F.lit(50))
     names = [s for s, (count, _) in SCENARIOS.items() for _ in range(count)]
     d = lambda x: F.lit(x).cast("decimal(4,2)")
     money = lambda c: F.round(c, 2).cast("decimal(18,2)")
-    df = spark.range(1, n + 1).select(F.col("id").alias("seed")).withColumn("scenario", F.element_at(F.array(*map(F.lit, names)), (at + 1).cast("int")))
+    df = seeds.select("seed").withColumn("scenario", F.element_at(F.array(*map(F.lit, names)), (at + 1).cast("int")))
     df = df.withColumn("application_id", F.format_string("APP-%05d", "seed")).withColumn("full_name", F.concat_ws(" ", _pick(FIRST, F.col("seed")), _pick(LAST, F.floor(F.col("seed") / 3))))
     df = df.withColumn("gross", money(F.lit(40000) + (F.col("seed") * 1375) % 90000)).withColumn("net", money(F.col("gross") * d("0.82")))
     off_bank, off_tax = F.col("scenario").isin("salary_mismatch", "bank_mismatch", "multiple_inconsistencies"), F.col("scenario").isin("tax_mismatch", "multiple_inconsistencies")
