@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, StringIndexer, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions import text as T
 
@@ -31,15 +37,25 @@ def char_ngrams(text: str, low: int = 3, high: int = 5) -> Column:
 
 
 class Sublinear(Transformer, HasInputCol, HasOutputCol):
-    """Counts n as 1 + ln(n)."""
+    """Counts n as 1 + ln(n); a page's vector stays as long as its different n-grams, whatever the vocabulary's size."""
 
     def __init__(self, inputCol: str, outputCol: str) -> None:
         super().__init__()
         self._set(inputCol=inputCol, outputCol=outputCol)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        counts = vector_to_array(self.getInputCol())
-        return dataset.withColumn(self.getOutputCol(), array_to_vector(F.transform(counts, lambda n: F.when(n > 0, 1 + F.log(n)).otherwise(0.0))))
+        at, name = dataset.columns.index(self.getInputCol()), self.getOutputCol()
+
+        def damp(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                v = batch.column(at)  # a struct of type, size, indices and values; sparse, as counts are
+                kind, size, indices, values = (v.field(i) for i in range(4))
+                flat = values.values.slice(values.offsets[0].as_py(), values.offsets[-1].as_py() - values.offsets[0].as_py())
+                damped = pa.ListArray.from_arrays(pc.subtract(values.offsets, values.offsets[0]), pc.add(pc.ln(flat), 1.0))
+                out = pa.StructArray.from_arrays([kind, size, indices, damped], names=["type", "size", "indices", "values"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, out], [*batch.schema.names, name])
+
+        return dataset.mapInArrow(damp, StructType([*dataset.schema.fields, StructField(name, VectorUDT())]))
 
 
 def fit(pages: DataFrame, text: str = "text", label: str = "label", word_features: int = WORD_FEATURES, char_features: int = CHAR_FEATURES, c: float = 10.0) -> PipelineModel:
@@ -75,6 +91,17 @@ def predict(model: PipelineModel, pages: DataFrame, text: str = "text", threshol
     )
 
 
+def sample(rows: DataFrame, strata: str | None, n: int, seed: int, *key: str) -> DataFrame:
+    """``n`` rows of each stratum (of all rows, without one) without replacement: those with the smallest hashes of seed and key; ties go by the key.
+
+    The same rows come out however they are dealt. The window's limit keeps n rows a stratum in each task before any row moves, so a hot
+    stratum's window has n rows a task.
+    """
+    by = F.lit(0) if strata is None else F.col(strata)
+    at = F.row_number().over(Window.partitionBy(by).orderBy(F.xxhash64(F.lit(seed), *key), *key))
+    return rows.withColumn("_at", at).filter(F.col("_at") <= n).drop("_at")
+
+
 def cascade(first: DataFrame, second: DataFrame, key: str, low: float = 0.15, high: float = THRESHOLD) -> DataFrame:
     """The first model's predictions, replaced by the second's where the first abstained with a confidence in [low, high)."""
     band = (F.col("label_pred") == UNKNOWN) & (F.col("confidence") >= low) & (F.col("confidence") < high)

@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,8 +16,10 @@ from ..functions import text as T
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
 #: Different words whose hits a task remembers.
 REMEMBERED = 300_000
-#: Words of a TF-IDF vector, and passages that are multiplied at once.
-FEATURES, BLOCK = 256, 1024
+#: Words of a TF-IDF vector.
+FEATURES = 256
+#: Words of queries that may be broadcast (some tens of MB), and parts of a tenant's vectors.
+FEW_TERMS, BLOCKS = 500_000, 32
 
 
 def postings(passages: DataFrame, key: str, text: str) -> DataFrame:
@@ -28,8 +29,12 @@ def postings(passages: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def term_weights(posted: DataFrame, key: str, passages: int) -> DataFrame:
+    """(term, df, idf) from postings."""
+    return _weights(posted.groupBy("term").agg(F.count(F.lit(1)).alias("df")), passages)
+
+
+def _weights(df: DataFrame, passages: int) -> DataFrame:
     """(term, df, idf): ln((N - df + .5) / (df + .5)); a negative one becomes epsilon times the mean, and where that isn't positive, ln(1 + ...)."""
-    df = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     odds = (F.lit(float(passages)) - F.col("df") + 0.5) / (F.col("df") + 0.5)
     raw = df.select("term", "df", odds.alias("odds"), F.log(odds).alias("raw"))
     mean = raw.agg(F.avg("raw")).first()[0] or 0.0  # one number
@@ -45,15 +50,20 @@ def query_terms(queries: DataFrame, query_key: str, text: str) -> DataFrame:
 def bm25(passages: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, query_text: str, k: int) -> DataFrame:
     """(query_key, key, score, rank): the k best passages that share a word with the query; ties to the smaller key.
 
-    The passages' words meet the queries' words by an equi-join, and partial sums go before the ranking.
+    Weights come from counts that are summed in each task; only the postings of the queries' words are kept and shuffled. Those words go
+    to every task if there are few (counted before), else they are joined by a shuffle.
     """
-    posted = postings(passages, key, text).persist()  # read for the weights, their mean and the scores
-    n, total = passages.count(), posted.agg(F.sum("tf")).first()[0] or 0
-    weights = term_weights(posted, key, n)
-    asked = query_terms(queries, query_key, query_text).join(weights, "term")
+    words = passages.select(key, T.words(text).alias("w"))
+    n, total = words.agg(F.count(F.lit(1)), F.sum(F.size("w"))).first()
+    weights = _weights(words.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")), n)
+    terms = query_terms(queries, query_key, query_text)
+    wanted = terms.select("term").distinct()
+    few = wanted.limit(FEW_TERMS + 1).count() <= FEW_TERMS
+    held = words.select(key, F.size("w").alias("length"), F.explode("w").alias("term")).join(F.broadcast(wanted) if few else wanted, "term", "left_semi")
+    posted = held.groupBy(key, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
     norm = K1 * (1 - B + B * F.col("length") / (total / n if total else 1.0))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
-    scored = posted.join(asked, "term").groupBy(query_key, key).agg(F.round(F.sum(part), 6).alias("score"))
+    scored = posted.join(terms.join(weights, "term"), "term").groupBy(query_key, key).agg(F.round(F.sum(part), 6).alias("score"))
     return top(scored, query_key, key, k)
 
 
@@ -139,53 +149,6 @@ def holding(passages: DataFrame, queries: DataFrame, key: str, text: str, query_
     return total.join(F.broadcast(names), "i").select(query_key, "passages", "first")  # one row a query
 
 
-def by_tfidf(passages: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, query_text: str, k: int, features: int = FEATURES) -> DataFrame:
-    """(query_key, key, score, rank): the k passages with the most similar (cosine) TF-IDF vectors; ties, also of zeros, to the smaller key. Blank queries give none.
-
-    A vector has the commonest words of two characters or more that aren't English stop words, each with its count times ln((1 + N) / (1 + df)) + 1.
-    The queries' vectors go to every task, which multiplies blocks of passages with them and keeps the k best a query. Keys are integers.
-    """
-    spark = passages.sparkSession
-    stop = set(StopWordsRemover.loadDefaultStopWords("english"))
-    words = passages.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), T.words(text).alias("w"))
-    long = F.filter("w", lambda w: F.length(w) > 1)
-    common = words.select(F.explode(long).alias("term")).filter(~F.col("term").isin(*stop)).groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "term").limit(features)
-    vocabulary = sorted(r["term"] for r in common.collect())
-    holds = words.select(F.explode(F.array_intersect("w", F.array(*map(F.lit, vocabulary)).cast("array<string>"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    df, n = dict(holds.collect()), passages.count()
-    idf = np.array([np.log((1 + n) / (1 + df[t])) + 1 for t in vocabulary])
-    asked = queries.filter(F.trim(F.coalesce(F.col(query_text), F.lit(""))) != "").select(query_key, T.words(query_text).alias("w")).toArrow().combine_chunks()
-
-    def vectors(lists: pa.Array) -> np.ndarray:
-        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
-        at = pc.index_in(lists.flatten(), value_set=pa.array(vocabulary, pa.string())).to_numpy(zero_copy_only=False)
-        row = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
-        used = ~np.isnan(at.astype(float))
-        flat = np.bincount(row[used] * len(vocabulary) + at[used].astype(np.int64), minlength=len(lists) * len(vocabulary))
-        v = flat.reshape(len(lists), len(vocabulary)) * idf
-        norm = np.sqrt((v * v).sum(1, keepdims=True))
-        return v / np.where(norm == 0, 1, norm)
-
-    sent = spark.sparkContext.broadcast(vectors(asked["w"]) if len(asked) else np.zeros((0, len(vocabulary))))
-
-    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = sent.value
-        keys, scores = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0))
-        for batch in batches:
-            for start in range(0, len(batch), BLOCK):
-                part = batch.slice(start, BLOCK)
-                more = np.round(q @ vectors(part.column(1)).T, 6) + 0.0
-                keys = np.hstack([keys, np.broadcast_to(part.column(0).to_numpy(), more.shape)])
-                scores = np.hstack([scores, more])
-                best = np.lexsort((keys, -scores), axis=-1)[:, :k]
-                keys, scores = np.take_along_axis(keys, best, 1), np.take_along_axis(scores, best, 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(q)), keys.shape[1]), pa.int32()), pa.array(keys.ravel()), pa.array(scores.ravel())], ["i", "key", "score"])
-
-    found = words.mapInArrow(rank, "i int, key long, score double")
-    names = spark.createDataFrame([(i, x.as_py()) for i, x in enumerate(asked[query_key])], f"i int, {query_key} {queries.schema[query_key].dataType.simpleString()}")
-    return top(found.join(F.broadcast(names), "i").select(query_key, F.col("key").alias(key), "score"), query_key, key, k)  # one row a query
-
-
 def top(scored: DataFrame, query_key: str, key: str, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), key))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
@@ -201,11 +164,16 @@ def unit(v: str) -> Column:
     return F.transform(v, lambda x: x.cast("double") / F.when(norm == 0, 1.0).otherwise(norm))
 
 
-def dense(vectors: DataFrame, queries: DataFrame, key: str, vector: str, query_key: str, query_vector: str, k: int, part: str) -> DataFrame:
-    """The k most similar vectors (cosine) of each query among those of the same ``part`` (tenant, index or block)."""
-    v = vectors.select(part, key, unit(vector).alias("_v"))
-    q = queries.select(part, query_key, unit(query_vector).alias("_q"))
-    scored = v.join(q, part).filter(F.col(key) != F.col(query_key)).select(query_key, key, F.round(dot("_v", "_q"), 6).alias("score"))
+def dense(vectors: DataFrame, queries: DataFrame, key: str, vector: str, query_key: str, query_vector: str, k: int, part: str, blocks: int = BLOCKS) -> DataFrame:
+    """The k most similar vectors (cosine) of each query among those of the same ``part`` (tenant, index or block).
+
+    A part's vectors are dealt to ``blocks`` blocks and its queries go to each, so that no part is one task's; the window's limit
+    keeps k rows a query of what each task has seen.
+    """
+    block = F.pmod(F.xxhash64(key), F.lit(blocks)).alias("_b")
+    v = vectors.select(part, block, key, unit(vector).alias("_v"))
+    q = queries.select(part, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_b"), query_key, unit(query_vector).alias("_q"))
+    scored = v.join(q, [part, "_b"]).filter(F.col(key) != F.col(query_key)).select(query_key, key, F.round(dot("_v", "_q"), 6).alias("score"))
     return top(scored, query_key, key, k)
 
 

@@ -14,7 +14,7 @@ _WORDS = r"unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+'))"
 
 
 def hybrid_sql(k: int, deep: int) -> str:
-    """CTEs up to ``best`` (q, part, key, score, rank) from p (part, key, text) and a (q, part, text), both without blank rows."""
+    """CTEs up to ``best`` (q, part, key, lex_rank, dense_rank, score, rank) from p (part, key, text) and a (q, part, text), both without blank rows."""
     return f"""w AS (SELECT part, key, {_WORDS} AS term FROM p), tf AS (SELECT part, key, term, count(*) AS tf FROM w GROUP BY ALL), dl AS (SELECT part, key, sum(tf) AS length FROM tf GROUP BY ALL),
  st AS (SELECT part, count(*) AS n, sum(coalesce(length, 0)) / count(*) AS mean FROM p LEFT JOIN dl USING (part, key) GROUP BY 1), df AS (SELECT part, term, count(*) AS df, sum(tf) AS uses FROM tf GROUP BY ALL),
  raw AS (SELECT part, term, mean, (n - df + 0.5) / (df + 0.5) AS odds, ln((n - df + 0.5) / (df + 0.5)) AS raw FROM df JOIN st USING (part)), fl AS (SELECT part, 0.25 * avg(raw) AS f FROM raw GROUP BY 1),
@@ -28,7 +28,7 @@ def hybrid_sql(k: int, deep: int) -> str:
    FROM a JOIN p USING (part) LEFT JOIN lex ON lex.q = a.q AND lex.part = a.part AND lex.key = p.key LEFT JOIN den ON den.q = a.q AND den.part = a.part AND den.key = p.key),
  f AS (SELECT q, part, key, CASE WHEN l <= {deep} THEN l END AS lex_rank, CASE WHEN d <= {deep} THEN d END AS dense_rank FROM r WHERE l <= {deep} OR d <= {deep}),
  g AS (SELECT *, round(coalesce(1.0 / (60 + lex_rank), 0.0) + coalesce(1.0 / (60 + dense_rank), 0.0), 6) AS score FROM f),
- best AS (SELECT q, part, key, score, row_number() OVER (PARTITION BY q, part ORDER BY score DESC, lex_rank NULLS LAST, dense_rank NULLS LAST, key) AS rank FROM g QUALIFY rank <= {k})"""
+ best AS (SELECT q, part, key, lex_rank, dense_rank, score, row_number() OVER (PARTITION BY q, part ORDER BY score DESC, lex_rank NULLS LAST, dense_rank NULLS LAST, key) AS rank FROM g QUALIFY rank <= {k})"""
 
 
 _PROBLEM = f"CASE WHEN question = '' THEN '{A.EMPTY}' WHEN length(question) > {A.LONGEST} THEN '{A.TOO_LONG}' END"

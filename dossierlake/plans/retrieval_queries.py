@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import classify, metrics, retrieval
-from ..sources import synth
 from ..sources.readers import spread, table
+from . import extraction_queries
+from .answer_queries import hybrid_sql
 from .catalog import query
 
 K = 5
@@ -56,17 +57,24 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.dense(v, asked, "vec_id", "embedding", "query_id", "q", K, "label").select("query_id", "vec_id", "score", "rank")
 
 
-def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+_STOP = ["the", "and", "of", "to", "in", "is", "it", "you", "that", "we"]
+
+
+def _fused(spark: SparkSession, sf_dir: str, stop: list[str] | None = None) -> DataFrame:
+    """All documents as one part of the hybrid index; without ``stop``, English stop words are left out of the vectors."""
     docs, asked = _corpus(spark, sf_dir)
-    deep = retrieval.depth(K)
-    other = retrieval.by_tfidf(docs, asked, "doc_id", "text", "item_id", "question", deep)
-    return retrieval.fuse(_bm25(spark, sf_dir, deep), other, "item_id", "doc_id", K)
+    part = lambda df: df.withColumn("part", F.lit("all"))
+    return retrieval.hybrid(part(docs), part(asked), "part", "doc_id", "text", "item_id", "question", K, stop=stop)
 
 
-@query("rrf_fusion")
+@query(
+    "rrf_fusion",
+    f"""WITH p AS (SELECT 'all' AS part, doc_id AS key, coalesce(text, '') AS text FROM documents WHERE doc_id IS NOT NULL), a AS (SELECT item_id AS q, 'all' AS part, text FROM benchmark WHERE trim(coalesce(text, '')) <> ''), {hybrid_sql(K, 15)}
+ SELECT q AS item_id, key AS doc_id, CAST(lex_rank AS INTEGER) AS lex_rank, CAST(dense_rank AS INTEGER) AS dense_rank, score, CAST(rank AS INTEGER) AS rank FROM best""",
+)
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rankings by BM25 and by TF-IDF vectors fused by reciprocal ranks."""
-    return _fused(spark, sf_dir).select("item_id", "doc_id", "lex_rank", "dense_rank", "score", "rank")
+    return _fused(spark, sf_dir, _STOP).select("item_id", "doc_id", "lex_rank", "dense_rank", "score", "rank")
 
 
 @query("retrieval_report")
@@ -83,9 +91,6 @@ def retrieval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.retrieval_report(judged, "split")
 
 
-_STOP = ["the", "and", "of", "to", "in", "is", "it", "you", "that", "we"]
-
-
 @query(
     "hybrid_tenant",
     f"""WITH p AS (SELECT conv_id, turn, text FROM conversations WHERE turn > 0), a AS (SELECT conv_id AS q, conv_id, text FROM conversations WHERE turn = 0 AND trim(coalesce(text, '')) <> ''),
@@ -186,11 +191,15 @@ def split_disjoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter("split = 'train'").select("o_custkey").intersect(rows.filter("split <> 'train'").select("o_custkey")).agg(F.count(F.lit(1)).alias("shared"))
 
 
-@query("page_classifier")
-def page_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of synthetic dossiers, fitted on forty and predicted for as many as there are customers."""
-    fitted = classify.fit(synth.page_texts(synth.dossiers(spark, 40)))
-    pages = synth.page_texts(synth.dossiers(spark, table(spark, sf_dir, "customer").count()))
-    return classify.predict(fitted, pages).select("application_id", "label", "label_pred", F.round("confidence", 3).alias("confidence"), "reason")
+FIT_ROWS, FIT_SEED = 150, 42
 
 
+@query("page_classifier")
+def page_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of orders with their type, and conversations' turns, which have none, as negatives. The model is fitted on at most ``FIT_ROWS``
+    pages of each type and judges all pages and turns; doc tells a page from a turn."""
+    of = extraction_queries.pages(spark, sf_dir).select(F.col("doc"), F.col("kind").alias("label"), "text")
+    turns = table(spark, sf_dir, "conversations").select(F.concat_ws("-", F.lit("turn"), "conv_id", "turn").alias("doc"), F.lit(classify.UNKNOWN).alias("label"), "text")
+    fitted = classify.fit(classify.sample(of, "label", FIT_ROWS, FIT_SEED, "doc"))
+    found = classify.predict(fitted, of.unionByName(turns))
+    return found.select("doc", "label", "label_pred", F.round("confidence", 3).alias("confidence"), "reason")

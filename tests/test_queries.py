@@ -44,7 +44,7 @@ def test_query_equals_sql(spark, duck, name):
     assert ours == theirs
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql()) - {"page_classifier"}))
+@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_query_runs(spark, name):
     assert catalog.queries()[name](spark, SF).limit(5).count() > 0
 
