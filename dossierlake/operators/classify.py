@@ -92,13 +92,13 @@ def predict(model: PipelineModel, pages: DataFrame, text: str = "text", threshol
 
 
 def sample(rows: DataFrame, strata: str | None, n: int, seed: int, *key: str) -> DataFrame:
-    """``n`` rows of each stratum (of all rows, without one) without replacement: those with the smallest hashes of seed and key; ties go by the key.
+    """``n`` rows of each stratum (of all rows, without one) without replacement: those with the smallest MD5 of ``seed|key``; ties go by the key.
 
     The same rows come out however they are dealt. The window's limit keeps n rows a stratum in each task before any row moves, so a hot
     stratum's window has n rows a task.
     """
     by = F.lit(0) if strata is None else F.col(strata)
-    at = F.row_number().over(Window.partitionBy(by).orderBy(F.xxhash64(F.lit(seed), *key), *key))
+    at = F.row_number().over(Window.partitionBy(by).orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), *key)), *key))
     return rows.withColumn("_at", at).filter(F.col("_at") <= n).drop("_at")
 
 

@@ -61,6 +61,18 @@ def expand_aliases(authorised: Column) -> Column:
     return F.array_distinct(F.concat(authorised, *more))
 
 
+def resolved(cited: DataFrame, authorised: DataFrame, aliases: DataFrame, key: str) -> DataFrame:
+    """(key, cited, passage, authorised) of cited rows (key, cited), from authorised ids (key, id) and a table of aliases (alias, passage).
+
+    Both sides go by the passage that an id is an alias of, or by the id itself, so any name of a passage authorises all of them. An alias
+    of several passages stands for each. Ids meet by joins, so neither table need fit one place.
+    """
+    names = aliases.select("alias", F.col("passage").alias("_p")).distinct()
+    passage = lambda df, c: df.join(names, F.col(c) == F.col("alias"), "left").withColumn("passage", F.coalesce("_p", c)).drop("alias", "_p")
+    allowed = passage(authorised.select(key, "id"), "id").select(key, "passage").distinct().withColumn("_ok", F.lit(True))
+    return passage(cited, "cited").join(allowed, [key, "passage"], "left").select(key, "cited", "passage", F.coalesce("_ok", F.lit(False)).alias("authorised"))
+
+
 def _exempt(tag: Column, prefixes: list[str]) -> Column:
     up = F.upper(tag)
     out = F.lit(False)

@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import answer_queries, dossier_queries, extraction_queries, ledger_queries, memo_queries, ops_queries, profile_queries, retrieval_queries, stored_queries, text_queries  # noqa: F401
+    from . import answer_queries, dossier_queries, extraction_queries, gate_queries, ledger_queries, memo_queries, ops_queries, profile_queries, retrieval_queries, stored_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -123,7 +123,7 @@ def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels by language with planted errors and confidences that follow from the id."""
     docs = table(spark, sf_dir, "documents")
     guess = F.when((F.col("text") != "") & (F.col("doc_id") % 7 == 0), "en").otherwise(F.col("lang"))
-    return docs.select("doc_id", F.col("lang").alias("truth"), guess.alias("guess"), ((F.col("doc_id") * 37 % 100) / 100.0).alias("confidence"))
+    return docs.select("doc_id", F.col("lang").alias("truth"), (F.col("text") != "").alias("some"), guess.alias("guess"), ((F.col("doc_id") * 37 % 100) / 100.0).alias("confidence"))
 
 
 @query("confusion", f"WITH {_PRED} SELECT truth, decided, count(*) AS n FROM d GROUP BY ALL")
@@ -146,6 +146,19 @@ def report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.summary(class_report(spark, sf_dir))
 
 
+_MACRO = lambda pred: f"(WITH {_REPORT.replace(_PRED, pred)} SELECT round(avg(f1), 6) FROM f)"
+
+
+@query("model_choice", f"SELECT b AS baseline, c AS challenger, CASE WHEN c - b > 0.03 THEN 'CHALLENGER' ELSE 'BASELINE' END AS chosen FROM (SELECT {_MACRO(_PRED)} AS b, {_MACRO(_PRED.replace('doc_id % 7 = 0', 'doc_id % 3 = 0'))} AS c)")
+def model_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The macro-F1 of two labelings of the documents, and which of them is chosen."""
+    one = lambda df: metrics.summary(metrics.class_report(metrics.with_abstention(df, "guess", "confidence", 0.40), "truth", "decided"))
+    first = _predictions(spark, sf_dir)
+    second = first.withColumn("guess", F.when((F.col("doc_id") % 3 == 0) & F.col("some"), "en").otherwise(F.col("truth")))
+    both = one(first).select(F.col("macro_f1").alias("baseline")).crossJoin(one(second).select(F.col("macro_f1").alias("challenger")))  # one row each
+    return both.select("baseline", "challenger", metrics.chosen(F.col("baseline"), F.col("challenger")).alias("chosen"))
+
+
 _THRESHOLDS = [0.30, 0.35, 0.40, 0.45, 0.50, 0.55, 0.60, 0.65, 0.70, 0.80]
 _SWEEP = f"""{_PRED}, th(threshold) AS (VALUES {', '.join(f'(CAST({t} AS DOUBLE))' for t in _THRESHOLDS)}), e AS (SELECT threshold, truth AS t, CASE WHEN confidence >= threshold THEN guess ELSE 'UNKNOWN' END AS g FROM p, th),
  l AS (SELECT threshold, t AS label FROM e UNION SELECT threshold, g FROM e), a AS (SELECT threshold, t AS label, count(*) AS s, count(*) FILTER (t = g) AS tp FROM e GROUP BY ALL), b AS (SELECT threshold, g AS label, count(*) AS g FROM e GROUP BY ALL),
@@ -194,6 +207,12 @@ def split_disjoint(spark: SparkSession, sf_dir: str) -> DataFrame:
 FIT_ROWS, FIT_SEED = 150, 42
 
 
+@query("stratified_sample", "SELECT source, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY md5('7|' || doc_id), doc_id) <= 5")
+def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five documents of each source, drawn by seed."""
+    return classify.sample(table(spark, sf_dir, "documents", "source", "doc_id"), "source", 5, 7, "doc_id")
+
+
 @query("page_classifier")
 def page_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of orders with their type, and conversations' turns, which have none, as negatives. The model is fitted on at most ``FIT_ROWS``
