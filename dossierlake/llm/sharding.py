@@ -8,8 +8,8 @@ on their own, so it fills several shards instead of one.
 
 At last the documents in the order (label, text, id) are cut into ranges of equal counts, which is the law ``rows``:
 counts are at most one apart. Texts lie together in that order, so the cuts split few of them. Positions come from
-counts of bins and row numbers within a bin; bins hold about ``BIN_ROWS`` rows, also within a large text. The bins' counts
-are summed up in one window of a row a bin: two million rows of a few longs for 100 billion documents.
+counts of bins and row numbers within a bin; bins hold about ``BIN_ROWS`` rows, also within a text of more. The bins' counts
+are summed up within buckets of bins, within shards, and over shards, so no task sums up all bins.
 
 Defined results: a null text counts as empty (size 1, CRC 0); null ids are placed like others (their rows' places
 depend on the layout); rows that repeat get a slot each; further columns, whatever their names, are ignored; an empty table gives no rows. grown_shard is null, as the law is not ``key``.
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import counted, maybe_broadcast, scratch
 
 #: The quota may exceed an even share by SLACK while labels move; the last step makes the counts even in any case.
 ROUNDS, SLACK, GAIN_STEPS, CELLS, BIN_ROWS = 6, 0.25, 24, 64, 50_000
@@ -70,9 +70,11 @@ def balanced_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text_of = ["g", "crc", "size"]
     quarter = max(1, total // (4 * shards))
     groups = base.groupBy(*text_of).agg(F.count(F.lit(1)).alias("n"))
-    # at most 4 * shards texts are this large, so this side is bounded
-    large = scratch(groups.filter(F.col("n") > max(quarter, 1)).select(*text_of, F.ceil(F.col("n") / quarter).cast("int").alias("chunks")), "large")
-    rows = base.join(F.broadcast(large), text_of, "left").withColumn("chunk", F.coalesce(_hash_mod(F.col("chunks"), "row").cast("int"), F.lit(-1)))
+    # texts that fill a bin or more are dealt into parts of about BIN_ROWS rows; there are at most total / BIN_ROWS of them, or 4 * shards
+    chunks = F.ceil(F.col("n") / quarter).cast("int")
+    parts = F.ceil(F.col("n") / chunks / BIN_ROWS).cast("int")
+    large, many = counted(groups.filter(F.col("n") > max(min(quarter, BIN_ROWS), 1)).select(*text_of, chunks.alias("chunks"), parts.alias("parts")), "large")
+    rows = base.join(maybe_broadcast(large, many), text_of, "left").withColumn("chunk", F.coalesce(_hash_mod(F.col("chunks"), "row").cast("int"), F.lit(-1)))
     pieces = rows.groupBy(*TEXT, "start").agg(F.count(F.lit(1)).alias("n"))
     linked = pieces.join(pieces.groupBy(*TEXT).agg(F.sum("n").alias("all")).filter("all > 1").select(*TEXT), TEXT, "left_semi")
     linked = scratch(linked.select(*TEXT, "start", F.col("start").alias("label"), "n"), "pieces")
@@ -80,16 +82,19 @@ def balanced_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     every, moving = loads(base.select("start", F.lit(1).alias("n")), "start"), loads(linked, "label")
     placed = propagate(linked, {s: every.get(s, 0) - moving.get(s, 0) for s in range(shards)}, shards, total, rounds)
     buckets = max(16, -(-total // (shards * BIN_ROWS)))
-    parts = max(1, -(-quarter // BIN_ROWS))
     labelled = rows.join(placed.select(*TEXT, "start", "label"), [*TEXT, "start"], "left").select(
         "id", "size", "crc", "g", "chunk", "row", F.coalesce("label", "start").alias("label"), _hash_mod(buckets, "g", F.lit(1)).cast("int").alias("bucket"),
-        F.when(F.col("chunk") >= 0, F.col("g")).otherwise(0).alias("alone"), F.when(F.col("chunk") >= 0, _hash_mod(parts, "row", F.lit(2)).cast("int")).otherwise(-1).alias("part"),
+        F.when(F.col("chunk") >= 0, F.col("g")).otherwise(0).alias("alone"), F.when(F.col("chunk") >= 0, _hash_mod(F.col("parts"), "row", F.lit(2)).cast("int")).otherwise(-1).alias("part"),
     )
     labelled = scratch(labelled, "labelled")
     order = ["label", "bucket", "alone", "chunk", "part"]
-    # one row a bin: some shards * buckets, and those of at most 4 * shards large texts
-    upto = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    before = labelled.groupBy(*order).agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.sum("n").over(upto) - F.col("n")).drop("n")
+    # prefix sums on three levels, so that no window holds more than a shard's buckets or a bucket's bins
+    bins = scratch(labelled.groupBy(*order).agg(F.count(F.lit(1)).alias("n")), "bins")
+    upto = lambda by, *at: F.sum("n").over(Window.partitionBy(*by).orderBy(*at)) - F.col("n")
+    of_bucket = bins.groupBy("label", "bucket").agg(F.sum("n").alias("n"))
+    of_label = of_bucket.groupBy("label").agg(F.sum("n").alias("n"))  # one row a shard
+    starts = of_bucket.select("label", "bucket", upto(["label"], "bucket").alias("bucket_before")).join(F.broadcast(of_label.select("label", upto([], "label").alias("label_before"))), "label")
+    before = bins.withColumn("bin_before", upto(["label", "bucket"], "alone", "chunk", "part")).join(starts, ["label", "bucket"]).select(*order, (F.col("label_before") + F.col("bucket_before") + F.col("bin_before")).alias("before"))
     within = F.row_number().over(Window.partitionBy(*order).orderBy("g", "crc", "size", F.col("id").asc_nulls_first(), "row")) - 1
     joined = labelled.withColumn("within", within).join(before, order)
     shard = F.expr(f"((before + within) * {shards}) div {max(1, total)}")

@@ -109,3 +109,23 @@ def test_trie_tails_and_ties():
     assert t.best("a.com", "/en/x")[3:] == ("block", "a.com/en")
     assert t.best("a.com", "/english/bcd")[4] == "a.com/english/b"
     assert t.best("a.com", "/x")[4] == "com" and t.best("b.org", "/") is None
+
+
+def test_texts_of_more_than_a_bin_are_dealt_out(spark, monkeypatch):
+    """A text with a seventieth of the rows is below a quarter of a shard, and above a bin."""
+    monkeypatch.setattr(sharding, "BIN_ROWS", 10)
+    seen, write = {}, sharding.scratch
+
+    def spy(df, name):
+        seen[name] = write(df, name)
+        return seen[name]
+
+    monkeypatch.setattr(sharding, "scratch", spy)
+    rows = [(i, "hot") if i < 95 else (i, f"text {i}") for i in range(6400)]
+    got = sharding.balanced_shards(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    most = seen["bins"].filter("alone <> 0").agg({"n": "max"}).first()[0]
+    assert most <= 20 and seen["bins"].agg({"n": "sum"}).first()[0] == 6400
+    by = {}
+    for r in got:
+        by.setdefault(r.shard, []).append(r.slot)
+    assert len(got) == 6400 and all(sorted(v) == list(range(400)) for v in by.values()) and len(by) == 16
