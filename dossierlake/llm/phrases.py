@@ -31,11 +31,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .common import counted, maybe_broadcast, scratch
+from .common import BROADCAST_ROWS, counted, maybe_broadcast, scratch
 
 UNKNOWN_LANG = "und"
 #: Names of a level that may be broadcast: 64 MB of keys.
 NAME_BOUND = 8_000_000
+#: Bytes of phrases that may be broadcast.
+PHRASE_BYTES = 32_000_000
 #: Parts of a language from which the best phrases are taken before they meet.
 SALTS = 256
 #: Fixed by the definition of pieces and words.
@@ -190,15 +192,21 @@ def _lookup(table: DataFrame, by: str, other: DataFrame, many: int, **columns: s
     return table.join(maybe_broadcast(side, many), by)
 
 
+def _counted(table: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """A scratch table and how many rows it counts as for a broadcast: bytes of phrases over ``PHRASE_BYTES`` count as too many."""
+    kept, many, size = counted(table, name, F.sum(F.octet_length("phrase")))
+    return kept, many if (size or 0) <= PHRASE_BYTES else BROADCAST_ROWS + 1
+
+
 def _described(levels: list[DataFrame]) -> list[DataFrame]:
     """Levels 2 and up with lang, phrase, f, and the counts of a phrase's first 1 to k words (heads) and last 1 to k words (tails), by a step to each parent."""
-    known, many = counted(levels[0].select("name", "lang", F.col("word").alias("phrase"), "f", F.array("f").alias("heads"), F.array("f").alias("tails")), "named-1")
+    known, many = _counted(levels[0].select("name", "lang", F.col("word").alias("phrase"), "f", F.array("f").alias("heads"), F.array("f").alias("tails")), "named-1")
     out = []
     for k, level in enumerate(levels[1:], 2):
         new = _lookup(level, "left", known, many, lang="lang", phrase="phrase", heads="heads")
         new = _lookup(new, "right", known, many, last="phrase", tails="tails")
         phrase = F.concat_ws(" ", "phrase", F.substring_index("last", " ", -1))
-        known, many = counted(new.select("name", "left", "right", "lang", phrase.alias("phrase"), "f", F.concat("heads", F.array("f")).alias("heads"), F.concat("tails", F.array("f")).alias("tails")), f"named-{k}")
+        known, many = _counted(new.select("name", "left", "right", "lang", phrase.alias("phrase"), "f", F.concat("heads", F.array("f")).alias("heads"), F.concat("tails", F.array("f")).alias("tails")), f"named-{k}")
         out.append(known)
     return out
 
