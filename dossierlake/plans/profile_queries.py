@@ -21,7 +21,7 @@ def _manifests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     first = docs.filter("doc_type is not null").groupBy("app", "doc_type").agg(F.min_by("amount", "o_orderkey").alias("amount"), F.count(F.lit(1)).alias("n"))
     amount = lambda kind: F.max(F.when(F.col("doc_type") == kind, F.col("amount")))
     names = F.flatten(F.collect_list(F.when(F.col("doc_type") == "payslip", F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), lambda i: F.concat(F.lit("payslip_"), i, F.lit(".pdf")))).otherwise(F.array(F.create_map(*map(F.lit, ["bank_statement", "bank_statement.pdf", "tax_acknowledgement", "itr.pdf", "id_card", "kyc.pdf", "payslip", ""]))[F.col("doc_type")]))))
-    c = table(spark, sf_dir, "customer", F.col("c_custkey").alias("app"), "c_acctbal").join(first, "app", "left").groupBy("app", "c_acctbal").agg(amount("payslip").alias("net"), amount("bank_statement").alias("bank"), amount("tax_acknowledgement").alias("tax"), F.array_sort(names).alias("names"))
+    c = table(spark, sf_dir, "customer", F.col("c_custkey").alias("app"), "c_acctbal").join(first, "app", "left").groupBy("app", "c_acctbal").agg(amount("payslip").alias("net"), amount("bank_statement").alias("bank"), amount("tax_acknowledgement").alias("tax"), F.array_sort(F.array_compact(names)).alias("names"))
     key, net = F.col("app"), F.col("net")
     money = lambda x: F.round(x, 2).cast(_MONEY)
     part = lambda share: money(net * F.lit(share).cast("decimal(4,2)"))
