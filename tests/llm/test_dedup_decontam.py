@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from dossierlake.llm import decontaminate, near_dup
 from dossierlake.llm.common import components, merged
@@ -208,3 +209,53 @@ def test_empty_benchmark(spark):
     docs = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
     assert decontaminate.matches(docs, spark.createDataFrame([], "item_id long, text string")).count() == 0
     assert decontaminate.matches(docs.limit(0), spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")).count() == 0
+
+
+def test_hamming_blocks_alone(spark):
+    """Fingerprints of given pairs, without the count of shingles before them: all that reach 0.8 are met, also where a shingle's counts are large; others are not."""
+    rng = random.Random(21)
+    items = {i: words(rng, 60) for i in range(120)}
+    for i in range(0, 120, 10):  # one shingle many times
+        at = rng.randint(0, 30)
+        items[i][at : at + 25] = ["ha"] * 25
+    wins = {}
+    for k in range(400):
+        w = list(items[k % 120])
+        for _ in range(rng.choice([0, 1, 1, 1])):
+            w[rng.randrange(60)] = rng.choice(["changed", "ha"])
+        wins[k] = w
+    rows = [(i, 60, 5, " ".join(w)) for i, w in items.items()]
+    hashes = F.expr(decontaminate._shingles("w", "0", "(n - width + 1)", 5))
+    df = lambda r: spark.createDataFrame(r, "item long, n int, width int, text string").withColumn("w", F.split("text", " ")).withColumn("y", hashes).withColumn("fi", F.expr(decontaminate._fingerprint("y")))
+    prints = df([(k, 60, 5, " ".join(w)) for k, w in wins.items()]).select("item", "n", "width", F.col("fi").alias("f"))
+    near = decontaminate.near_items(prints.select("n", "width", "f"), df(rows).withColumn("m", F.size("y"))).select("f", F.col("item").alias("met"))
+    got = {(r["item"], r["met"]) for r in prints.join(near, "f").collect()}
+    like = {(k, i): similarity(" ".join(w), " ".join(x)) for k, w in wins.items() for i, x in items.items() if k % 120 == i or (k % 10 == 0 and i % 10 == 0)}
+    want = {p for p, s in like.items() if s >= 0.8}
+    assert len(want) > 300 and sum(like[p] < 0.85 for p in want) > 30
+    assert want <= got and all(like.get(p, 0) > 0.5 for p in got)
+
+
+def test_fingerprint_by_definition(spark):
+    """Bits by counting occurrences one by one, below and above the size up to which lanes of a long count."""
+    rng = random.Random(3)
+    for n in (1, 2, 8, 333, 17_000):
+        h = [rng.getrandbits(64) - 2**63 for _ in range(n)]
+        got = spark.createDataFrame([(h,)], "x array<long>").select(F.expr(decontaminate._fingerprint("x"))).first()[0]
+        assert len(got) == 4
+        u = [v % 2**64 for v in h]
+        assert got[0] % 2**64 == sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in u) > n)
+
+
+def test_contaminated_long_and_repeated_rows(spark):
+    """A text of over 1 MB with one passage in it; a repeated document gives one row an item, and goes with all its copies."""
+    rng = random.Random(8)
+    item = " ".join(words(rng, 40))
+    body = [f"w{rng.randrange(10**6)}" for _ in range(160_000)]
+    long = " ".join([*body[:90_000], item, *body[90_000:]])
+    docs = spark.createDataFrame([(1, long), (2, item), (2, item), (3, " ".join(body)), (4, "else"), (4, "else")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert len(long) > 1_000_000
+    got = sorted((r["doc_id"], r["similarity"], r["start_word"]) for r in decontaminate.matches(docs, bench).collect())
+    assert got == [(1, 1.0, 90_000), (2, 1.0, 0)]
+    assert sorted(r["doc_id"] for r in decontaminate.decontaminate(docs, bench).collect()) == [3, 4, 4]
