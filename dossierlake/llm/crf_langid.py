@@ -253,6 +253,21 @@ def predict(w: dict | None, texts: pa.Array) -> tuple[list[str], np.ndarray]:
     return names, np.concatenate(scores) if scores else np.zeros(0)
 
 
+def label_runs(w: dict | None, texts: pa.Array) -> Iterator[tuple]:
+    """For each slice of texts: its first text, and each run's text, first word, words, language and mean probability of its label."""
+    for a, b, data, off in tn.slices(texts):
+        words = Words(data, off)
+        if w is None or not len(words.starts):
+            continue
+        post, _, _ = forward_backward(words.emissions(w).astype(np.float32), *chains(words.first), w["trans"])
+        best = np.round(post, 9).argmax(1)
+        text = np.repeat(np.arange(b - a), np.diff(words.first))
+        at = np.flatnonzero(np.append(True, (best[1:] != best[:-1]) | (text[1:] != text[:-1])))
+        size = np.diff(np.append(at, len(best)))
+        mean = np.add.reduceat(post[np.arange(len(best)), best].astype(np.float64), at) / size
+        yield a, text[at], at - words.first[text[at]], size, [w["names"][i] for i in best[at]], mean
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = 800) -> dict | None:
     """Weights from the ``fit_rows`` rows with a lang whose id's hash is smallest."""
     ids = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang")).filter("id is not null and lang is not null").select("id").distinct()
@@ -290,3 +305,21 @@ def with_language(docs: DataFrame, weights: dict | None, text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores)], [*batch.schema.names, lang_col, score_col])
 
     return docs.mapInArrow(run, schema_with(docs, **{lang_col: "string", score_col: "double"}))
+
+
+def language_runs(docs: DataFrame, weights: dict | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, first_word, n_words, lang, score): the runs of neighbouring words of one language, which tile every whole text.
+
+    Words are counted from 0; score is the mean probability of the label, which a word without letters gets from its neighbours.
+    Texts without words, null ones among them, have no runs, and neither has anything where no language was learned; repeated rows have theirs each.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                for a, text, first, size, names, mean in label_runs(sent.value, batch.column(1)):
+                    columns = [batch.column(0).take(pa.array(text + a)), pa.array(first, pa.int64()), pa.array(size, pa.int64()), pa.array(names, pa.string()), pa.array(mean)]
+                    yield pa.RecordBatch.from_arrays(columns, ["id", "first_word", "n_words", "lang", "score"])
+
+    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "id long, first_word long, n_words long, lang string, score double").withColumnRenamed("id", id_col)
