@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as T
+from ..sources.shared import shared_path
 
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
 #: Different words whose hits a task remembers.
 REMEMBERED = 300_000
+#: Characters of queries whose words go to every task at a time: at most 500,000 words of four characters, about 100 MB.
+ASKED_CHARS = 2_000_000
 #: Words of a TF-IDF vector.
 FEATURES = 256
 #: Words of queries that may be broadcast (some tens of MB), and parts of a tenant's vectors.
@@ -78,9 +84,28 @@ def holding(passages: DataFrame, queries: DataFrame, key: str, text: str, query_
     """(query_key, passages, first): how many passages hold a query's word of more than ``longer`` characters as a part of their text, and the smallest key.
 
     Words lie between white space, in lower case, so a passage holds a query's word if one of its own words does; each different word
-    is looked up once a task. The queries' words go to every task. Pairs of passage and query are only counted. Rows that share a key
-    are one passage; those without a key are none.
+    is looked up once a task. Pairs of passage and query are only counted. Rows that share a key are one passage; those without a key are none.
+
+    The words of a block of queries go to every task. Queries are dealt to blocks by their key, so that a block has about ``ASKED_CHARS``
+    characters; with more than one, each is a pass over the passages, whose counts are written to the shared folder before the next begins.
     """
+    chars = queries.agg(F.sum(F.length(query_text))).first()[0] or 0
+    blocks = math.ceil(chars / ASKED_CHARS)
+    if blocks <= 1:
+        return _held(passages, queries, key, text, query_key, query_text, longer)[0]
+    spark, passes = passages.sparkSession, []
+    for i in range(blocks):
+        mine = queries.filter(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == i)
+        found, sent = _held(passages, mine, key, text, query_key, query_text, longer)
+        path = shared_path(spark, f"held-{i}")
+        found.write.parquet(path)
+        sent.destroy()
+        passes.append(spark.read.schema(found.schema).parquet(path))
+    return functools.reduce(DataFrame.union, passes)
+
+
+def _held(passages: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, query_text: str, longer: int) -> tuple[DataFrame, Broadcast]:
+    """``holding`` for one block of queries, and the broadcast that it reads."""
     words: dict[str, int] = {}
     of: dict = {}
     for q, question in queries.select(query_key, query_text).toLocalIterator():
@@ -146,7 +171,7 @@ def holding(passages: DataFrame, queries: DataFrame, key: str, text: str, query_
     part = hits.repartition("key").sortWithinPartitions("key").mapInArrow(count, f"i int, n long, first {kind}")
     total = part.groupBy("i").agg(F.sum("n").alias("passages"), F.min("first").alias("first"))
     names = passages.sparkSession.createDataFrame(list(enumerate(asked)), f"i int, {query_key} {queries.schema[query_key].dataType.simpleString()}")
-    return total.join(F.broadcast(names), "i").select(query_key, "passages", "first")  # one row a query
+    return total.join(F.broadcast(names), "i").select(query_key, "passages", "first"), sent  # one row a query of the block
 
 
 def top(scored: DataFrame, query_key: str, key: str, k: int) -> DataFrame:

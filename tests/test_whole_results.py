@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 
 def put(spark, folder, **tables):
     for name, (rows, schema) in tables.items():
@@ -11,9 +13,15 @@ def put(spark, folder, **tables):
     return str(folder)
 
 
-def test_offline_answers(spark, tmp_path):
+@pytest.mark.parametrize("chars", [None, 150])
+def test_offline_answers(spark, tmp_path, monkeypatch, chars):
+    """Also when the questions are too long for one pass over the passages."""
+    from dossierlake.operators import retrieval
     from dossierlake.plans.ops_queries import offline_answers
 
+    if chars:
+        monkeypatch.setattr(retrieval, "ASKED_CHARS", chars)
+
     pick = random.Random(1)
     words = ["a", "the", "loan", "loans", "Salary", "ratio", "irrational", "policy", "POLICY-3", "éclair", "extraordinarily"]
     asked = [(i, " ".join(pick.choices(words, k=3))) for i in range(20)] + [(20, "a the"), (21, None), (22, "nowhere"), (23, "tabs\tand\nlines"), (3, "extra")]
