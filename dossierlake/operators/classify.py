@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from ..functions import text as T
+from . import metrics
 
 UNKNOWN = "UNKNOWN"
 THRESHOLD, WORD_FEATURES, CHAR_FEATURES = 0.40, 12_000, 18_000
@@ -91,6 +92,57 @@ def predict(model: PipelineModel, pages: DataFrame, text: str = "text", threshol
     )
 
 
+def by_word_counts(pages: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """``pages`` with label_pred, confidence and reason as ``predict`` gives them, without a model: the type whose words the text holds most often.
+
+    n occurrences give a confidence of n / (n + 2), so a single one abstains. Words count within longer words too; ties go to the type that is tried first.
+    """
+    t = F.lower(F.coalesce(F.col(text), F.lit("")))
+    counts = [(name, sum((F.regexp_count(t, F.lit(w)) for w in words), F.lit(0))) for name, words in T.TYPE_WORDS]
+    best = F.array_max(F.array(*[F.struct(n.alias("n"), F.lit(-i).alias("at"), F.lit(name).alias("name")) for i, (name, n) in enumerate(counts)]))
+    p, blank = F.round(F.col("_best.n") / (F.col("_best.n") + 2), 6), F.trim(t) == ""
+    rows = pages.withColumn("_best", best).withColumn("_p", p)
+    return rows.select(
+        *pages.columns, F.when(F.col("_p") < threshold, UNKNOWN).otherwise(F.col("_best.name")).alias("label_pred"), F.col("_p").alias("confidence"),
+        F.when(blank, "empty_text").when(F.col("_p") < threshold, F.concat(F.lit("LOW_CONFIDENCE_"), F.format_number("_p", 2))).alias("reason"),
+    )
+
+
+def document_types(documents: DataFrame, pages: DataFrame, doc: str, place: str, given: str, page: str, text: str) -> DataFrame:
+    """(doc, doc_type, confidence, method, triage, pages, first_probability): what each document is, and how that is known.
+
+    A type that was given and isn't unknown stays ("given"; nothing was observed, so confidence and triage are null). Else the pages, which
+    have label_pred and confidence, vote ("model"; pages without text have no vote). Where all abstain, or there are none, the first type of
+    which a word lies in the document's id, its place or any page ("heuristic", confidence 0.50, to triage); without any, unknown with 0.
+
+    ``pages`` counts those with text; ``first_probability`` is the confidence of the first of them, if the model told the type. Pages of no
+    document are left out, repeated documents are one (the smallest type that was given, the smallest place). No text is gathered: the words
+    of a whole document are met if they are met on a page, so each page gives the place of its first type, of which the smallest counts.
+    """
+    rank = lambda t: F.coalesce(*[F.when(T.type_by_words(t) == name, F.lit(i)) for i, (name, _) in enumerate(T.TYPE_WORDS)], F.lit(len(T.TYPE_WORDS)))
+    told = F.lower(F.col(given))
+    docs = documents.filter(F.col(doc).isNotNull()).groupBy(doc).agg(
+        F.min(F.when(told.isNotNull() & (told != "unknown"), F.col(given))).alias("_given"), F.min(place).alias("_place"), F.min(rank(F.concat_ws(" ", F.col(doc).cast("string"), place))).alias("_at")
+    )
+    full = pages.filter(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s+", "") != "")
+    seen = full.groupBy(doc).agg(F.count(F.lit(1)).alias("_n"), F.min(rank(F.col(text))).alias("_in"), F.min(F.struct(page, "confidence"))["confidence"].alias("_first"))
+    voted = metrics.vote(full, doc, page, "label_pred", "confidence").select(doc, F.col("label").alias("_label"), F.col("confidence").alias("_c"))
+    rows = docs.join(seen, doc, "left").join(voted, doc, "left")
+    names = F.array(*[F.lit(name) for name, _ in T.TYPE_WORDS])
+    guess = F.get(names, F.least("_at", F.coalesce("_in", F.lit(len(T.TYPE_WORDS)))))
+    is_given, is_model = F.col("_given").isNotNull(), F.coalesce(F.col("_label") != UNKNOWN, F.lit(False))
+    of = lambda given_, model, heuristic, none: F.when(is_given, given_).when(is_model, model).when(guess.isNotNull(), heuristic).otherwise(none)
+    return rows.select(
+        doc,
+        of(F.col("_given"), F.col("_label"), guess, F.lit("unknown")).alias("doc_type"),
+        of(F.lit(None), F.col("_c"), F.lit(0.50), F.lit(0.0)).cast("double").alias("confidence"),
+        of(F.lit("given"), F.lit("model"), F.lit("heuristic"), F.lit("heuristic")).alias("method"),
+        of(F.lit(None), F.lit(False), F.lit(True), F.lit(True)).cast("boolean").alias("triage"),
+        F.coalesce("_n", F.lit(0)).alias("pages"),
+        of(F.lit(None), F.col("_first"), F.lit(None), F.lit(None)).cast("double").alias("first_probability"),
+    )
+
+
 def sample(rows: DataFrame, strata: str | None, n: int, seed: int, *key: str) -> DataFrame:
     """``n`` rows of each stratum (of all rows, without one) without replacement: those with the smallest MD5 of ``seed|key``; ties go by the key.
 

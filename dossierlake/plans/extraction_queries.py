@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import classify
 from ..operators import extraction as X
 from ..operators import grounding as G
 from ..operators import positions as P
@@ -122,3 +123,28 @@ def first_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages are defused, typed by their words and read by their type's patterns; of an application's documents of a type, the first counts."""
     read = X.first_facts(pages(spark, sf_dir), "app", "doc", "o_orderkey", "page", "text")
     return read.select("app", "kind", "doc", "fact", "value", "amount", "defused")
+
+
+_HITS = [(name, " + ".join(f"(length(t) - length(replace(t, '{w}', ''))) // {len(w)}" for w in words)) for name, words in T.TYPE_WORDS]
+_FIRST = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(t, '{w}')" for w in words) + f" THEN {i}" for i, (_, words) in enumerate(T.TYPE_WORDS)) + f" ELSE {len(T.TYPE_WORDS)} END"
+_AT = f"list_extract([{', '.join(repr(name) for name, _ in T.TYPE_WORDS)}]"
+
+
+@query(
+    "document_types",
+    f"""WITH {_TEXTS}, p AS (SELECT app, o_orderkey, {_FIRST} AS first, [{', '.join(n for _, n in _HITS)}] AS n FROM (SELECT app, o_orderkey, lower(t) AS t FROM texts)),
+ j AS (SELECT app, o_orderkey, first, round(list_max(n) / (list_max(n) + 2), 6) AS c, {_AT}, list_position(n, list_max(n))) AS label FROM p),
+ s AS (SELECT app, label, round(sum(c), 9) AS s, round(avg(c), 4) AS m, min(o_orderkey) AS f FROM j WHERE c >= 0.4 GROUP BY 1, 2), w AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY app ORDER BY s DESC, f) = 1),
+ a AS (SELECT app, count(*) AS pages, min(first) AS first, arg_min(c, o_orderkey) AS c FROM j GROUP BY 1),
+ d AS (SELECT app, given, {_FIRST} AS first FROM (SELECT c_custkey AS app, CASE c_mktsegment WHEN 'MACHINERY' THEN 'id_card' WHEN 'HOUSEHOLD' THEN 'UNKNOWN' END AS given, lower(c_custkey || ' ' || CASE WHEN c_custkey % 7 = 3 THEN 'forms/' ELSE 'scans/' END || c_custkey) AS t FROM customer)),
+ g AS (SELECT d.app, CASE WHEN given <> 'UNKNOWN' THEN given END AS given, label, m, a.c, coalesce(pages, 0) AS pages, {_AT}, least(d.first, coalesce(a.first, 5)) + 1) AS guess FROM d LEFT JOIN w USING (app) LEFT JOIN a ON a.app = d.app)
+ SELECT app, coalesce(given, label, guess, 'unknown') AS doc_type, CASE WHEN given IS NOT NULL THEN NULL WHEN label IS NOT NULL THEN m WHEN guess IS NOT NULL THEN 0.5 ELSE 0.0 END AS confidence,
+ CASE WHEN given IS NOT NULL THEN 'given' WHEN label IS NOT NULL THEN 'model' ELSE 'heuristic' END AS method, CASE WHEN given IS NULL THEN label IS NULL END AS triage, pages, CASE WHEN given IS NULL AND label IS NOT NULL THEN c END AS first_probability FROM g""",
+)
+def document_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each customer's file is, whose pages are those of the orders: given by the segment, voted by pages, or guessed from words."""
+    name = F.when(F.col("c_custkey") % 7 == 3, "forms/").otherwise("scans/")
+    given = F.when(F.col("c_mktsegment") == "MACHINERY", "id_card").when(F.col("c_mktsegment") == "HOUSEHOLD", "UNKNOWN")
+    files = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("app"), given.alias("given"), F.concat(name, "c_custkey").alias("place"))
+    judged = classify.by_word_counts(pages(spark, sf_dir).select("app", "o_orderkey", "text"))
+    return classify.document_types(files, judged, "app", "place", "given", "o_orderkey", "text")
