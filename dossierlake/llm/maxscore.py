@@ -12,6 +12,7 @@ never negative and bounds are safe. Documents that can tie with the k-th score s
 
 Shards and blocks have the same bound, as vectors are copied once a block and queries once a shard: both together move
 rows * queries * 2 / 65,536 vectors, the least that groups of such size allow, and one block holds the queries of 6.5 million rows.
+Vectors of more than 128 components lie in groups of fewer rows, so that a group's components are bounded too.
 
 Defined results: rows with a null id or vector, or with a null or non-finite component, or an empty vector take no part.
 Only vectors of a query's length are its candidates. Rows that repeat an id are candidates each, but never for that
@@ -29,6 +30,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SHARD_ROWS, SHARD_LEAST, BLOCK_QUERIES = 65_536, 4_096, 65_536
+#: Components of a shard's or a block's vectors (64 MB of longs): fewer rows of longer vectors.
+GROUP_VALUES = 8 << 20
 
 
 class Shard:
@@ -78,10 +81,11 @@ def _matrix(table: pa.Table, name: str) -> np.ndarray:
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "id", vector_col: str = "v") -> DataFrame:
     """query_id, rank (from 1), id and score; both inputs have a long id and an array<long>, without nulls."""
-    n, m = vectors.count(), queries.count()
+    count = lambda df: df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(vector_col)), F.lit(0))).first()
+    (n, values), (m, asked_values) = count(vectors), count(queries)
     parallel = vectors.sparkSession.sparkContext.defaultParallelism
-    shards = max(1, math.ceil(n / SHARD_ROWS), min(2 * parallel, math.ceil(n / SHARD_LEAST)))
-    blocks = max(1, math.ceil(m / BLOCK_QUERIES))
+    shards = max(1, math.ceil(n / SHARD_ROWS), math.ceil(values / GROUP_VALUES), min(2 * parallel, math.ceil(n / SHARD_LEAST)))
+    blocks = max(1, math.ceil(m / BLOCK_QUERIES), math.ceil(asked_values / GROUP_VALUES))
     one = lambda df: df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), F.size(vector_col).alias("dim"))
     # Rows that repeat an id in different parts of the input go to different shards; the part is fixed by the scan.
     left = one(vectors).withColumn("shard", F.pmod(F.xxhash64("id", F.spark_partition_id()), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))

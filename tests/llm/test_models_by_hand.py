@@ -9,7 +9,7 @@ import re
 import numpy as np
 import pyarrow as pa
 
-from dossierlake.llm import crf_langid, quality_mil
+from dossierlake.llm import crf_langid, quality_mil, toxicity
 from dossierlake.llm import textnum as tn
 
 WORD = re.compile(rb"[^\x20\t-\r]+")
@@ -173,3 +173,63 @@ def test_runs_of_switched_languages(spark):
     assert sum(right.values()) > 0.97 * sum(map(len, truth.values()))
     assert sum(right[i] for i in range(30)) > 0.95 * sum(len(truth[i]) for i in range(30))
     assert crf_langid.language_runs(df, None).count() == 0 and crf_langid.language_runs(df.limit(0), learned()).count() == 0
+
+
+def chain_by_hand(chain, text):
+    """Each category's probability, from a document's distinct words and word beginnings."""
+    plain = lower(bytes(32 if 33 <= c < 127 and not chr(c).isalnum() else c for c in text.encode()))
+    seen = set()
+    for w in WORD.findall(plain):
+        seen.add(word_hash(w))
+        with np.errstate(over="ignore"):
+            seen |= {int(tn.mix(np.array([word_hash(w[:n])], np.uint64) + np.uint64(n))[0]) for n in toxicity.BEGINNINGS if len(w) > n}
+    found = []
+    for model in chain:
+        s = sum(float(model["w"][h >> (64 - toxicity.BITS)]) for h in seen) + sum(p * d for p, d in zip(found, model["dense"], strict=True)) + model["bias"]
+        found.append(1 / (1 + math.exp(-s)))
+    return found
+
+
+def labelled_texts(n=240):
+    """Clean texts, and toxic ones of two kinds whose words have endings."""
+    pick = random.Random(9)
+    texts, label = [], []
+    for i in range(n):
+        words = pick.choices("some plain words of every day, and a little more.".split(), k=12)
+        if i % 3 == 0:
+            words += pick.choices(["vermins", "Vermin!", "verminous"] if i % 2 else ["scummy", "SCUM", "scumbags"], k=4)
+        texts.append(" ".join(words))
+        label.append(float(i % 3 == 0))
+    return texts, np.array(label)
+
+
+def test_toxicity_chain_word_by_word(spark):
+    texts, label = labelled_texts()
+    with np.errstate(over="ignore"):
+        parts = [toxicity.distinct_words(data, off) for _, _, data, off in tn.slices(pa.chunked_array([pa.array(texts)]))]
+    ids, begin = np.concatenate([p[0] for p in parts]), np.concatenate([[0], *[p[1][1:] for p in parts]])
+    chain = toxicity.fit_chain(ids, begin, np.column_stack([toxicity.kinds(ids, begin, label), label]))
+    assert len(chain) == len(toxicity.CATEGORIES) and not any("constant" in m for m in chain)
+    rows = list(enumerate([*texts[:40], *TEXTS, "x" * 5000 + " verminous"]))
+    got = {r["doc_id"]: [r[c] for c in toxicity.CATEGORIES] for r in toxicity.probabilities(spark.createDataFrame(rows, "doc_id long, text string"), chain).collect()}
+    for i, text in rows:
+        assert np.allclose(got[i], chain_by_hand(chain, text), atol=1e-5)
+    assert all((got[i][-1] > 0.5) == (label[i] > 0) for i in range(40))
+
+
+def test_earlier_probabilities_are_out_of_fold(monkeypatch):
+    """With models that only know the share of the rows that they saw, each row's earlier probability is the share among the other folds."""
+    n = 41
+    y = np.column_stack([np.arange(n) % 2, np.arange(n) % 3 == 0]).astype(float)
+    calls = []
+
+    def fit(ids, begin, extra, y):
+        calls.append((len(y), extra))
+        return {"constant": float(y.mean())}
+
+    monkeypatch.setattr(toxicity, "_fit_one", fit)
+    toxicity.fit_chain(np.arange(n), np.arange(n + 1), y)
+    fold = np.random.default_rng(3).permutation(n) % toxicity.FOLDS
+    assert [c[0] for c in calls] == [n, *[int((fold != f).sum()) for f in range(toxicity.FOLDS)], n]
+    want = [np.mean([y[j, 0] for j in range(n) if fold[j] != fold[i]]) for i in range(n)]
+    assert np.allclose(calls[-1][1][:, 0], want)

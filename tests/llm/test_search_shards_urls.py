@@ -6,15 +6,17 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from dossierlake.llm import maxscore, sharding, url_filter
 from dossierlake.llm.queries import URL_RULES
 
 
-def test_maxscore(spark, monkeypatch):
-    monkeypatch.setattr(maxscore, "SHARD_LEAST", 40)
-    monkeypatch.setattr(maxscore, "BLOCK_QUERIES", 3)
+@pytest.mark.parametrize("setting", [{"SHARD_LEAST": 40, "BLOCK_QUERIES": 3}, {"GROUP_VALUES": 300}])
+def test_maxscore(spark, monkeypatch, setting):
+    for name, value in setting.items():
+        monkeypatch.setattr(maxscore, name, value)
     rng = random.Random(3)
     rows = [(i, [rng.uniform(-1, 1) for _ in range(8)]) for i in range(300)]
     rows += [(i, [0.5] * 8) for i in range(300, 380)]  # one very common vector: many ties
