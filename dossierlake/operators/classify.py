@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -92,14 +92,23 @@ def predict(model: PipelineModel, pages: DataFrame, text: str = "text", threshol
     )
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def by_word_counts(pages: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``pages`` with label_pred, confidence and reason as ``predict`` gives them, without a model: the type whose words the text holds most often.
 
     n occurrences give a confidence of n / (n + 2), so a single one abstains. Words count within longer words too; ties go to the type that is tried first.
     """
-    t = F.lower(F.coalesce(F.col(text), F.lit("")))
-    counts = [(name, sum((F.regexp_count(t, F.lit(w)) for w in words), F.lit(0))) for name, words in T.TYPE_WORDS]
-    best = F.array_max(F.array(*[F.struct(n.alias("n"), F.lit(-i).alias("at"), F.lit(name).alias("name")) for i, (name, n) in enumerate(counts)]))
+
+    def most(t: Column) -> Column:
+        uses = lambda w: ((F.length(t) - F.length(F.replace(t, F.lit(w), F.lit("")))) / len(w)).cast("int")
+        return F.array_max(F.array(*[F.struct(sum((uses(w) for w in words), F.lit(0)).alias("n"), F.lit(-i).alias("at"), F.lit(name).alias("name")) for i, (name, words) in enumerate(T.TYPE_WORDS)]))
+
+    t = F.coalesce(F.col(text), F.lit(""))
+    best = _let(F.lower(t), most)
     p, blank = F.round(F.col("_best.n") / (F.col("_best.n") + 2), 6), F.trim(t) == ""
     rows = pages.withColumn("_best", best).withColumn("_p", p)
     return rows.select(
@@ -116,19 +125,19 @@ def document_types(documents: DataFrame, pages: DataFrame, doc: str, place: str,
     which a word lies in the document's id, its place or any page ("heuristic", confidence 0.50, to triage); without any, unknown with 0.
 
     ``pages`` counts those with text; ``first_probability`` is the confidence of the first of them, if the model told the type. Pages of no
-    document are left out, repeated documents are one (the smallest type that was given, the smallest place). No text is gathered: the words
+    document are left out, repeated documents are one (the smallest type that was given, all places). No text is gathered: the words
     of a whole document are met if they are met on a page, so each page gives the place of its first type, of which the smallest counts.
     """
-    rank = lambda t: F.coalesce(*[F.when(T.type_by_words(t) == name, F.lit(i)) for i, (name, _) in enumerate(T.TYPE_WORDS)], F.lit(len(T.TYPE_WORDS)))
+    names = F.array(*[F.lit(name) for name, _ in T.TYPE_WORDS])
+    rank = lambda t: _let(t, lambda x: F.coalesce(F.nullif(F.array_position(names, T.type_by_words(x)), F.lit(0)) - 1, F.lit(len(T.TYPE_WORDS))).cast("int"))
     told = F.lower(F.col(given))
     docs = documents.filter(F.col(doc).isNotNull()).groupBy(doc).agg(
-        F.min(F.when(told.isNotNull() & (told != "unknown"), F.col(given))).alias("_given"), F.min(place).alias("_place"), F.min(rank(F.concat_ws(" ", F.col(doc).cast("string"), place))).alias("_at")
+        F.min(F.when(told.isNotNull() & (told != "unknown"), F.col(given))).alias("_given"), F.min(rank(F.concat_ws(" ", F.col(doc).cast("string"), place))).alias("_at")
     )
     full = pages.filter(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s+", "") != "")
     seen = full.groupBy(doc).agg(F.count(F.lit(1)).alias("_n"), F.min(rank(F.col(text))).alias("_in"), F.min(F.struct(page, "confidence"))["confidence"].alias("_first"))
     voted = metrics.vote(full, doc, page, "label_pred", "confidence").select(doc, F.col("label").alias("_label"), F.col("confidence").alias("_c"))
     rows = docs.join(seen, doc, "left").join(voted, doc, "left")
-    names = F.array(*[F.lit(name) for name, _ in T.TYPE_WORDS])
     guess = F.get(names, F.least("_at", F.coalesce("_in", F.lit(len(T.TYPE_WORDS)))))
     is_given, is_model = F.col("_given").isNotNull(), F.coalesce(F.col("_label") != UNKNOWN, F.lit(False))
     of = lambda given_, model, heuristic, none: F.when(is_given, given_).when(is_model, model).when(guess.isNotNull(), heuristic).otherwise(none)
