@@ -65,13 +65,17 @@ def facts(pages: DataFrame, doc: str, kind: str, page: str, text: str) -> DataFr
 
 
 def bank_activity(pages: DataFrame, doc: str, text: str) -> DataFrame:
-    """(doc, bank_name, salary_credits, mean_credit, bounced) from a statement's pages."""
+    """(doc, bank_name, labelled_name, salary_credits, mean_credit, bounced) from a statement's pages.
+
+    The first mention of a bank counts: bank_name is its label's text or the known bank that it names, labelled_name the label's text only, empty if it has none.
+    """
+    labelled = F.trim(F.regexp_extract(text, "(?i)" + BANK_NAME, 1))
     name = F.trim(F.coalesce(F.nullif(F.regexp_extract(text, "(?i)" + BANK_NAME, 1), F.lit("")), F.nullif(F.regexp_extract(text, "(?i)" + BANK_NAME, 2), F.lit(""))))
     credits = F.filter(F.transform(F.regexp_extract_all(text, F.lit("(?i)" + SALARY), F.lit(1)), T.money), lambda x: x > 0)
     bounced = F.size(F.filter(F.split(text, r"\r?\n"), lambda line: F.regexp_like(line, F.lit("(?i)" + BOUNCE))))
-    found = pages.select(doc, name.alias("bank_name"), credits.alias("c"), bounced.alias("b")).groupBy(doc).agg(F.max("bank_name").alias("bank_name"), F.flatten(F.collect_list("c")).alias("salary_credits"), F.sum("b").cast("int").alias("bounced"))
+    found = pages.select(doc, name.alias("bank_name"), labelled.alias("labelled_name"), credits.alias("c"), bounced.alias("b")).groupBy(doc).agg(F.max("bank_name").alias("bank_name"), F.max("labelled_name").alias("labelled_name"), F.flatten(F.collect_list("c")).alias("salary_credits"), F.sum("b").cast("int").alias("bounced"))
     total = F.aggregate("salary_credits", F.lit(0).cast("decimal(38,2)"), lambda a, x: (a + x).cast("decimal(38,2)"))
-    return found.select(doc, "bank_name", "salary_credits", F.bround(total / F.when(F.size("salary_credits") > 0, F.size("salary_credits")), 2).cast("decimal(18,2)").alias("mean_credit"), "bounced")
+    return found.select(doc, "bank_name", "labelled_name", "salary_credits", F.bround(total / F.when(F.size("salary_credits") > 0, F.size("salary_credits")), 2).cast("decimal(18,2)").alias("mean_credit"), "bounced")
 
 
 def first_facts(pages: DataFrame, key: str, doc: str, order: str, page: str, text: str) -> DataFrame:

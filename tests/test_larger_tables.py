@@ -28,3 +28,9 @@ def test_evidence_whose_ids_begin_with_each_other(spark, tmp_path):
     assert ours == sql
     memo = next(r[2] for r in ours if r[0] == 7)
     assert memo.count("  - `[ORD-123]` bank_statement") == 1 and memo.index("  - `[ORD-123]` bank_statement") < memo.index("  - `[ORD-12]` payslip", memo.index("RULE-INC-01: "))
+
+
+def test_holder_who_is_called_like_a_bank(spark, tmp_path):
+    orders = "select * replace (7352 as o_custkey, '2-HIGH' as o_orderpriority) from {0} where o_orderkey < 2"
+    ours, sql = both(spark, tmp_path / "t", "bank_activity", orders=orders)
+    assert ours == sql and {r[0] for r in ours} == {""}
