@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 import duckdb
+import pytest
 
 from dossierlake.plans import catalog
 
@@ -34,3 +37,10 @@ def test_holder_who_is_called_like_a_bank(spark, tmp_path):
     orders = "select * replace (7352 as o_custkey, '2-HIGH' as o_orderpriority) from {0} where o_orderkey < 2"
     ours, sql = both(spark, tmp_path / "t", "bank_activity", orders=orders)
     assert ours == sql and {r[0] for r in ours} == {""}
+
+
+@pytest.mark.parametrize("name", ["bm25_topk", "tf_overlap_topk", "rrf_fusion"])
+def test_pairs_of_query_and_passage_are_not_shuffled(spark, name):
+    plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    # a sum over query and passage that is followed by a shuffle on both would move every pair
+    assert not re.search(r"Exchange hashpartitioning\(item_id[^\n]*doc_id[^\n]*\n[^\n]*HashAggregate[^\n]*partial_sum", plan)
