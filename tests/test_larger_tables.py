@@ -7,6 +7,7 @@ import re
 import duckdb
 import pytest
 
+from dossierlake.functions import text as T
 from dossierlake.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -44,3 +45,22 @@ def test_pairs_of_query_and_passage_are_not_shuffled(spark, name):
     plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     # a sum over query and passage that is followed by a shuffle on both would move every pair
     assert not re.search(r"Exchange hashpartitioning\(item_id[^\n]*doc_id[^\n]*\n[^\n]*HashAggregate[^\n]*partial_sum", plan)
+
+
+def test_common_subsequence_is_linear_in_rows_of_its_table():
+    import random
+
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = row
+            row = [0]
+            for j, y in enumerate(b):
+                row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+        return row[-1]
+
+    rng = random.Random(1)
+    for _ in range(300):
+        a, b = ("".join(rng.choices("abcdé ", k=rng.randint(1, 90))) for _ in "ab")
+        assert T.common_subsequence(a, b) == plain(a, b)
+    assert T.common_subsequence("ab" * 5000, "ba" * 5000) == 9999
