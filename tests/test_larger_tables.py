@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 from dossierlake.functions import text as T
+from dossierlake.operators import positions
 from dossierlake.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -64,3 +65,12 @@ def test_common_subsequence_is_linear_in_rows_of_its_table():
         a, b = ("".join(rng.choices("abcdé ", k=rng.randint(1, 90))) for _ in "ab")
         assert T.common_subsequence(a, b) == plain(a, b)
     assert T.common_subsequence("ab" * 5000, "ba" * 5000) == 9999
+
+
+def test_words_are_placed_where_their_text_is_read(spark):
+    texts = spark.createDataFrame([(1, "a  bb\n" * 52 + "c"), (2, None), (3, ""), (4, "é𝒳 z")], "d long, t string")
+    placed = positions.laid_out(texts, "d", "t")
+    assert "Exchange" not in placed._jdf.queryExecution().executedPlan().toString()
+    rows = [tuple(r)[:8] for r in placed.orderBy("doc", "page", "pos").collect()]
+    assert len(rows) == 107 and rows[1] == (1, 1, 2, "bb", 68.0, 50.0, 80.0, 62.0) and rows[104] == (1, 2, 1, "c", 50.0, 50.0, 56.0, 62.0)
+    assert rows[105:] == [(4, 1, 1, "é𝒳", 50.0, 50.0, 62.0, 62.0), (4, 1, 2, "z", 68.0, 50.0, 74.0, 62.0)]
