@@ -74,3 +74,7 @@ def test_words_are_placed_where_their_text_is_read(spark):
     rows = [tuple(r)[:8] for r in placed.orderBy("doc", "page", "pos").collect()]
     assert len(rows) == 107 and rows[1] == (1, 1, 2, "bb", 68.0, 50.0, 80.0, 62.0) and rows[104] == (1, 2, 1, "c", 50.0, 50.0, 56.0, 62.0)
     assert rows[105:] == [(4, 1, 1, "é𝒳", 50.0, 50.0, 62.0, 62.0), (4, 1, 2, "z", 68.0, 50.0, 74.0, 62.0)]
+
+
+def test_pages_are_judged_on_all_cores(spark):
+    assert catalog.queries()["page_classifier"](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
