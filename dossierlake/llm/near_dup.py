@@ -35,6 +35,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,8 @@ from .common import BROADCAST_ROWS, components, counted, forget, maybe_broadcast
 SIGMAS = 5
 #: Keeps the lists of sketches apart from those of whole sets.
 OTHER_FAMILY = 0x5DEECE66D
+#: Parts of the retained values, by their last two bits, that are shuffled one after the other, so that only one part's shuffle takes disk at a time.
+SLICES = 4
 
 
 def shingle_sets(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -285,17 +288,20 @@ def similarity_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     in_whole = reps.filter(n <= whole).select("id", n.cast("int").alias("n"), F.explode("vals").alias("v"))
     in_sketch = reps.filter(n * 100 > whole * percent).select("id", (-n).cast("int").alias("n"), F.explode(F.slice("vals", 1, k)).alias("v")).withColumn("v", F.col("v").bitwiseXOR(F.lit(OTHER_FAMILY)))
     held = in_whole.union(in_sketch)
-    shared = held.groupBy("v").agg(F.count(F.lit(1)).cast("int").alias("df")).filter("df > 1")
+    met = [F.col("v").bitwiseAND(F.lit(SLICES - 1)) == i for i in range(SLICES)]
+    met = [scratch(some.join(some.groupBy("v").agg(F.count(F.lit(1)).cast("int").alias("df")).filter("df > 1"), "v"), "shared") for some in map(held.filter, met)]
+    met = reduce(DataFrame.unionByName, met)
     by_node = Window.partitionBy("id", F.signum("n"))
     size = F.abs("n")
     prefix = F.when(n > 0, n - F.floor((n * percent + 99) / 100) + 1).otherwise(p_sketch)  # ceil(tau * n) in whole numbers
     retained = F.when(n > 0, n).otherwise(F.least(size, F.lit(k)))
     entries = scratch(
-        held.join(shared, "v").withColumn("shared", F.count(F.lit(1)).over(by_node)).withColumn("weight", F.sum("df").over(by_node)).withColumn("rank", F.row_number().over(by_node.orderBy("df", "v")))
+        met.withColumn("shared", F.count(F.lit(1)).over(by_node)).withColumn("weight", F.sum("df").over(by_node)).withColumn("rank", F.row_number().over(by_node.orderBy("df", "v")))
         .withColumn("rank", F.col("rank") + retained - F.col("shared")).filter(F.col("rank") <= prefix)
         .select("v", "id", size.alias("n"), F.when(n > 0, F.col("rank")).alias("rank"), (F.col("weight") / retained).alias("weight")),
         "entries",
     )
+    forget(spark, met)
     lists, _, longs = counted(entries.groupBy("v").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("weight", -F.col("id"), "n")).alias("x")).filter("size > 1").select("v", "size", (-F.col("x.col2")).alias("hub"), F.col("x.n").alias("hub_n")), "lists", F.count_if(F.col("size") > pair_up_to))
     linker = _Linker(texts, reps, percent, k, whole, few)
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dossierlake.llm import decontaminate, near_dup
+from dossierlake.llm import common, decontaminate, near_dup
 from dossierlake.llm.common import components, merged
 
 LETTERS = "abcdefghijklmnop"
@@ -259,3 +259,14 @@ def test_contaminated_long_and_repeated_rows(spark):
     got = sorted((r["doc_id"], r["similarity"], r["start_word"]) for r in decontaminate.matches(docs, bench).collect())
     assert got == [(1, 1.0, 90_000), (2, 1.0, 0)]
     assert sorted(r["doc_id"] for r in decontaminate.decontaminate(docs, bench).collect()) == [3, 4, 4]
+
+
+def test_shuffle_files_go(spark):
+    """Once a scratch table is written, Spark holds no shuffle of it any more, and the session's own setting is as before."""
+    table, kept = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), spark.conf.get(common.SHUFFLES_GO, None)
+    tracker = spark.sparkContext._jsc.sc().env().mapOutputTracker()
+    before = tracker.shuffleStatuses().size()
+    assert common.scratch(table, "seven").count() == 7
+    assert common.counted(table, "seven")[1] == 7
+    assert tracker.shuffleStatuses().size() <= before + 1  # of count(), which is no scratch table
+    assert spark.conf.get(common.SHUFFLES_GO, None) == kept
