@@ -18,8 +18,9 @@ for them every bound below is exact.
    compared with the others. A larger rest is settled by edits: the shingles that more than half of the group hold are
    its centre, and a node's edits are what it holds beside the centre or lacks of it. Edits tell distances: two nodes
    differ in the sum of their edits less twice those they share. So two nodes whose edits are few enough are linked
-   without a look at their sets, and one row for each node (with the node nearest to the centre) states all those links;
-   two others must share edits, as many as their numbers ask for, and meet in inverted lists of their rarest edits.
+   without a look at their sets, and one row for each node (with the node nearest to the centre) states all those links.
+   Where at most ``most`` nodes are then outside the largest component, these are compared with all members, block by
+   block within tasks, so a node's rows are as many as the other side's blocks. In larger rests two nodes must share edits, as many as their numbers ask for, and meet in inverted lists of their rarest edits.
    Each such list holds at most half of the group and is a group of the next round, so rounds end by halving. An edit's
    rank bounds what two nodes can share from there on, which leaves out most of a list's pairs.
    No step makes a row for each pair of a group: rows are nodes, shingles, or at most ``few`` partners a node.
@@ -39,6 +40,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +52,8 @@ SIGMAS = 5
 OTHER_FAMILY = 0x5DEECE66D
 #: Parts of the retained values, by their last two bits, that are shuffled one after the other, so that only one part's shuffle takes disk at a time.
 SLICES = 4
+#: Nodes of a block (as many as BLOCK of at most EDITS_A_NODE edits each): a task compares two blocks at a time.
+BLOCK, EDITS_A_NODE = 256, 512
 
 
 def shingle_sets(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -163,6 +167,55 @@ def _edits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:4], edits], ["g", "id", "c", "n", "edits"])
 
 
+def _shared_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many values each array of x shares with each of y, by products of incidence matrices of a bounded number of columns."""
+    flat = [np.concatenate(side) if side else np.zeros(0, np.uint64) for side in (x, y)]
+    row = [np.repeat(np.arange(len(side)), [len(z) for z in side]) for side in (x, y)]
+    both, found = np.intersect1d(*flat), np.zeros((len(x), len(y)), np.int64)
+    at = [np.searchsorted(both, f) for f in flat]
+    held = [(a < len(both)) & (both[np.minimum(a, len(both) - 1)] == f) if len(both) else np.zeros(len(f), bool) for a, f in zip(at, flat, strict=True)]
+    for low in range(0, len(both), 4096):
+        parts = []
+        for a, r, h, side in zip(at, row, held, (x, y), strict=True):
+            of = h & (a >= low) & (a < low + 4096)
+            part = np.zeros((len(side), min(4096, len(both) - low)), np.float32)
+            part[r[of], a[of] - low] = 1
+            parts.append(part)
+        found += (parts[0] @ parts[1].T).astype(np.int64)
+    return found
+
+
+def _across_blocks(percent: int):
+    """Of one block of a group's rest and one of its members: links that connect all components that any of their links do, at most one a node."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        x, y = (rows.filter(pc.equal(rows["rest"], side)) for side in (True, False))
+        ids, comps, sizes = ([side[c].to_numpy() for side in (x, y)] for c in ("id", "c", "n"))
+        edits = [_lists(side["edits"]) for side in (x, y)]
+        e = [np.array([len(z) for z in side], np.int64) for side in edits]
+        apart = e[0][:, None] + e[1][None, :] - 2 * _shared_counts(*edits)
+        both = (sizes[0][:, None] + sizes[1][None, :] - apart) // 2
+        i, j = np.nonzero((100 * both >= percent * (both + apart)) & (comps[0][:, None] != comps[1][None, :]))
+        _, first = np.unique(np.stack([comps[0][i], comps[1][j]]), axis=1, return_index=True)
+        above, a, b = {}, [], []
+
+        def top(c: int) -> int:
+            while c in above:
+                c = above[c]
+            return c
+
+        for k in first.tolist():
+            low, high = sorted((top(int(comps[0][i[k]])), top(int(comps[1][j[k]]))))
+            if low != high:
+                above[high] = low
+                pair = sorted((int(ids[0][i[k]]), int(ids[1][j[k]])))
+                a.append(pair[0])
+                b.append(pair[1])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
 def _with_sets(pairs: DataFrame, sets: DataFrame, extra: list[str]) -> DataFrame:
     """Pairs with both sides' columns, joined by id."""
     x = sets.select(F.col("id").alias("a"), *[F.col(c).alias(f"{c}_a") for c in extra])
@@ -177,8 +230,8 @@ def _ends(pairs: DataFrame) -> DataFrame:
 class _Linker:
     """Verifies pairs of nodes, and finds the links within groups; holds the sets that both need."""
 
-    def __init__(self, texts: DataFrame, reps: DataFrame, percent: int, k: int, whole: int, few: int):
-        self.texts, self.reps, self.percent, self.k, self.whole, self.few = texts, reps, percent, k, whole, few
+    def __init__(self, texts: DataFrame, reps: DataFrame, percent: int, k: int, whole: int, few: int, most: int):
+        self.texts, self.reps, self.percent, self.k, self.whole, self.few, self.most = texts, reps, percent, k, whole, few, most
 
     def fits(self, x: Column, y: Column) -> Column:
         """Whether sizes alone allow a link."""
@@ -235,11 +288,11 @@ class _Linker:
             new, found = counted(new, "links") if new is not None else (None, 0)
             if found:
                 links, comps = links.unionByName(new), scratch(merged(comps, new), "components")
-            if not many:
+            if not many or groups is None:
                 return links, comps
 
-    def by_edits(self, spark: SparkSession, at: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """For members (g, id, c, size): links with the node nearest to each group's centre, and the lists of shared edits as groups (g, id, s, left)."""
+    def by_edits(self, spark: SparkSession, at: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """For members (g, id, c, size): links with the node nearest to each group's centre and within groups of a bounded rest, and the other groups' lists of shared edits as groups (g, id, s, left), if there are any."""
         up, down = 100 + self.percent, 100 - self.percent
         held = at.join(sets, "id")
         counts = held.select("g", "size", "vals").mapInArrow(_tally, "g long, size long, v long, df long").groupBy("g", "size", "v").agg(F.sum("df").alias("df"))
@@ -255,6 +308,17 @@ class _Linker:
         near = edits.filter("s + s0 <= 0 and id <> id0").select(F.least("id", "id0").alias("a"), F.greatest("id", "id0").alias("b")).distinct()
         # those that are now in the nearest node's component need no list with each other
         own = edits.withColumn("c", F.when(F.col("s") + F.col("s0") <= 0, F.col("c0")).otherwise(F.col("c")))
+        weight = F.greatest(F.size("edits"), F.lit(EDITS_A_NODE))
+        parts = own.groupBy("g", "c").agg(F.count(F.lit(1)).alias("size"), F.sum(weight).alias("weight"))
+        parts = parts.groupBy("g").agg(F.sum("size").alias("size"), F.sum("weight").alias("weight"), F.max(F.struct("size", "weight", "c")).alias("x")).filter("size > x.size")
+        blocks = lambda w: F.ceil(w / F.lit(float(BLOCK * EDITS_A_NODE)))
+        parts = parts.select("g", F.col("x.c").alias("big"), (F.col("size") - F.col("x.size")).alias("minor"), blocks(F.col("weight") - F.col("x.weight")).alias("down"), blocks(F.col("weight")).alias("along"))
+        parts, some, large = counted(parts, "parts", F.count_if(F.col("minor") > self.most))
+        if some > large:
+            near = near.unionByName(self.by_blocks(own.select("g", "id", "c", "n", "edits").join(maybe_broadcast(parts.filter(F.col("minor") <= self.most), some - large), "g")))
+        if not large:
+            return near, None
+        own = own.join(maybe_broadcast(parts.filter(F.col("minor") > self.most).select("g"), large), "g")
         each = own.select("g", "row", "id", "c", "s", "s0", F.size("edits").alias("e"), F.explode("edits").alias("w"))
         lists = each.groupBy("g", "w").agg(F.count(F.lit(1)).alias("df"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("g", "w", "df")
         by_row = Window.partitionBy("row")
@@ -264,7 +328,17 @@ class _Linker:
         return near, ranked.filter(F.col("rank") <= F.col("e") - least + 1).select(F.xxhash64("g", "w").alias("g"), "id", "s", (F.col("e") - F.col("rank") + 1).alias("left"))
 
 
-def similarity_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, k: int = 128, whole: int = 512, pair_up_to: int = 16, few: int = 64) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    def by_blocks(self, at: DataFrame) -> DataFrame:
+        """Links between each group's rest, the nodes outside its largest component, and all its members; both are dealt in blocks, and a task has one of each at a time."""
+        deal = lambda many, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(many))
+        every = lambda many: F.explode(F.sequence(F.lit(0).cast("long"), F.col(many) - 1))
+        rest = at.filter("c <> big").withColumn("i", deal("down", 1)).withColumn("j", every("along")).withColumn("rest", F.lit(True))
+        members = at.withColumn("j", deal("along", 2)).withColumn("i", every("down")).withColumn("rest", F.lit(False))
+        columns = ["g", "i", "j", "rest", "id", "c", "n", "edits"]
+        return rest.select(*columns).union(members.select(*columns)).groupBy("g", "i", "j").applyInArrow(_across_blocks(self.percent), "a long, b long").distinct()
+
+
+def similarity_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, k: int = 128, whole: int = 512, pair_up_to: int = 16, few: int = 64, most: int = 2048) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(profiles of the rows, nodes, links between nodes, components as node and component); see the module's text.
 
     The links connect all that is linked; where a component is known, not all links within it are listed.
@@ -303,7 +377,7 @@ def similarity_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
     forget(spark, met)
     lists, _, longs = counted(entries.groupBy("v").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("weight", -F.col("id"), "n")).alias("x")).filter("size > 1").select("v", "size", (-F.col("x.col2")).alias("hub"), F.col("x.n").alias("hub_n")), "lists", F.count_if(F.col("size") > pair_up_to))
-    linker = _Linker(texts, reps, percent, k, whole, few)
+    linker = _Linker(texts, reps, percent, k, whole, few, most)
 
     def side(df: DataFrame, s: str) -> DataFrame:
         return df.select("v", F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "rank")])

@@ -261,6 +261,39 @@ def test_contaminated_long_and_repeated_rows(spark):
     assert sorted(r["doc_id"] for r in decontaminate.decontaminate(docs, bench).collect()) == [3, 4, 4]
 
 
+def test_lists_of_edits_and_blocks(spark, monkeypatch):
+    """A bounded rest is settled in one round, block by block; a larger one by lists of edits. Both find the components of brute force."""
+    rows = unlike_copies(3, 250, 150, [2, 3, 4, 5, 6])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want, _ = brute_components(rows, 85)
+    members, keep = [], near_dup.scratch
+
+    def scratch(table, name):
+        out = keep(table, name)
+        if name == "members":
+            members.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dup, "scratch", scratch)
+    monkeypatch.setattr(near_dup, "BLOCK", 32, raising=False)
+    made = []
+    for how in ({}, {"most": 20}):
+        members.clear()
+        got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(df, percent=85, pair_up_to=3, few=3, **how).collect()}
+        assert [got[i] for i in range(250)] == want
+        made.append(sum(members[1:]))  # the first are those of the inverted lists
+        if not how:
+            assert len(members) == 3, members  # no further round
+    assert made[0] < made[1]
+
+
+def test_shared_counts():
+    rng = np.random.default_rng(5)
+    x, y = ([np.unique(rng.integers(0, 12000, rng.integers(0, 6000))).astype(np.uint64) for _ in range(9)] for _ in range(2))
+    assert near_dup._shared_counts(x, y).tolist() == [[len(np.intersect1d(a, b)) for b in y] for a in x]
+    assert near_dup._shared_counts(x[:1], [np.zeros(0, np.uint64)]).tolist() == [[0]]
+
+
 def test_shuffle_files_go(spark):
     """Once a scratch table is written, Spark holds no shuffle of it any more, and the session's own setting is as before."""
     table, kept = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), spark.conf.get(common.SHUFFLES_GO, None)
