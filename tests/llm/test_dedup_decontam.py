@@ -247,6 +247,30 @@ def test_fingerprint_by_definition(spark):
         assert got[0] % 2**64 == sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in u) > n)
 
 
+def test_texts_without_windows_do_not_move(spark, tmp_path, monkeypatch):
+    """With more windows than may be broadcast, the texts that are shuffled are those that have one, and the rows are the same."""
+    rng = random.Random(21)
+    items = [(i, " ".join(words(rng, 30))) for i in range(4)]
+    rows = [(i, " ".join([*words(rng, 20), *([items[i % 4][1]] if i % 10 == 0 else []), *words(rng, 20)])) for i in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/texts")
+    docs, bench = spark.read.parquet(f"{tmp_path}/texts"), spark.createDataFrame(items, "item_id long, text string")
+    want, plans, marked = sorted(map(tuple, decontaminate.matches(docs, bench).collect())), {}, []
+
+    def scratch(df, name):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().optimizedPlan().toString())
+        out = common.scratch(df, name)
+        if name == "marked":
+            marked.append(out.count())
+        return out
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 8)
+    monkeypatch.setattr(decontaminate, "scratch", scratch)
+    assert sorted(map(tuple, decontaminate.matches(docs, bench).collect())) == want and len(want) == 20
+    assert sum(marked) == 20 and len(marked) == 3
+    # the shuffled join reads the marked texts, not the documents
+    assert "text#" in plans["marked"][0] and all(p.count("Relation [doc_id") == 0 for p in plans["held"])
+
+
 def test_contaminated_long_and_repeated_rows(spark):
     """A text of over 1 MB with one passage in it; a repeated document gives one row an item, and goes with all its copies."""
     rng = random.Random(8)
