@@ -6,9 +6,10 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from dossierlake.functions import text as T
-from dossierlake.operators import positions
+from dossierlake.operators import grounding, positions
 from dossierlake.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -78,3 +79,32 @@ def test_words_are_placed_where_their_text_is_read(spark):
 
 def test_pages_are_judged_on_all_cores(spark):
     assert catalog.queries()["page_classifier"](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_memos_read_and_shuffle_orders_once(spark):
+    plan = catalog.queries()["appraisal_memos"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"FileScan parquet \[o_", plan)) == 1
+    assert len(re.findall(r"Exchange hashpartitioning\((?:o_custkey|app)#", plan)) == 1
+
+
+def test_gate_takes_only_bad_texts_apart(spark):
+    """The lines' gate as it is defined, line by line, on texts with and without bad lines; what a line needs of its text is computed outside of the lines."""
+    texts = ["a [ok]\nb [DOC-7]\n", "a [x]\n\nb [x] [y] [ok]", "[PASS]\n[x][x]", "none", "", None, "a [o\nk] [kyc_guidelines_v1_p1_c0]", "\n[ok]\n"]
+
+    def plain(t, allowed):
+        bad = lambda s: list(dict.fromkeys(c for c in re.findall(r"\[([a-zA-Z0-9_\-]+)\]", s) if c not in allowed and not c.upper().startswith(tuple(grounding.EXEMPT))))
+        if not t:
+            return grounding.EMPTY_ANSWER
+        if not allowed:
+            return t + "\n\n" + grounding.NO_EVIDENCE
+        if not re.findall(r"\[([a-zA-Z0-9_\-]+)\]", t):
+            return grounding.NONE_CITED
+        lines = [f"{grounding.DROPPED_LINE}{', '.join(bad(x))}]" if bad(x) else x for x in t.split("\n")]
+        return "\n".join(lines) + ("\n\n" + grounding.SOME_DROPPED if bad(t) else "")
+
+    for ids in (["ok", "CHUNK-POLICY-KYC-01"], []):
+        df = spark.createDataFrame([(i, t, ids) for i, t in enumerate(texts)], "i int, t string, a array<string>")
+        allowed = [*ids, *(["kyc_guidelines_v1_p1_c0"] if ids else [])]
+        gated = df.select("i", grounding.sanitised(F.col("t"), F.col("a")).alias("t"))
+        assert [r.t for r in gated.orderBy("i").collect()] == [plain(t, allowed) for t in texts]
+        assert gated._jdf.queryExecution().optimizedPlan().toString().count("arrays_overlap") == 3  # one for each group of aliases
