@@ -5,12 +5,14 @@ from __future__ import annotations
 import re
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from dossierlake.functions import text as T
-from dossierlake.operators import grounding, positions
-from dossierlake.plans import catalog
+from dossierlake.operators import classify, grounding, positions
+from dossierlake.plans import catalog, extraction_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -108,3 +110,32 @@ def test_gate_takes_only_bad_texts_apart(spark):
         gated = df.select("i", grounding.sanitised(F.col("t"), F.col("a")).alias("t"))
         assert [r.t for r in gated.orderBy("i").collect()] == [plain(t, allowed) for t in texts]
         assert gated._jdf.queryExecution().optimizedPlan().toString().count("arrays_overlap") == 3  # one for each group of aliases
+
+
+def test_pages_are_judged_as_by_the_models_stages(spark, monkeypatch):
+    """Probabilities of pages, turns, blank and long texts are those that the model's own stages give, however many are counted at a time."""
+    from pyspark.ml.functions import vector_to_array
+
+    pages = extraction_queries.pages(spark, SF).select("doc", F.col("kind").alias("label"), "text")
+    (grams,) = spark.createDataFrame([("a bcd",)], "t string").select(classify.char_ngrams("t")).first()
+    assert sorted(grams) == sorted([" a ", " bc", "bcd", "cd ", " a ", " bcd", "bcd ", " a ", " bcd "]) == sorted(x for w in ("a", "bcd") for x in classify._runs_of(w))
+    model = classify.fit(classify.sample(pages, "label", 40, 1, "doc"))
+    other = [("a", ""), ("b", " \n"), ("c", "a"), ("d", "pay"), ("e", "Pay PAY pay"), ("f", "é𝒳 _x_ 12"), ("g", "monthly payslip " * 3000), ("h", "zzz qqq")]
+    rows = pages.select("doc", "text").unionByName(spark.createDataFrame(other, "doc string, text string")).unionByName(spark.createDataFrame([("t", "Bank statement of the bank")], "doc string, text string"))
+    staged = classify.featured(rows)
+    for stage in model.stages[1:]:
+        staged = stage.transform(staged)
+    want = {r.doc: r.p for r in staged.select("doc", vector_to_array("_p").alias("p")).collect()}
+    for chunk in (classify._Judge.CHUNK, 50):
+        monkeypatch.setattr(classify._Judge, "CHUNK", chunk)
+        judge, texts = classify._Judge(classify._weights(model)), rows.select("doc", T.words("text").alias("w")).collect()
+        got = judge.probabilities(np.array([len(r.w) for r in texts]), pa.array([w for r in texts for w in r.w], pa.string()))
+        assert len(want) == len(got) > 1000 and max(abs(x - y) for r, p in zip(texts, got, strict=True) for x, y in zip(want[r.doc], p, strict=True)) < 1e-9
+    found = {r.doc: r for r in classify.predict(model, rows.unionByName(spark.createDataFrame([("n", None)], "doc string, text string"))).collect()}
+    assert all(r.confidence == round(max(want[d]), 6) or not (r.text or "").strip(" ") for d, r in found.items() if d != "n")
+    assert [tuple(found[d])[2:] for d in "an"] == [("UNKNOWN", 0.0, "empty_text")] * 2
+
+
+def test_judging_pages_leaves_no_ngrams_in_the_plan(spark):
+    plan = catalog.queries()["page_classifier"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "ArrowEvalPython" in plan and "WindowGroupLimit" not in plan
