@@ -271,6 +271,24 @@ def test_texts_without_windows_do_not_move(spark, tmp_path, monkeypatch):
     assert "text#" in plans["marked"][0] and all(p.count("Relation [doc_id") == 0 for p in plans["held"])
 
 
+def test_pipelines_stage_moves_no_text_without_windows(spark, tmp_path, monkeypatch):
+    """The pipeline's stage keeps the same rows where more windows are found than may be broadcast, and its join of windows and texts reads only texts that have some."""
+    import corpus_pipeline
+
+    rng, sf = random.Random(22), str(tmp_path)
+    items = [(i, " ".join(words(rng, 25))) for i in range(3)]
+    rows = [(i, " ".join([*words(rng, 15), *([items[i % 3][1]] if i % 8 == 0 else [])]), "x") for i in range(120)] + [(None, items[0][1], "y"), (0, "else", "z")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    docs, plans = spark.read.parquet(f"{sf}/documents.parquet"), []
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 4)
+    monkeypatch.setattr(decontaminate, "scratch", lambda df, name: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()) if name == "held" else None, common.scratch(df, name))[1])
+    left = corpus_pipeline.decontamination(spark, docs, sf)
+    # by the definition here id 0 is contaminated, and so are all rows that have it
+    assert sorted(map(tuple, left.collect())) == sorted(r for r in rows if r[0] is not None and r[0] % 8)
+    assert len(plans) == 1 and "lang#" not in plans[0] and "Relation [doc_id" not in plans[0]
+
+
 def test_contaminated_long_and_repeated_rows(spark):
     """A text of over 1 MB with one passage in it; a repeated document gives one row an item, and goes with all its copies."""
     rng = random.Random(8)
